@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, suffix
 from .common import documents
 
 
@@ -15,5 +15,17 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_golay,)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select(
+        F.col("id").alias("doc_id"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op7_simhash_golay, op10_suffix_array)}
 ORACLE_SQL: dict[str, str] = {}
