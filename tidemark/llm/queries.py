@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix
+from . import arrowstore, packing, sharding, simhash, suffix
 from .common import documents
+from .tokens import vocabulary
+
+
+def op1_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = arrowstore.write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 1, leading_space=False)
+    return arrowstore.read_store(spark, folder, manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 2, leading_space=True)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), 8)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +44,5 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_golay, op10_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_arrow_sequences, op2_best_fit_packing, op3_minimax_sharding, op7_simhash_golay, op10_suffix_array)}
 ORACLE_SQL: dict[str, str] = {}
