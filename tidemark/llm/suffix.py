@@ -16,7 +16,8 @@ that depth:
    difference cover modulo 8 (prefix doubling over the cover sample only);
    its windows are sorted by bucket and first 8 bytes, and the long ties are
    resolved by the sample's ranks and the last 8 bytes. Equal neighbours in
-   that order are repeated windows.
+   that order are repeated windows. Runs are laid out by their bucket's
+   k-gram, so equal windows have one residue and one shift into the cover.
 4. A bucket with more than ``hot_rows`` different runs is refined to windows
    (radix to the full depth) that are counted by digest with partial sums,
    so that no bucket has to fit into one task.
@@ -92,12 +93,12 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows that share their leftmost smallest k-gram: text, start in the text, windows, bucket.
+def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal runs of windows that share their leftmost smallest k-gram: text, start in the text, windows, bucket, the k-gram's place after the start.
 
     ``raw`` holds at most 2^20 bytes; windows never cross an offset.
     """
-    empty = (np.zeros(0, np.int64),) * 4
+    empty = (np.zeros(0, np.int64),) * 5
     if len(raw) < DEPTH:
         return empty
     h = gram_hashes(raw)
@@ -126,7 +127,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     good = fits[start]
     start, size = start[good], size[good]
     where = (least[start] & np.uint64(0xFFFFF)).astype(np.int64)
-    return text[start], start - offsets[text[start]], size, h[where].view(np.int64)
+    return text[start], start - offsets[text[start]], size, h[where].view(np.int64), where - start
 
 
 def _digest(piece: bytes) -> int:
@@ -143,7 +144,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], located: bool) -> Iterator[pa.Re
             for i in range(batch.num_rows) for s in range(0, max(1, int(offsets[i + 1] - offsets[i]) - DEPTH + 1), SLAB - DEPTH + 1)
         ]
         for first, shift, part, at in pieces:
-            text, start, size, bucket = runs(part, np.array([0, len(part)]) if at is None else at)
+            text, start, size, bucket, gram = runs(part, np.array([0, len(part)]) if at is None else at)
             if not len(start):
                 continue
             base = start if at is None else start + at[text]
@@ -151,7 +152,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], located: bool) -> Iterator[pa.Re
             piece = np.fromiter((_digest(data[a : a + n]) for a, n in zip(base.tolist(), (size + DEPTH - 1).tolist())), np.uint64, len(base)).view(np.int64)
             cols = {"bucket": bucket, "piece": piece}
             if located:
-                cols |= {"rid": rid[text + first], "at": ((start + shift) << 8) | size}
+                cols |= {"rid": rid[text + first], "at": ((start + shift) << 16) | (gram << 8) | size}
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
 
 
@@ -163,17 +164,20 @@ def _located_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from _runs_of(batches, True)
 
 
-def _ranks(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows by several uint64 columns, first column first."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), np.int64)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of uint64 keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(order)])
     return out
 
 
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two columns of ranks below 2^32 as one key."""
+    return (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+
+
 class Block:
     """A block of text with windows to sort; ranks of the cover sample are made once, for all its buckets."""
 
@@ -188,18 +192,22 @@ class Block:
         sample = np.flatnonzero(np.isin(np.arange(len(word)) % MODULUS, COVER))
         place = np.zeros(len(word) + DEPTH, np.int64)
         place[sample] = np.arange(len(sample)) + 1  # 0: past the end
-        rank = {8: np.concatenate([[0], _ranks([word[sample]]) + 1])}
+        rank = {8: np.concatenate([[0], _ranks(word[sample]) + 1])}
         for length in (8, 16, 32, 64):
             here = rank[length]
-            rank[2 * length] = np.concatenate([[0], _ranks([here[1:], here[place[sample + length]]]) + 1])
-        name = _ranks([rank[128][1:], rank[64][place[sample + 128]]])
+            rank[2 * length] = np.concatenate([[0], _ranks(_pairs(here[1:], here[place[sample + length]])) + 1])
+        name = _ranks(_pairs(rank[128][1:], rank[64][place[sample + 128]]))
         self.name, self.place = name, place
 
     def key(self, at: np.ndarray, delta: np.ndarray | int) -> np.ndarray:
         return self.name[self.place[at + delta] - 1]
 
-    def sort(self, bucket: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of windows by (bucket, their DEPTH bytes), and for each in that order whether it equals the one before."""
+    def sort(self, bucket: np.ndarray, at: np.ndarray, aligned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Order of windows by (bucket, their DEPTH bytes), and for each in that order whether it equals the one before.
+
+        ``aligned``: equal windows of a bucket are known to start at equal
+        residues, so ties of several residues are left side by side.
+        """
         first, last = self.word[at], self.word[at + DEPTH - MODULUS]
         residue = at % MODULUS
         own = self.key(at, DELTAS[residue, residue])
@@ -209,6 +217,8 @@ class Block:
         tie[1:] = (b[1:] == b[:-1]) & (f[1:] == f[:-1])
         same = tie.copy()
         same[1:] &= (r[1:] == r[:-1]) & (own[order][1:] == own[order][:-1]) & (last[order][1:] == last[order][:-1])
+        if aligned:
+            return order, same
         group = np.cumsum(~tie)
         mixed = np.unique(group[1:][tie[1:] & (r[1:] != r[:-1])])
         if len(mixed):  # ties of several residues: compare each pair of positions by the shift that serves both
@@ -233,7 +243,8 @@ class Block:
                     continue
                 d = int(DELTAS[a, b])
                 kx, ky = self.key(at[xs], d), self.key(at[ys], d)
-                ranks = _ranks([np.concatenate([kx, ky]).astype(np.uint64), np.concatenate([last[xs], last[ys]])])
+                ends = _ranks(np.concatenate([last[xs], last[ys]]))
+                ranks = _ranks(_pairs(np.concatenate([kx, ky]), ends))
                 rx, ry = ranks[: len(xs)], np.sort(ranks[len(xs) :])
                 total += np.searchsorted(ry, rx, "right" if b < a else "left")
             place = np.lexsort((np.arange(len(xs)), total))
@@ -243,15 +254,23 @@ class Block:
         return xs[np.argsort(total, kind="stable")]
 
 
-def repeated_windows(pieces: list[bytes], buckets: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each piece of a block the flags of its windows: does the window occur again in its bucket?"""
-    lengths = np.array([len(p) for p in pieces])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    windows = lengths - DEPTH + 1
-    block = Block(np.frombuffer(b"".join(pieces), np.uint8))
+def repeated_windows(pieces: list[bytes], grams: list[int], buckets: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """For each piece of a block the flags of its windows: does the window occur again in its bucket?
+
+    Pieces are laid out so that their k-grams start at multiples of
+    ``MODULUS``; equal windows then have equal residues.
+    """
+    starts, at, parts = [], 0, []
+    for piece, gram in zip(pieces, grams):
+        pad = -(at + gram) % MODULUS
+        parts += [bytes(pad), piece]
+        starts.append(at + pad)
+        at += pad + len(piece)
+    windows = np.array([len(p) for p in pieces]) - DEPTH + 1
+    block = Block(np.frombuffer(b"".join(parts), np.uint8))
     piece = np.repeat(np.arange(len(pieces)), windows)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, same = block.sort(buckets[piece], starts[piece] + inside)
+    order, same = block.sort(buckets[piece], np.array(starts)[piece] + inside, aligned=True)
     again = same.copy()
     again[:-1] |= same[1:]
     flags = np.empty(len(order), bool)
@@ -266,16 +285,17 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     size = 0
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated_windows([r[3] for r in rows], np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "piece": pa.array([r[1] for r in rows], pa.int64()), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+        bucket, piece, n, gram, body = zip(*rows)
+        flags = repeated_windows(body, gram, np.array(bucket, np.int64), np.array(n, np.int64))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "piece": pa.array(piece, pa.int64()), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
 
     for batch in batches:
-        for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "piece", "n", "body"))):
+        for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "piece", "n", "gram", "body"))):
             if size >= 1 << 20 and row[0] != held[-1][0]:
                 yield out(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield out(held)
 
@@ -314,12 +334,12 @@ def _fetcher(path: str):
                     continue
                 asked = table.take(pa.array(hit))
                 at = asked["at"].to_numpy()
-                begin = offsets[here[place[hit]]] + (at >> 8)
+                begin = offsets[here[place[hit]]] + (at >> 16)
                 end = begin + (at & 255) + DEPTH - 1
                 data = raw.tobytes()
                 body = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
                 cols = {c: asked[c].combine_chunks() for c in ("bucket", "piece", "n", "hot")}
-                yield pa.RecordBatch.from_pydict(cols | {"body": body})
+                yield pa.RecordBatch.from_pydict(cols | {"gram": pa.array((at >> 8) & 255), "body": body})
 
     return run
 
@@ -357,10 +377,10 @@ def repeats(copy: DataFrame, hot_rows: int = 200) -> str:
     sizes = written(distinct.groupBy("bucket").count(), "suffix-sizes")
     asked = distinct.join(sizes, "bucket").withColumn("hot", F.col("count") > hot_rows).drop("count")
     path = write_by_part(asked.withColumn("part", F.shiftright("rid", PLACE)), "suffix-asked")
-    bodies = text.mapInArrow(_fetcher(path), "bucket bigint, piece bigint, n bigint, hot boolean, body binary")
+    bodies = text.mapInArrow(_fetcher(path), "bucket bigint, piece bigint, n bigint, hot boolean, gram bigint, body binary")
     bodies = written(bodies, "suffix-bodies")
     sorted_bits = (
-        bodies.where("not hot").select("bucket", "piece", "n", "body").repartition("bucket").sortWithinPartitions("bucket")
+        bodies.where("not hot").select("bucket", "piece", "n", "gram", "body").repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(_sort_buckets, "bucket bigint, piece bigint, bits binary")
     )
     windows = bodies.where("hot").select("bucket", "piece", "n", "body").mapInArrow(_windows, "bucket bigint, piece bigint, n bigint, j bigint, x bigint, y bigint")
@@ -390,7 +410,7 @@ def spans_of(n: int, at: np.ndarray, bits: list[bytes | None]) -> tuple[np.ndarr
     """Starts and ends of the maximal runs of bytes that repeated windows cover in a text of ``n`` bytes."""
     delta = np.zeros(n + 1, np.int32)
     for x, b in zip(at.tolist(), bits):
-        start, size = x >> 8, x & 255
+        start, size = x >> 16, x & 255
         if b is None:
             delta[start] += 1
             delta[start + size + DEPTH - 1] -= 1
