@@ -6,7 +6,7 @@ import pytest
 
 from tidemark.llm import arrowstore, packing, tokens
 
-ODD = ["", " ", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", " a", "a ", "\n", "a\n", "a b", "á c ́d", "ΑΣ.", "İstanbul", "don't I'll 'tis", "12 34,5 ½", "漢字 かな　x", "\x1c a", "<|endoftext|> x", "🙂🙂 a🙂", "a\r\nb"]
+ODD = ["", " ", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", " a", "a ", "\n", "a\n", "\0a \0b", "a \0", "a b", "á c ́d", "ΑΣ.", "İstanbul", "don't I'll 'tis", "12 34,5 ½", "漢字 かな　x", "\x1c a", "<|endoftext|> x", "🙂🙂 a🙂", "a\r\nb"]
 SCHEMA = "doc_id bigint, text string, id string, length string"
 
 

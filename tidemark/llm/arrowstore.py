@@ -60,13 +60,13 @@ class PartWriter:
         for i in range(0, n, ROWS):
             self.sequences.write_batch(batch.slice(i, ROWS))
 
-    def add(self, ids: pa.Array, texts: list[np.ndarray]) -> None:
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    def add(self, ids: pa.Array, tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Documents ``ids`` with ``counts`` tokens each, which lie in ``tokens`` one after another."""
         starts = self.tokens + np.cumsum(counts) - counts
         self.docs.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(counts)], schema=self.doc_schema))
         self.tokens += int(counts.sum())
-        self.documents += len(texts)
-        flat = np.concatenate([self.left, *(t.astype(self.left.dtype, copy=False) for t in texts)])
+        self.documents += len(counts)
+        flat = np.concatenate([self.left, tokens.astype(self.left.dtype)])
         whole = len(flat) - len(flat) % (self.length * ROWS)
         if whole:
             self._write(flat[:whole], whole)
@@ -134,8 +134,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, *, leading_space:
         for batch in slabs(batches, "text"):
             if writer is None:
                 writer = PartWriter(folder, f"part-{part:06d}-{uuid.uuid4().hex[:8]}", column(batch, "id").type, kind, length)
-            ids = [np.append(x, np.uint32(end_id)) for x in encode.encode(column(batch, "text").to_pylist())]
-            writer.add(column(batch, "id"), ids)
+            writer.add(column(batch, "id"), *encode.flat_ids(column(batch, "text").to_pylist(), end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [writer.name], "documents": [writer.documents], "tokens": [writer.tokens]})

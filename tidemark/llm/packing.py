@@ -132,8 +132,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *, lead
         seen = np.zeros(capacity + 1, np.int64)
         for batch in slabs(batches, "text"):
             rows, at, out = [], [], {k: [] for k in ("piece", "start", "length", "idx")}
-            for i, ids in enumerate(encode.encode(column(batch, "text").to_pylist())):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u2" if small else "<u4")
+            flat, counts = encode.flat_ids(column(batch, "text").to_pylist(), end_id)
+            for i, ids in enumerate(np.split(flat.astype("<u2" if small else "<u4"), np.cumsum(counts)[:-1])):
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append(ids[start : start + length].tobytes())
                     at.append(i)

@@ -2,23 +2,27 @@
 
 Both vocabularies are applied piece by piece: a text is cut only where the
 library's own pre-tokenizer always cuts, each different piece is encoded by
-the library once in a worker, and the ids of a text are joined from its
-pieces. Texts with white space for which that is not certain (runs of white
+the library once in a worker (letters apart from the signs behind them), and the
+ids of a text are joined from its pieces. Texts with white space for which that is not certain (runs of white
 space, for the byte-level vocabulary) are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
 
 import numpy as np
 
-#: Most pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Most strings that a worker remembers; beyond it the memory starts anew.
+MEMORY = 900_000
 
-_RUNS = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]|\s\Z")
+#: What makes a text doubtful for the byte-level pre-tokenizer: white space in runs, or other than space and line feed.
+_ASCII = ("  ", "\n\n", " \n", "\n ", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_WIDE = (*_ASCII, *"\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: ASCII signs that end a run of letters in either pre-tokenizer (an apostrophe may not).
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str) -> str:
@@ -34,7 +38,9 @@ class Encoder:
     """Encodes texts to arrays of ids.
 
     ``leading_space``: a piece takes the space before it along (byte-level
-    BPE); otherwise white space only separates (word BPE).
+    BPE); otherwise white space only separates (word BPE). With it, a piece
+    stands for itself behind a space, unless a line feed or the mark
+    ``\\0`` (no space) comes first.
     """
 
     def __init__(self, path: str, leading_space: bool) -> None:
@@ -47,69 +53,107 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 18, np.int64)
-        self.used = self.count = 0
+        self.used, self.count = 0, 1
+
+    def _store(self, entries: list[list[int]]) -> int:
+        """Append entries; the number of the first."""
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries))
+        ids = np.fromiter(itertools.chain.from_iterable(entries), np.uint32, int(sizes.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(sizes) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        first = self.count
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[first : first + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used, self.count = self.used + len(ids), first + len(sizes)
+        return first
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = found.ids
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                if self.count >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[self.count] = self.used
-                self.index[piece] = self.count
-                self.count += 1
+    def _library(self, strings: list[str]) -> None:
+        for lo in range(0, len(strings), 10_000):
+            part = strings[lo : lo + 10_000]
+            texts = [p.lstrip("\0") if p[:1] in ("\0", "\n") else " " + p for p in part] if self.leading else part
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            self.index.update(zip(part, range(self._store([f.ids for f in found]), self.count)))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces: letters by themselves, with the signs behind them put after."""
+        index, split, need = self.index, [], set()
+        for piece in pieces:
+            core = piece.rstrip(_SIGNS)
+            if not core or not core[-1].isalpha() or core[-1] > "\u024f":
+                need.add(piece)
+                continue
+            tail = piece[len(core) :]
+            tail = "\0" + tail if tail and self.leading else tail
+            if not self.leading and core.isascii():
+                core = core.lower()
+            split.append((piece, core, tail))
+            need.add(core)
+            if tail:
+                need.add(tail)
+        self._library(sorted(need - {n for n in need if n in index}))
+        joined, names = [], []
+        for piece, core, tail in split:
+            if not tail:
+                index[piece] = index[core]
+            elif piece not in index:
+                c, t = index[core], index[tail]
+                names.append(piece)
+                joined.append(self.flat[self.ends[c - 1] : self.ends[c]].tolist() + self.flat[self.ends[t - 1] : self.ends[t]].tolist())
+        if joined:
+            index.update(zip(names, range(self._store(joined), self.count)))
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.leading:
             return text.replace("\n", " ").split(" ")
-        if _RUNS.search(text):
+        if text[-1:].isspace() or any(x in text for x in (_ASCII if text.isascii() else _WIDE)):
             return None
         words = text.replace("\n", " \n").split(" ")
-        return [words[0], *[w if w[:1] == "\n" else " " + w for w in words[1:]]]
+        words[0] = "\0" + words[0]
+        return words
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def flat_ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with ``end`` behind it if given, and how many each has."""
         if len(self.index) > MEMORY:
             self._forget()
-        cut = [self._pieces(t) for t in texts]
-        index = self.index
-        new = set().union(*(c for c in cut if c is not None)) - index.keys() if cut else set()
-        new.discard("")
-        if new:
-            self._learn(sorted(new))
-        index.setdefault("", self._nothing())
-        out = []
-        for text, pieces in zip(texts, cut):
+        get, parts, todo = self.index.get, [], []
+        for text in texts:
+            pieces = self._pieces(text)
             if pieces is None:
-                out.append(self.whole(text))
+                parts.append(np.array([self._store([self.whole(text).tolist()])]))
                 continue
-            at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-            end = self.ends[at]
-            start = np.where(at > 0, self.ends[at - 1], 0)
-            size = end - start
-            total = np.cumsum(size)
-            n = int(total[-1]) if len(total) else 0
-            out.append(self.flat[np.repeat(start - total + size, size) + np.arange(n)])
-        return out
-
-    def _nothing(self) -> int:
-        if "" in self.index:
-            return self.index[""]
-        if self.count >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ends[self.count] = self.used
-        self.count += 1
-        return self.count - 1
+            at = np.fromiter(map(get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+            if at.min() < 0:
+                missing = np.flatnonzero(at < 0).tolist()
+                todo.append((at, missing, [pieces[i] for i in missing]))
+            parts.append(at)
+        if todo:
+            self._learn(set().union(*(t[2] for t in todo)))
+            for at, missing, strings in todo:
+                at[missing] = [self.index[s] for s in strings]
+        if end is not None:
+            mark = np.array([self._store([[end]])])
+            parts = [x for p in parts for x in (p, mark)]
+        at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        stop = self.ends[at]
+        start = self.ends[np.maximum(at - 1, 0)]
+        size = stop - start
+        total = np.cumsum(size)
+        ids = self.flat[np.repeat(stop - total, size) + np.arange(int(total[-1]) if len(total) else 0)]
+        per = 2 if end is not None else 1
+        edges = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])][::per] if parts else np.zeros(1, np.int64)
+        return ids, np.diff(edges)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, counts = self.flat_ids(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 @functools.cache

@@ -128,7 +128,7 @@ class LabelModel:
             self.accuracy = -self.accuracy
         within = cov - c * np.outer(self.accuracy, self.accuracy)
         value, vectors = np.linalg.eigh((within + within.T) / 2)
-        floor = max(1e-4, 0.02 * float(value.max(initial=0.0)))
+        floor = max(1e-4, 0.1 * float(value.max(initial=0.0)))
         self.correlation = (vectors * np.maximum(value, floor)) @ vectors.T
         self.weights = np.linalg.solve(self.correlation, self.accuracy)
         self.weights[quiet] = 0.0
@@ -189,7 +189,8 @@ def induce(docs: DataFrame, rows: list[tuple], terms: int = TERMS, id_col: str =
         return Lexicon([], [])
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(rows, f"__id {docs.schema[id_col].dataType.simpleString()}, label int"))
-    text = docs.join(chosen, docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string").alias("text"), "label")
+    text = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    text = text.join(chosen, F.col("__doc") == F.col("__id")).select("text", "label")
     counted = text.mapInArrow(_count_terms, "term string, label int, n bigint").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
@@ -261,8 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame, seen: list[DataFrame], modulus: int
         return Classifier(lexicon, np.append(np.zeros(len(lexicon.terms) + VOTERS), -4.0), model)
     x = np.array([features(len(lexicon.terms), *r) for r in chosen])
     y = model.posterior(np.array([r["votes"] for r in chosen], float))
-    shares = {r["k"]: r["n"] for r in table.groupBy(some.alias("k")).agg(F.count("*").alias("n")).collect()}
-    del shares
     return Classifier(lexicon, logistic(x, y), model)
 
 
