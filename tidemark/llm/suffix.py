@@ -18,9 +18,12 @@ that depth:
    resolved by the sample's ranks and the last 8 bytes. Equal neighbours in
    that order are repeated windows. Runs are laid out by their bucket's
    k-gram, so equal windows have one residue and one shift into the cover.
-4. A bucket with more than ``hot_rows`` different runs is refined to windows
-   (radix to the full depth) that are counted by digest with partial sums,
-   so that no bucket has to fit into one task.
+4. A bucket with more than ``hot_rows`` different runs is refined, as a radix
+   sort would: its windows are halved by the place of the k-gram in them, and
+   each half is dealt out by the bytes that all its windows hold on either
+   side of the k-gram. Halves that are small are sorted, halves that are
+   equal are repeated, and only what is still hot is halved again, seven
+   times at most, so that no bucket has to fit into one task.
 
 Documents are copied once to the shared folder with a row id (part and
 place). Later passes scan that copy and read the few intervals of their part
@@ -344,18 +347,59 @@ def _fetcher(path: str):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of hot buckets -> a 128-bit digest of each window."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of hot buckets -> the part of each run whose windows have the k-gram in one half of the places lo to hi.
+
+    The key is a digest of the bytes that all windows of the half hold: those
+    before the k-gram up to the half's least place, those behind it up to what
+    its greatest leaves. Equal windows have equal keys.
+    """
+    kinds = {"key": pa.int64(), "bucket": pa.int64(), "piece": pa.int64(), "n": pa.int64(), "part": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "skip": pa.int64(), "size": pa.int64(), "gram": pa.int64(), "body": pa.binary()}
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            rows = batch.slice(lo, 2000)
-            out: dict[str, list] = {k: [] for k in ("bucket", "piece", "n", "j", "x", "y")}
-            for b, p, n, body in zip(*(column(rows, c).to_pylist() for c in ("bucket", "piece", "n", "body"))):
-                for j in range(len(body) - DEPTH + 1):
-                    d = xxhash.xxh3_128_intdigest(body[j : j + DEPTH])
-                    for k, v in zip(out, (b, p, n, j, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        rows: list[tuple] = []
+        for bucket, piece, n, lo, hi, gram, body in zip(*(column(batch, c).to_pylist() for c in ("bucket", "piece", "n", "lo", "hi", "gram", "body"))):
+            middle, end = (lo + hi + 1) // 2, gram + GRAM
+            for low, high in ((lo, middle - 1), (middle, hi)) if hi > lo else ((lo, hi),):
+                first, last = min(high, gram), max(low, gram - (len(body) - DEPTH))
+                if first < last:
+                    continue
+                held = b"%d %d %d " % (bucket, low, high) + body[gram - low : gram] + b"|" + body[end : end + DEPTH - GRAM - high]
+                part = body[gram - first : end + DEPTH - GRAM - last]
+                rows.append((_signed(_digest(held)), bucket, piece, n, _signed(_digest(part)), low, high, gram - first, first - last + 1, gram, body))
+        cols = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
+
+
+def refined(hot: DataFrame, hot_rows: int) -> DataFrame:
+    """``bucket, piece, skip, size, bits`` of the repeated windows of hot buckets (see 4. above)."""
+    state = hot.select("bucket", "piece", "n", "gram", "body", F.lit(0).cast("bigint").alias("lo"), F.lit(SPAN - 1).cast("bigint").alias("hi"))
+    schema = "key bigint, bucket bigint, piece bigint, n bigint, part bigint, lo bigint, hi bigint, skip bigint, size bigint, gram bigint, body binary"
+    out = state.select("bucket", "piece", F.lit(0).cast("bigint").alias("skip"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("bits")).limit(0)
+    while not state.isEmpty():
+        parts = written(state.mapInArrow(_halves, schema), "suffix-halves")
+        equal = written(parts.groupBy("key", "part").agg(F.sum("n").alias("copies")), "suffix-equal")
+        sizes = equal.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("total")).where("total > 1").drop("total")
+        tagged = written(parts.join(written(sizes, "suffix-sizes"), "key"), "suffix-tagged")
+        every = tagged.where("different = 1").select("bucket", "piece", "skip", "size", F.lit(None).cast("binary").alias("bits"))
+        few = tagged.where(f"different > 1 AND different <= {hot_rows}")
+        trimmed = F.expr(f"substring(body, CAST(skip + 1 AS INT), CAST(size + {DEPTH - 1} AS INT))")
+        distinct = few.groupBy("key", "part").agg(F.sum("n").alias("n"), F.min(F.struct((F.col("gram") - F.col("skip")).alias("gram"), trimmed.alias("body"))).alias("one"))
+        distinct = distinct.select(F.col("key").alias("bucket"), F.col("part").alias("piece"), "n", "one.gram", "one.body")
+        bits = _sorted(distinct).select(F.col("bucket").alias("key"), F.col("piece").alias("part"), "bits")
+        some = few.join(written(bits, "suffix-some"), ["key", "part"]).select("bucket", "piece", "skip", "size", "bits")
+        out = out.union(every).union(some)
+        state = tagged.where(f"different > {hot_rows} AND hi > lo").select("bucket", "piece", "n", "gram", "body", "lo", "hi")
+    return out
+
+
+def _sorted(bodies: DataFrame) -> DataFrame:
+    """``bucket, piece, bits`` for runs whose buckets fit into a task."""
+    dealt = bodies.select("bucket", "piece", "n", "gram", "body").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_sort_buckets, "bucket bigint, piece bigint, bits binary")
 
 
 def with_row_ids(docs: DataFrame) -> DataFrame:
@@ -379,33 +423,15 @@ def repeats(copy: DataFrame, hot_rows: int = 200) -> str:
     path = write_by_part(asked.withColumn("part", F.shiftright("rid", PLACE)), "suffix-asked")
     bodies = text.mapInArrow(_fetcher(path), "bucket bigint, piece bigint, n bigint, hot boolean, gram bigint, body binary")
     bodies = written(bodies, "suffix-bodies")
-    sorted_bits = (
-        bodies.where("not hot").select("bucket", "piece", "n", "gram", "body").repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_sort_buckets, "bucket bigint, piece bigint, bits binary")
-    )
-    windows = bodies.where("hot").select("bucket", "piece", "n", "body").mapInArrow(_windows, "bucket bigint, piece bigint, n bigint, j bigint, x bigint, y bigint")
-    windows = written(windows, "suffix-windows")
-    again = written(windows.groupBy("x", "y").agg(F.sum("n").alias("total")).where("total > 1"), "suffix-again")
-    hot_bits = (
-        windows.join(again, ["x", "y"]).groupBy("bucket", "piece").agg(F.collect_set("j").alias("js"))
-        .mapInArrow(_to_bits, "bucket bigint, piece bigint, bits binary")
-    )
-    bits = written(sorted_bits.union(hot_bits), "suffix-bits")
-    several = multi.join(bits, ["bucket", "piece"]).select("rid", "at", "bits")
+    plain_bits = _sorted(bodies.where("not hot")).select("bucket", "piece", F.lit(0).cast("bigint").alias("skip"), F.lit(0).cast("bigint").alias("size"), "bits")
+    bits = written(plain_bits.union(refined(bodies.where("hot"), hot_rows)), "suffix-bits")
+    # a part of a run starts skip windows later; size 0 stands for the whole run
+    place = F.when(F.col("size") == 0, F.col("at")).otherwise(F.shiftleft(F.shiftright("at", 16) + F.col("skip"), 16) + F.col("size"))
+    several = multi.join(bits, ["bucket", "piece"]).select("rid", place.alias("at"), "bits")
     every = found.where("single").select("rid", "at", F.lit(None).cast("binary").alias("bits"))
     return write_by_part(several.union(every).withColumn("part", F.shiftright("rid", PLACE)), "suffix-repeats")
 
 
-def _to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = []
-        for js in column(batch, "js").to_pylist():  # at most SPAN windows in a run
-            flags = np.zeros(SPAN, np.uint8)
-            flags[js] = 1
-            bits.append(np.packbits(flags).tobytes())
-        yield pa.RecordBatch.from_arrays([column(batch, "bucket"), column(batch, "piece"), pa.array(bits, pa.binary())], names=["bucket", "piece", "bits"])
-
-
 def spans_of(n: int, at: np.ndarray, bits: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that repeated windows cover in a text of ``n`` bytes."""
     delta = np.zeros(n + 1, np.int32)
