@@ -54,7 +54,7 @@ def summarize(themes: DataFrame) -> DataFrame:
     told = F.slice(F.col("stories"), 1, SENTENCES[1])
     told = F.when(F.size("stories") == 1, F.concat(told, told)).otherwise(told)
     lines = F.transform(told, lambda s: F.struct(F.concat(s["outlet"], F.lit(" reported: "), s["title"]).alias("text"), F.array(s["id"]).alias("citation_ids")))
-    first = F.array_join(F.slice(F.filter(F.split(F.col("stories")[0]["title"], r"\s+"), lambda w: w != ""), 1, 6), " ")
+    first = F.array_join(F.slice(F.filter(F.split(F.get("stories", F.lit(0))["title"], r"\s+"), lambda w: w != ""), 1, 6), " ")
     empty = F.raise_error(F.lit("a theme needs at least one story")).cast(SENTENCE_ARRAY)
     return themes.withColumns({"label": F.concat_ws(" ", F.col("ticker"), first), "sentences": F.when(F.size("stories") > 0, lines).otherwise(empty)})
 
@@ -62,5 +62,5 @@ def summarize(themes: DataFrame) -> DataFrame:
 def resolved(summaries: DataFrame) -> DataFrame:
     """Citations joined with their member stories, in order of sentence and citation."""
     cited = summaries.select("theme_id", "stories", F.posexplode("sentences").alias("sentence", "s")).select("theme_id", "stories", "sentence", F.posexplode("s.citation_ids").alias("place", "id"))
-    story = F.filter("stories", lambda s: s["id"] == F.col("id"))[0]
+    story = F.get(F.filter("stories", lambda s: s["id"] == F.col("id")), F.lit(0))
     return cited.select("theme_id", "sentence", "place", "id", story["title"].alias("headline"), story["outlet"].alias("outlet"), story["published_at"].alias("published_at"))

@@ -1,7 +1,6 @@
-"""Lexicon sentiment: calibrated scores and their aggregates. All plain column expressions."""
-
-from __future__ import annotations
+"""Lexicon sentiment: calibrated scores and their aggregates. All plain column expressions, but for model priors."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,48 +10,60 @@ from ..functions.text import term_hits, word_count
 SCORES = ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence", "sentiment_label")
 
 
-def prior(hits: DataFrame) -> DataFrame:
-    """Columns ``p, n, u`` from the hit counts ``pos_hits, neg_hits``."""
-    pos, neg = F.col("pos_hits"), F.col("neg_hits")
-
-    def win(own: Column) -> Column:
-        return F.when(own >= 2, 0.70).otherwise(0.64)
+def normalize(p: float, n: float, u: float) -> tuple[float, float, float]:
+    """Clamped at zero and summing to one; nothing left means neutral."""
+    p, n, u = max(p, 0.0), max(n, 0.0), max(u, 0.0)
+    total = p + n + u
+    return (p / total, n / total, u / total) if total > 0 else (0.0, 0.0, 1.0)
 
-    return hits.withColumns({
-        "p": F.when(pos > neg, win(pos)).when(neg > pos, 0.10).otherwise(0.18),
-        "n": F.when(neg > pos, win(neg)).when(pos > neg, 0.10).otherwise(0.18),
-    }).withColumn("u", 1.0 - F.col("p") - F.col("n"))
 
+def prior(pos: int, neg: int) -> tuple[float, float, float]:
+    """Class probabilities that hit counts stand for."""
+    if pos == neg:
+        return 0.18, 0.18, 0.64
+    win = 0.70 if max(pos, neg) >= 2 else 0.64
+    return (win, 0.10, 1 - win - 0.10) if pos > neg else (0.10, win, 1 - win - 0.10)
 
-def normalized(df: DataFrame) -> DataFrame:
-    """``p, n, u`` clamped at zero and summing to one; nothing left means neutral."""
-    clamped = df.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in "pnu"}).withColumn("total", F.col("p") + F.col("n") + F.col("u"))
-    return clamped.withColumns({
-        "p": F.when(F.col("total") > 0, F.col("p") / F.col("total")).otherwise(0.0),
-        "n": F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0),
-        "u": F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(1.0),
-    }).drop("total")
 
-
-def calibrated(df: DataFrame) -> DataFrame:
-    """Scores from any prior ``p, n, u`` with ``hits`` and ``words``: the rules in their order."""
-    p, n, u = F.col("p"), F.col("n"), F.col("u")
-    df = normalized(df).withColumn("close", F.abs(p - n) < fixed.GAP)
-    df = df.withColumns({"p": F.when(F.col("close"), p * 0.95).otherwise(p), "n": F.when(F.col("close"), n * 0.95).otherwise(n), "u": F.when(F.col("close"), u + 0.10).otherwise(u)})
-    df = df.withColumn("bare", (F.col("hits") == 0) & (F.greatest(p, n) > u))
-    df = df.withColumns({"p": F.when(F.col("bare"), p * 0.92).otherwise(p), "n": F.when(F.col("bare"), n * 0.92).otherwise(n), "u": F.when(F.col("bare"), u + 0.12).otherwise(u)})
-    df = df.withColumn("short", (F.col("words") <= fixed.SHORT_WORDS) & (F.col("hits") <= 1))
-    df = normalized(df.withColumn("u", F.when(F.col("short"), u + 0.08).otherwise(u)))
-    df = df.withColumn("cap", F.when(F.col("short"), fixed.SHORT_CAP).otherwise(fixed.LONG_CAP))
+def calibrate(p: float, n: float, u: float, hits: int, words: int) -> tuple[float, float, float, float, float, str]:
+    """The scores of :data:`SCORES` from any prior: the rules in their order."""
+    p, n, u = normalize(p, n, u)
+    if abs(p - n) < fixed.GAP:
+        p, n, u = p * 0.95, n * 0.95, u + 0.10
+    if hits == 0 and max(p, n) > u:
+        p, n, u = p * 0.92, n * 0.92, u + 0.12
+    short = words <= fixed.SHORT_WORDS and hits <= 1
+    p, n, u = normalize(p, n, u + 0.08 if short else u)
+    cap = fixed.SHORT_CAP if short else fixed.LONG_CAP
     # of equal probabilities positive wins, then negative; only a directional winner is capped
-    up, down = (p >= n) & (p >= u), (n > p) & (n >= u)
-    df = df.withColumns({"over_p": F.when(up, F.greatest(p - F.col("cap"), F.lit(0.0))).otherwise(0.0), "over_n": F.when(down, F.greatest(n - F.col("cap"), F.lit(0.0))).otherwise(0.0)})
-    df = df.withColumns({"p": p - F.col("over_p"), "n": n - F.col("over_n"), "u": u + F.col("over_p") + F.col("over_n")})
-    neutral = (u >= F.greatest(p, n)) | ((F.abs(p - n) < fixed.GAP) & (u >= fixed.NEUTRAL_FLOOR))
-    return df.withColumns({
-        "positive_prob": p, "negative_prob": n, "neutral_prob": u, "sentiment_score": p - n, "sentiment_confidence": F.greatest(p, n, u),
-        "sentiment_label": F.when(neutral, "neutral").when(p > n, "positive").otherwise("negative"),
-    }).drop("p", "n", "u", "close", "bare", "short", "cap", "over_p", "over_n")
+    if p >= n and p >= u and p > cap:
+        p, u = cap, u + p - cap
+    elif n > p and n >= u and n > cap:
+        n, u = cap, u + n - cap
+    neutral = u >= max(p, n) or (abs(p - n) < fixed.GAP and u >= fixed.NEUTRAL_FLOOR)
+    return p, n, u, p - n, max(p, n, u), "neutral" if neutral else "positive" if p > n else "negative"
+
+
+def outcome(pos: Column, neg: Column, words: Column) -> Column:
+    """A struct of :data:`SCORES`.
+
+    Lexicon scores depend on who leads, on one or more hits and on length
+    alone, so all outcomes are worked out once for the plan and each row picks
+    one of the literals. Nested arithmetic would be repeated at each use when
+    projections are merged.
+    """
+    table = []
+    for lead in range(3):
+        for strong in range(2):
+            for hits in range(3):
+                for short in range(2):
+                    most = 2 if strong else 1 if lead else 0
+                    pair = ((most, most), (most, 0), (0, most))[lead]
+                    table.append(calibrate(*prior(*pair), hits, fixed.SHORT_WORDS if short else fixed.SHORT_WORDS + 1))
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(SCORES, row)]) for row in table])
+    lead = F.when(pos > neg, 1).when(neg > pos, 2).otherwise(0)
+    at = lead * 12 + (F.greatest(pos, neg) >= 2).cast("int") * 6 + F.least(pos + neg, F.lit(2)) * 2 + (words <= fixed.SHORT_WORDS).cast("int")
+    return F.element_at(rows, at + 1)
 
 
 def with_hits(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -62,11 +73,22 @@ def with_hits(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def with_sentiment(df: DataFrame, text_col: str = "text", min_confidence: float = 0.0) -> DataFrame:
     """The rows with six score columns; a positive ``min_confidence`` filters."""
-    hits = with_hits(df, text_col).withColumn("hits", F.col("pos_hits") + F.col("neg_hits"))
-    out = calibrated(prior(hits)).drop("hits", "pos_hits", "neg_hits", "words")
+    hits = with_hits(df, text_col).withColumn("__s", outcome(F.col("pos_hits"), F.col("neg_hits"), F.col("words")))
+    out = hits.select(*df.columns, *[F.col("__s")[k].alias(k) for k in SCORES])
     return out.where(F.col("sentiment_confidence") >= min_confidence) if min_confidence > 0 else out
 
 
+def rescored(df: DataFrame, prior: Column, hits: Column, words: Column) -> DataFrame:
+    """Scores for priors of a model: ``prior`` is a struct ``p, n, u``; calibrated in Arrow batches."""
+    kind = "positive_prob double, negative_prob double, neutral_prob double, sentiment_score double, sentiment_confidence double, sentiment_label string"
+
+    def run(x: pd.DataFrame, h: pd.Series, w: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([calibrate(*r, a, b) for r, a, b in zip(x[["p", "n", "u"]].itertuples(index=False), h, w)], columns=list(SCORES))
+
+    out = df.withColumn("__s", F.pandas_udf(run, kind)(prior, hits, words))
+    return out.select(*df.columns, *[F.col("__s")[k].alias(k) for k in SCORES])
+
+
 def by_ticker_date(scored: DataFrame) -> DataFrame:
     """Means and mention counts of each date and ticker; null keys are left out."""
     return scored.where("date IS NOT NULL AND ticker IS NOT NULL").groupBy("date", "ticker").agg(

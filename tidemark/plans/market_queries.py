@@ -88,10 +88,10 @@ def snapshot_defaults(spark, sf_dir):
   i AS (SELECT ticker, date, avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l,
     stddev_pop(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd, avg(CASE WHEN mv IS NULL THEN 0 ELSE up END) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS u,
     avg(CASE WHEN mv IS NULL THEN 0 ELSE dn END) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS d FROM g WINDOW w AS (PARTITION BY ticker ORDER BY date))
-  SELECT ticker, date, round(s, 4) AS sma_short, round(l, 4) AS sma_long, round(l + 2 * sd, 4) AS band_high, round(l - 2 * sd, 4) AS band_low, round(CASE WHEN u + d > 0 THEN 100 * u / (u + d) ELSE 50 END, 4) AS strength FROM i""")
+  SELECT ticker, date, round(s, 3) AS sma_short, round(l, 3) AS sma_long, round(l + 2 * sd, 3) AS band_high, round(l - 2 * sd, 3) AS band_low, round(CASE WHEN u + d > 0 THEN 100 * u / (u + d) ELSE 50 END, 3) AS strength FROM i""")
 def indicators(spark, sf_dir):
     df = market.indicators(adapters.bars(spark, sf_dir))
-    return df.withColumns({c: F.round(c, 4) for c in ("sma_short", "sma_long", "band_high", "band_low", "strength")})
+    return df.withColumns({c: F.round(c, 3) for c in ("sma_short", "sma_long", "band_high", "band_low", "strength")})
 
 
 @query(f"""WITH {POSTS_SQL}, {BARS_SQL} SELECT p.event_id, p.ticker, p.date, b.date AS bar_date, round(b.close, 6) AS bar_close

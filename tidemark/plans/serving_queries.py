@@ -16,7 +16,7 @@ from .text_queries import _SCORED, rounded, scored, valid_posts
 _INPUT = f"""{_SCORED}, g AS (SELECT date, ticker, avg(sentiment_score) AS s, avg(positive_prob) AS pp, avg(negative_prob) AS np, avg(neutral_prob) AS up, avg(sentiment_confidence) AS c FROM scored GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_INPUT} SELECT date, ticker, round(s, 6) AS sentiment_score, round(greatest(pp, np, up), 6) AS sentiment_confidence FROM g")
+@query(f"WITH {_INPUT} SELECT date, ticker, round(s, 6) + 0.0 AS sentiment_score, round(greatest(pp, np, up), 6) AS sentiment_confidence FROM g")
 def model_features(spark, sf_dir):
     df = sentiment.by_ticker_date(scored(spark, sf_dir)).withColumns({"price_delta_24h": F.lit(0.0), "volume_delta": F.lit(0.0)})
     return rounded(signal.prepare(df), "sentiment_score", "sentiment_confidence").select("date", "ticker", "sentiment_score", "sentiment_confidence")
@@ -42,11 +42,11 @@ def signal_calibration(spark, sf_dir):
 
 
 @query(f"""WITH {_REQ}, c AS (SELECT event_id, least(greatest(d, -0.08), 0.08) AS d, least(greatest(v, -0.5), 0.5) AS v, s, p FROM r)
-  SELECT event_id, round(d, 6) AS price_delta_24h, round(v, 6) AS volume_delta, round(p * greatest(0, 0.5 + s / 2), 3) AS avg_positive_prob, round(greatest(0, 1 - p), 4) AS avg_neutral_prob FROM c""")
+  SELECT event_id, round(d, 6) AS price_delta_24h, round(v, 6) AS volume_delta, round(p * greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) + s / 2), 6) AS avg_positive_prob, round(greatest(0, 1 - p), 4) AS avg_neutral_prob FROM c""")
 def signal_request_row(spark, sf_dir):
     df = signal.request_row(_requests(spark, sf_dir).withColumn("sentiment_confidence", F.col("probability_up")))
     exact = F.col("sentiment_confidence") * F.greatest(F.lit(0.0), 0.5 + F.col("sentiment_score") / 2)
-    return df.select("event_id", F.round("price_delta_24h", 6).alias("price_delta_24h"), F.round("volume_delta", 6).alias("volume_delta"), F.round(exact, 3).alias("avg_positive_prob"), "avg_neutral_prob")
+    return df.select("event_id", F.round("price_delta_24h", 6).alias("price_delta_24h"), F.round("volume_delta", 6).alias("volume_delta"), F.round(exact, 6).alias("avg_positive_prob"), "avg_neutral_prob")
 
 
 @query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'TSLA' WHEN 1 THEN 'toolong' WHEN 2 THEN 'AMD' WHEN 3 THEN 'X1' ELSE 'META' END AS ticker FROM events)
@@ -99,12 +99,12 @@ def social_availability(spark, sf_dir):
     return serving.social_status(_kinds(spark, sf_dir))
 
 
-_BARS_PART = _DELTAS.removeprefix("WITH ")
+_BARS_PART = _DELTAS.removeprefix("WITH ").replace("\nd AS (", "\nmoves AS (")
 
 
 @query(f"""WITH {_SCORED}, {_SOCIAL}, {_BARS_PART}, t AS (SELECT ticker, avg(sentiment_score) AS s FROM scored GROUP BY ticker)
-  SELECT d.ticker, round(close, 4) AS price, round(t.s, 6) AS sentiment_score, least(32, (SELECT count(*) FROM bars b WHERE b.ticker = d.ticker)) AS history_points, CAST(6 AS BIGINT) AS headline_count, k.social + k.publisher AS posts,
-  'Market snapshot is available from bars. Volume delta ' || printf('%+.1f', vd * 100) || '%.' AS market_message FROM d JOIN t USING (ticker) JOIN k USING (ticker) WHERE back = 1""")
+  SELECT d.ticker, round(close, 4) AS price, round(t.s, 6) + 0.0 AS sentiment_score, least(32, (SELECT count(*) FROM bars b WHERE b.ticker = d.ticker)) AS history_points, CAST(6 AS BIGINT) AS headline_count, k.social + k.publisher AS posts,
+  'Market snapshot is available from bars. Volume delta ' || printf('%+.1f', vd * 100) || '%.' AS market_message FROM moves d JOIN t USING (ticker) JOIN k USING (ticker) WHERE back = 1""")
 def dashboard_summary(spark, sf_dir):
     bars = adapters.bars(spark, sf_dir)
     overall = sentiment.overall(scored(spark, sf_dir), "ticker").select("ticker", "sentiment_score", "sentiment_label")
@@ -112,12 +112,12 @@ def dashboard_summary(spark, sf_dir):
     social = serving.social_status(_kinds(spark, sf_dir)).select("ticker", (F.col("social") + F.col("publisher")).alias("posts"))
     rows = serving.dashboard(overall, snap, market.history(bars), post_ops.top_headlines(adapters.posts(spark, sf_dir), 6), social)
     return rows.select(
-        "ticker", F.round("price", 4).alias("price"), F.round("sentiment_score", 6).alias("sentiment_score"), F.size("history").cast("bigint").alias("history_points"),
+        "ticker", F.round("price", 4).alias("price"), (F.round("sentiment_score", 6) + 0.0).alias("sentiment_score"), F.size("history").cast("bigint").alias("history_points"),
         F.size("headlines").cast("bigint").alias("headline_count"), "posts", F.col("message").alias("market_message"),
     )
 
 
-_RUNS = "runs AS (SELECT event_id AS run_id, ['TSLA','NVDA','AMD','AAPL','META'][CAST(user_id % 5 AS INTEGER) + 1] AS ticker, CAST(floor(epoch(ts)) AS BIGINT) AS at, event_id % 10 <> 0 AS ok, event_id % 9 = 0 AS degraded, value FROM events)"
+_RUNS = "runs AS (SELECT event_id AS run_id, ['TSLA','NVDA','AMD','AAPL','META'][CAST(user_id % 5 AS INTEGER) + 1] AS ticker, CAST(floor(epoch(ts)) AS BIGINT) AS started, event_id % 10 <> 0 AS ok, event_id % 9 = 0 AS degraded, value FROM events)"
 
 
 def _runs(spark, sf_dir):
@@ -126,12 +126,12 @@ def _runs(spark, sf_dir):
     return e.select(F.col("event_id").alias("run_id"), adapters.pick(fixed.TICKERS, F.col("user_id") % 5).alias("ticker"), at.alias("started_at"), at.alias("finished_at"), (F.col("event_id") % 10 != 0).alias("ok"), (F.col("event_id") % 9 == 0).alias("degraded"), "value")
 
 
-@query(f"WITH {_RUNS}, g AS (SELECT ticker, at - lag(at) OVER (PARTITION BY ticker ORDER BY at, run_id) AS gap FROM runs) SELECT ticker, CAST(max(gap) AS BIGINT) AS longest_gap_s, count(*) FILTER (gap > 7200) AS long_gaps FROM g GROUP BY ticker")
+@query(f"WITH {_RUNS}, g AS (SELECT ticker, started - lag(started) OVER (PARTITION BY ticker ORDER BY started, run_id) AS gap FROM runs) SELECT ticker, CAST(max(gap) AS BIGINT) AS longest_gap_s, count(*) FILTER (gap > 7200) AS long_gaps FROM g GROUP BY ticker")
 def run_gaps(spark, sf_dir):
     return serving.run_gaps(_runs(spark, sf_dir).withColumn("started_at", F.date_trunc("second", "started_at")))
 
 
-@query(f"WITH {_RUNS}, l AS (SELECT ticker, max(at) AS last FROM runs WHERE ok GROUP BY ticker), n AS (SELECT max(at) AS now FROM runs) SELECT ticker, (SELECT now FROM n) - last > 3600 AS stale FROM l")
+@query(f"WITH {_RUNS}, l AS (SELECT ticker, max(started) AS last FROM runs WHERE ok GROUP BY ticker), n AS (SELECT max(started) AS now FROM runs) SELECT ticker, (SELECT now FROM n) - last > 3600 AS stale FROM l")
 def status_freshness(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     now = runs.agg(F.max("started_at")).first()[0]

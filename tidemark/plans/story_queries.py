@@ -12,7 +12,7 @@ from .registry import query
 _URL = f"""u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS p FROM pages),
  b AS (SELECT page_id, regexp_replace(regexp_extract(p, '^([^?]*)', 1), '/+$', '') AS base, regexp_extract(p, '\\?(.*)$', 1) AS q FROM u),
  c AS (SELECT page_id, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) AS host, substr(base, length(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) + 1) AS path,
-   list_sort(list_filter(string_split(q, '&'), x -> x <> '' AND NOT regexp_matches(x, '(?i)^({'|'.join(TRACKING)})(=|$)'))) AS kept FROM b),
+   list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^({'|'.join(TRACKING)})(=|$)'))) AS kept FROM b),
  canon AS (SELECT page_id, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM c)"""
 
 
@@ -33,7 +33,7 @@ def raw_item_dedupe(spark, sf_dir):
     return stories.raw_items(_items(spark, sf_dir), known).select("source", "canonical_url", "item_id")
 
 
-_STORIES = "s AS (SELECT doc_id AS story_id, ['TSLA','NVDA','AMD','AAPL','META'][CAST(doc_id % 5 AS INTEGER) + 1] AS ticker, text AS body, source AS outlet, 1700000000 + doc_id * 600 AS at FROM documents)"
+_STORIES = "s AS (SELECT doc_id AS story_id, ['TSLA','NVDA','AMD','AAPL','META'][CAST(doc_id % 5 AS INTEGER) + 1] AS ticker, text AS body, source AS outlet, 1700000000 + doc_id * 600 AS published FROM documents)"
 
 
 def _groups(spark, sf_dir):
@@ -41,12 +41,12 @@ def _groups(spark, sf_dir):
     return stories.exact(s.withColumn("key", F.sha2("body", 256)), F.col("key"))
 
 
-@query(f"WITH {_STORIES} SELECT arg_min(story_id, at) AS canonical_id, count(*) AS members FROM s GROUP BY sha256(body) HAVING count(*) > 1")
+@query(f"WITH {_STORIES} SELECT arg_min(story_id, published) AS canonical_id, count(*) AS members FROM s GROUP BY sha256(body) HAVING count(*) > 1")
 def dedup_exact(spark, sf_dir):
     return _groups(spark, sf_dir).where("members > 1").select("canonical_id", "members")
 
 
-@query(f"WITH {_STORIES} SELECT arg_min(story_id, at) AS canonical_id, count(DISTINCT outlet) AS outlets FROM s GROUP BY sha256(body)")
+@query(f"WITH {_STORIES} SELECT arg_min(story_id, published) AS canonical_id, count(DISTINCT outlet) AS outlets FROM s GROUP BY sha256(body)")
 def story_outlet_counts(spark, sf_dir):
     return _groups(spark, sf_dir).select("canonical_id", "outlets")
 
@@ -71,8 +71,8 @@ def story_components(spark, sf_dir):
 
 
 THRESHOLD = 0.30
-_EMB = "e AS (SELECT vec_id, embedding, ['TSLA','NVDA','AMD','AAPL','META'][CAST(label % 5 AS INTEGER) + 1] AS ticker, 1700000000 + vec_id * 3600 AS at FROM embeddings)"
-_DOT = "list_sum(list_transform(list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), z -> z[1] * z[2]))"
+_EMB = "e AS (SELECT vec_id, embedding, ['TSLA','NVDA','AMD','AAPL','META'][CAST(label % 5 AS INTEGER) + 1] AS ticker, 1700000000 + vec_id * 3600 AS published FROM embeddings)"
+_DOT = "list_sum(list_transform(list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), lambda z: z[1] * z[2]))"
 
 
 def _vectors(spark, sf_dir):
@@ -83,7 +83,7 @@ def _vectors(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_EMB} SELECT x.ticker, x.vec_id AS a, y.vec_id AS b, round({_DOT}, 6) AS similarity FROM e x JOIN e y ON x.ticker = y.ticker AND x.vec_id < y.vec_id AND y.at - x.at <= 36 * 3600
+@query(f"""WITH {_EMB} SELECT x.ticker, x.vec_id AS a, y.vec_id AS b, round({_DOT}, 6) AS similarity FROM e x JOIN e y ON x.ticker = y.ticker AND x.vec_id < y.vec_id AND y.published - x.published <= 36 * 3600
   WHERE {_DOT} >= {THRESHOLD}""")
 def dedup_semantic_pairs(spark, sf_dir):
     return stories.semantic_pairs(_vectors(spark, sf_dir), THRESHOLD).withColumn("similarity", F.round("similarity", 6))
@@ -95,7 +95,7 @@ def theme_clusters(spark, sf_dir):
     return v.select("ticker", "day", "story_id", "embedding").groupBy("ticker", "day").applyInPandas(stories.clusterer(0.1), stories.cluster_schema("bigint"))
 
 
-@query(f"""WITH {_STORIES}, t AS (SELECT ticker, story_id // 50 AS theme_id, count(*) AS stories, count(DISTINCT outlet) AS outlets, max(at) AS latest FROM s GROUP BY 1, 2),
+@query(f"""WITH {_STORIES}, t AS (SELECT ticker, story_id // 50 AS theme_id, count(*) AS stories, count(DISTINCT outlet) AS outlets, max(published) AS latest FROM s GROUP BY 1, 2),
   c AS (SELECT *, stories + 2 * outlets - (max(latest) OVER (PARTITION BY ticker) - latest) / 3600.0 / 10 AS salience FROM t)
   SELECT ticker, theme_id, stories, outlets, round(CAST(salience AS DOUBLE), 6) AS salience, CAST(row_number() OVER (PARTITION BY ticker ORDER BY round(CAST(salience AS DOUBLE), 9) DESC, theme_id) AS INTEGER) AS salience_rank FROM c""")
 def theme_salience(spark, sf_dir):

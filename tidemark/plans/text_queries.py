@@ -23,7 +23,7 @@ def _hits_sql(terms: tuple[str, ...]) -> str:
 
 _SCORED = f"""{POSTS_SQL},
 h AS (SELECT *, {_hits_sql(fixed.POSITIVE)} AS pos, {_hits_sql(fixed.NEGATIVE)} AS neg,
-        len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS words FROM posts WHERE {_VALID}),
+        len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM posts WHERE {_VALID}),
 a AS (SELECT *, CAST(CASE WHEN pos > neg THEN CASE WHEN pos >= 2 THEN 0.70 ELSE 0.64 END WHEN neg > pos THEN 0.10 ELSE 0.18 END AS DOUBLE) AS p,
         CAST(CASE WHEN neg > pos THEN CASE WHEN neg >= 2 THEN 0.70 ELSE 0.64 END WHEN pos > neg THEN 0.10 ELSE 0.18 END AS DOUBLE) AS n FROM h),
 b AS (SELECT *, CAST(1 AS DOUBLE) - p - n AS u FROM a),
@@ -37,7 +37,7 @@ scored AS (SELECT event_id, ticker, date, text, source, content_type, post_score
         p - n AS sentiment_score, greatest(p, n, u) AS sentiment_confidence,
         CASE WHEN u >= greatest(p, n) OR (abs(p - n) < 0.12 AND u >= 0.30) THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS sentiment_label FROM e)"""
 _LABEL = "CASE WHEN avg(sentiment_score) > 0.05 THEN 'positive' WHEN avg(sentiment_score) < -0.05 THEN 'negative' ELSE 'neutral' END"
-_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence"))
+_MEANS = ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence"))
 
 
 def valid_posts(spark, sf_dir):
@@ -50,7 +50,7 @@ def scored(spark, sf_dir):
 
 
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})  # no negative zero
 
 
 _PROBS = ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence")
@@ -81,12 +81,12 @@ def pipeline_headlines_topk(spark, sf_dir):
 
 
 @query(f"""WITH {POSTS_SQL} SELECT event_id, {_hits_sql(fixed.POSITIVE)} AS pos_hits, {_hits_sql(fixed.NEGATIVE)} AS neg_hits,
-  CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS INTEGER) AS words FROM posts""")
+  CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM posts""")
 def lexicon_hits(spark, sf_dir):
     return sentiment.with_hits(adapters.posts(spark, sf_dir)).select("event_id", "pos_hits", "neg_hits", "words")
 
 
-_ROW = ", ".join(f"round({c}, 6) AS {c}" for c in _PROBS)
+_ROW = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _PROBS)
 
 
 @query(f"WITH {_SCORED} SELECT event_id, ticker, {_ROW}, sentiment_label FROM scored")
@@ -100,7 +100,7 @@ def sentiment_high_confidence(spark, sf_dir):
     return rounded(df, *_PROBS).select("event_id", "ticker", *_PROBS, "sentiment_label")
 
 
-@query(f"""WITH {_SCORED} SELECT date, ticker, {', '.join(f"round(avg({c}), 6) AS avg_{c}" for c in (*_PROBS, 'post_score'))}, count(text) AS mention_count
+@query(f"""WITH {_SCORED} SELECT date, ticker, {', '.join(f"round(avg({c}), 6) + 0.0 AS avg_{c}" for c in (*_PROBS, 'post_score'))}, count(text) AS mention_count
   FROM scored GROUP BY date, ticker""")
 def sentiment_by_ticker_date(spark, sf_dir):
     df = sentiment.by_ticker_date(scored(spark, sf_dir))
@@ -118,9 +118,9 @@ def sentiment_by_source(spark, sf_dir):
 
 
 @query(f"""WITH {_SCORED} SELECT coalesce(ticker, 'all') AS ticker, coalesce(source, 'all') AS source, coalesce(date, 'all') AS date, count(*) AS posts,
-  round(avg(sentiment_score), 6) AS sentiment_score FROM scored GROUP BY ROLLUP (ticker, source, date)""")
+  round(avg(sentiment_score), 6) + 0.0 AS sentiment_score FROM scored GROUP BY ROLLUP (ticker, source, date)""")
 def sentiment_rollup(spark, sf_dir):
-    out = scored(spark, sf_dir).rollup("ticker", "source", "date").agg(F.count("*").alias("posts"), F.round(F.avg("sentiment_score"), 6).alias("sentiment_score"))
+    out = scored(spark, sf_dir).rollup("ticker", "source", "date").agg(F.count("*").alias("posts"), (F.round(F.avg("sentiment_score"), 6) + 0.0).alias("sentiment_score"))
     return out.withColumns({c: F.coalesce(c, F.lit("all")) for c in ("ticker", "source", "date")})
 
 
@@ -202,7 +202,7 @@ def document_lexicon_hits(spark, sf_dir):
     return d.select("doc_id", term_hits(F.col("text"), fixed.POSITIVE + fixed.NEGATIVE).alias("hits"))
 
 
-@query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '[ \\n]+'), x -> x <> '')) AS INTEGER) AS words FROM conversations")
+@query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')) AS INTEGER) AS words FROM conversations")
 def turn_words(spark, sf_dir):
     c = adapters.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", word_count(F.col("text")).alias("words"))
