@@ -113,6 +113,3 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
-
-def split_rows(whole: DataFrame, keep: list[str]) -> DataFrame:
-    return whole.select(*keep)

@@ -39,7 +39,7 @@ TERMS = 300
 FIT = 8000
 LEXICONS = 12
 #: Lengths of word beginnings that count as terms.
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
