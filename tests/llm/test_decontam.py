@@ -61,7 +61,7 @@ def test_bm25_threshold_retrieval_is_exact():
             for t in terms:
                 if t in tier.postings:
                     for k, x in zip(*tier.postings[t][:2]):
-                        score[int(k)] += float(x)
+                        score[tier.items[int(k)]] += float(x)
             got = index.retrieve(tier, terms)
             assert sorted(got) == sorted(k for k, s in score.items() if s >= 1 - 1e-9)
 

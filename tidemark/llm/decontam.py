@@ -64,7 +64,8 @@ class Tier:
 
     length: int
     items: list[int] = field(default_factory=list)
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: term -> places of items in the tier, weights, blocks, their largest weights
+    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     largest: np.ndarray | None = None
 
 
@@ -103,50 +104,34 @@ class Index:
         self.tiers = [tiers[s] for s in sorted(tiers)]
         for tier in self.tiers:
             lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-            for k in tier.items:
+            for place, k in enumerate(tier.items):
                 for w, x in weights[k].items():
-                    lists[self.number[w]].append((k, x))
+                    lists[self.number[w]].append((place, x))
             tier.largest = np.zeros(len(self.number) + 1)
             for t, rows in lists.items():
                 at, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-                tier.postings[t] = at, x, np.maximum.reduceat(x, np.arange(0, len(x), BLOCK))
+                blocks, starts = np.unique(at // BLOCK, return_index=True)
+                tier.postings[t] = at, x, blocks, np.maximum.reduceat(x, starts)
                 tier.largest[t] = x.max()
 
     def retrieve(self, tier: Tier, terms: list[int]) -> list[int]:
-        """All items whose score for the distinct ``terms`` is one or more: block-max WAND, an item at a time."""
-        cursors = [[0, *tier.postings[t], float(tier.largest[t])] for t in terms if t in tier.postings]
-        found, slack = [], 1 - 1e-9
-        while cursors:
-            cursors.sort(key=lambda c: c[1][c[0]])
-            total, pivot = 0.0, None
-            for p, c in enumerate(cursors):
-                total += c[4]
-                if total >= slack:
-                    pivot = p
-                    break
-            if pivot is None:
-                break
-            item = cursors[pivot][1][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == item:
-                pivot += 1
-            front = cursors[: pivot + 1]
-            if cursors[0][1][cursors[0][0]] != item:  # move the lagging lists up to the pivot
-                for c in front:
-                    if c[1][c[0]] < item:
-                        c[0] += int(np.searchsorted(c[1][c[0] :], item))
-            elif sum(float(c[3][c[0] // BLOCK]) for c in front) < slack:  # the blocks can't reach one: leave the nearest block
-                ends = [int(c[1][min(len(c[1]), (c[0] // BLOCK + 1) * BLOCK) - 1]) + 1 for c in front]
-                after = [int(cursors[pivot + 1][1][cursors[pivot + 1][0]])] if pivot + 1 < len(cursors) else []
-                goal = max(int(item) + 1, min(ends + after))
-                for c in front:
-                    c[0] += int(np.searchsorted(c[1][c[0] :], goal))
-            else:
-                if sum(float(c[2][c[0]]) for c in front) >= slack:
-                    found.append(int(item))
-                for c in front:
-                    c[0] += 1
-            cursors = [c for c in cursors if c[0] < len(c[1])]
-        return found
+        """All items whose score for the distinct ``terms`` is one or more.
+
+        Block-max WAND with blocks that are aligned over item numbers: the
+        block maxima of all terms are summed for all blocks at once, and only
+        blocks whose sum reaches one are scored.
+        """
+        lists = [tier.postings[t] for t in terms if t in tier.postings]
+        if not lists:
+            return []
+        bound = np.bincount(np.concatenate([p[2] for p in lists]), np.concatenate([p[3] for p in lists]))
+        hopeful = bound >= 1 - 1e-9
+        if not hopeful.any():
+            return []
+        at, x = np.concatenate([p[0] for p in lists]), np.concatenate([p[1] for p in lists])
+        keep = hopeful[at // BLOCK]
+        score = np.bincount(at[keep], x[keep])
+        return [tier.items[i] for i in np.flatnonzero(score >= 1 - 1e-9).tolist()]
 
     def overlap(self, item: int, there: set) -> tuple[float, float, float] | None:
         """Shares of the item's, its question's and its answer's shingles; None if that is no leak."""
