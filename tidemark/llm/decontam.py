@@ -17,6 +17,7 @@ retrieved is verified by word shingles of question and answer.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -67,6 +68,10 @@ class Tier:
     #: term -> places of items in the tier, weights, blocks, their largest weights
     postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     largest: np.ndarray | None = None
+    #: the blocks of all terms in a row: where each term's begin, blocks, largest weights
+    begin: np.ndarray | None = None
+    block: np.ndarray | None = None
+    weight: np.ndarray | None = None
 
 
 class Index:
@@ -113,6 +118,32 @@ class Index:
                 blocks, starts = np.unique(at // BLOCK, return_index=True)
                 tier.postings[t] = at, x, blocks, np.maximum.reduceat(x, starts)
                 tier.largest[t] = x.max()
+            order = sorted(tier.postings)
+            counts = np.zeros(len(self.number) + 1, np.int64)
+            counts[order] = [len(tier.postings[t][2]) for t in order]
+            tier.begin = np.concatenate([[0], np.cumsum(counts)])
+            tier.block = np.concatenate([tier.postings[t][2] for t in order])
+            tier.weight = np.concatenate([tier.postings[t][3] for t in order])
+
+    def hopeful(self, tier: Tier, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which passages may reach a score of one: by the largest weights of their distinct terms, then by block maxima."""
+        size = ends - starts
+        at = np.repeat(ends - np.cumsum(size), size) + np.arange(int(size.sum()))
+        own = terms[at].astype(np.int64)
+        known = own > 0
+        width = len(tier.largest)
+        pairs = np.unique(np.repeat(np.arange(len(starts)), size)[known] * width + own[known])
+        passage, term = pairs // width, pairs % width
+        high = np.bincount(passage, tier.largest[term], len(starts)) >= 1 - 1e-9
+        if not high.any():
+            return high
+        keep = high[passage]
+        passage, term = passage[keep], term[keep]
+        count = tier.begin[term + 1] - tier.begin[term]
+        at = np.repeat(tier.begin[term + 1] - np.cumsum(count), count) + np.arange(int(count.sum()))
+        blocks = int(tier.block.max()) + 1
+        bound = np.bincount(np.repeat(passage, count) * blocks + tier.block[at], tier.weight[at], len(starts) * blocks)
+        return (bound.reshape(-1, blocks) >= 1 - 1e-9).any(axis=1)
 
     def retrieve(self, tier: Tier, terms: list[int]) -> list[int]:
         """All items whose score for the distinct ``terms`` is one or more.
@@ -144,8 +175,7 @@ class Index:
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Item ids found in a text, with their overlaps."""
         ws = words(text)
-        get = self.number.get
-        terms = np.fromiter((get(w, 0) for w in ws), np.int32, len(ws))
+        terms = np.fromiter(map(self.number.get, ws, itertools.repeat(0)), np.int32, len(ws))
         best: dict[int, tuple[float, float, float]] = {}
         if not terms.any():
             return best
@@ -154,11 +184,12 @@ class Index:
             sums = np.concatenate([[0.0], np.cumsum(tier.largest[terms])])
             starts = np.arange(0, max(1, len(ws) - step), step)
             ends = np.minimum(starts + 2 * step, len(ws))
-            for k in np.flatnonzero(sums[ends] - sums[starts] >= 1 - 1e-6).tolist():
+            able = np.flatnonzero(sums[ends] - sums[starts] >= 1 - 1e-6)
+            if len(able):
+                able = able[self.hopeful(tier, terms, starts[able], ends[able])]
+            for k in able.tolist():
                 s, e = int(starts[k]), int(ends[k])
                 own = [t for t in set(terms[s:e].tolist()) if t]
-                if float(tier.largest[own].sum()) < 1 - 1e-6:
-                    continue
                 there = None
                 for item in self.retrieve(tier, own):
                     there = shingles(ws[s:e], self.width) if there is None else there
