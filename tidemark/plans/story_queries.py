@@ -66,8 +66,7 @@ def dedup_minhash(spark, sf_dir):
 @query()
 def story_components(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("title", F.col("body"))
-    pairs = stories.minhash_pairs(s).select("a", "b").checkpoint() if spark.sparkContext.getCheckpointDir() else stories.minhash_pairs(s).select("a", "b")
-    return stories.components(s.select(F.col("story_id").alias("id")), pairs)
+    return stories.components(s.select(F.col("story_id").alias("id")), stories.minhash_pairs(s))
 
 
 THRESHOLD = 0.30
