@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, simhash, suffix, toxicity
+from tidemark.llm import decontam, nearcopies, packing, simhash, suffix, toxicity
 from tidemark.llm.common import written
 from tidemark.llm.tokens import vocabulary
 
@@ -25,6 +25,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles the document with the least id stays."""
+    return simhash.keep_one(docs, find=nearcopies.near_copies)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur again are cut out of the texts; ``n_chars`` follows."""
     cut = suffix.without_repeats(docs)
@@ -48,6 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_near_copies),
+    ("near_copies", drop_similar),
     ("suffix_array", cut_repeats),
     ("decontamination", drop_leaks),
     ("packing", pack),

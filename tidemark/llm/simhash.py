@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest id stays (of equal rows, one)."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """The documents without near copies, as ``find`` groups them: of each group the row with the smallest id stays (of equal rows, one)."""
     spark = docs.sparkSession
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     chosen = written(found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "sim-chosen")
     kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["id"]), "left_semi")
     # ids that occur more than once: one row of each group stays
