@@ -19,8 +19,21 @@ def exact(df: DataFrame, key: Column) -> DataFrame:
     )
 
 
+def equal_texts(df: DataFrame) -> DataFrame:
+    """``(id, class)`` of all stories: the least id with the same words; a title without words is a class of its own."""
+    words = df.select(F.col("story_id").alias("id"), F.nullif(normalized_title(F.col("title")), F.lit("")).alias("words"))
+    least = words.where(F.col("words").isNotNull()).groupBy("words").agg(F.min("id").alias("class"))
+    return words.join(least, "words", "left").select("id", F.coalesce("class", "id").alias("class"))
+
+
+def near_pairs(df: DataFrame, distance: float = 0.2, width: int = 5, tables: int = 12) -> DataFrame:
+    """The pairs of ``minhash_pairs``, and each copy paired with the least id of its class at distance 0: all stories are reached, in rows linear in the copies."""
+    copies = equal_texts(df).where("class <> id").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
+    return minhash_pairs(df, distance, width, tables).unionByName(copies)
+
+
 def minhash_pairs(df: DataFrame, distance: float = 0.2, width: int = 5, tables: int = 12) -> DataFrame:
-    """Pairs of different texts whose shingles of ``width`` words have a Jaccard distance below ``distance``; equal texts are collapsed first."""
+    """Pairs of different texts whose shingles of ``width`` words have a Jaccard distance below ``distance``; equal texts are collapsed first, ``equal_texts`` has their members."""
     text = df.groupBy(normalized_title(F.col("title")).alias("words")).agg(F.min("story_id").alias("id")).where(F.size(F.split("words", " ")) >= width)
     tokens = RegexTokenizer(inputCol="words", outputCol="tokens", pattern=r"\s+").transform(text)
     grams = NGram(n=width, inputCol="tokens", outputCol="grams").transform(tokens)

@@ -60,13 +60,13 @@ def canonical_story(spark, sf_dir):
 @query()
 def dedup_minhash(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("title", F.col("body"))
-    return stories.minhash_pairs(s)
+    return stories.near_pairs(s)
 
 
 @query()
 def story_components(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("title", F.col("body"))
-    return stories.components(s.select(F.col("story_id").alias("id")), stories.minhash_pairs(s))
+    return stories.components(s.select(F.col("story_id").alias("id")), stories.near_pairs(s))
 
 
 THRESHOLD = 0.30
