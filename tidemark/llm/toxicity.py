@@ -78,7 +78,7 @@ class Lexicon:
         for word, n in Counter(found).items():
             for t in known[word] if word in known else hits(word):
                 counts[t] = counts.get(t, 0) + n
-        capitals = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) / len(text[:: max(1, len(text) // 2000)])
+        capitals = sum(n for c, n in Counter(text).items() if c.isupper()) / len(text)
         return counts, len(found), capitals, text.count("!") / len(text)
 
 
