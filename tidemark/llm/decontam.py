@@ -12,7 +12,7 @@ so an item's text always lies inside one. Items are grouped in tiers of
 similar length, each with its own passages. A passage is dropped at once if
 the sum of the words' largest weights stays below one (a running sum over
 the words); the others are queried with WAND over the blocks, and what is
-retrieved is verified by word shingles of question and answer.
+retrieved is verified by word shingles (of question and answer, if marked).
 """
 
 from __future__ import annotations
@@ -51,9 +51,18 @@ def shingles(ws: list[str], width: int = WIDTH) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))}
 
 
+_MARK = r"(?i)\banswer\s*:"
+
+
+def answer_marked(text: str) -> bool:
+    """Whether an item has an "Answer:" mark between words."""
+    m = re.search(_MARK, text.rstrip())
+    return bool(m and words(text[: m.start() + 1]) and words(text[m.end() :]))
+
+
 def question_answer(text: str) -> tuple[list[str], list[str]]:
     """The words of an item's question and answer: cut at an "Answer:" mark, else before the last line, else the last sentence."""
-    for mark in (r"(?i)\banswer\s*:", r"\n(?=[^\n]*\Z)", r"[.?!]\s+(?=[^.?!]*[.?!]?\s*\Z)"):
+    for mark in (_MARK, r"\n(?=[^\n]*\Z)", r"[.?!]\s+(?=[^.?!]*[.?!]?\s*\Z)"):
         if (m := re.search(mark, text.rstrip())) and words(text[: m.start() + 1]) and words(text[m.end() :]):
             return words(text[: m.start() + 1]), words(text[m.end() :])
     return words(text), []
@@ -82,6 +91,7 @@ class Index:
         self.ids, self.words = [], []
         self.question: list[set] = []
         self.answer: list[set] = []
+        self.marked: list[bool] = []
         for i, text in items:
             ws = words(text)
             if ws:
@@ -90,6 +100,7 @@ class Index:
                 self.words.append(ws)
                 self.question.append(shingles(q, width))
                 self.answer.append(shingles(a, width))
+                self.marked.append(answer_marked(text))
         self.shingles = [shingles(ws, width) for ws in self.words]
         df = Counter(w for ws in self.words for w in set(ws))
         self.number = {w: n + 1 for n, w in enumerate(sorted(df))}
@@ -165,12 +176,16 @@ class Index:
         return [tier.items[i] for i in np.flatnonzero(score >= 1 - 1e-9).tolist()]
 
     def overlap(self, item: int, there: set) -> tuple[float, float, float] | None:
-        """Shares of the item's, its question's and its answer's shingles; None if that is no leak."""
+        """Shares of the item's, its question's and its answer's shingles; None if that is no leak.
+
+        Only an item with an answer mark must show some of its question and of its answer.
+        """
         whole = len(self.shingles[item] & there) / len(self.shingles[item])
         if whole < self.similarity - 1e-9:
             return None
         question, answer = (len(s & there) / len(s) if s else 1.0 for s in (self.question[item], self.answer[item]))
-        return (whole, question, answer) if question > 0 and (answer > 0 or len(self.answer[item]) <= 1) else None
+        both = question > 0 and (answer > 0 or len(self.answer[item]) <= 1)
+        return (whole, question, answer) if both or not self.marked[item] else None
 
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Item ids found in a text, with their overlaps."""
