@@ -15,12 +15,34 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker.
 SLAB_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, about; one row at least.
+BATCH_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, as texts vary a lot in length; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in ("k", "m", "g") else int(now)
+    if size > BATCH_BYTES or size <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def named(name: str) -> Column:
+    """The top-level column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``id, text`` (a string) and ``more``, for a pass in Python."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), *more)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -37,6 +59,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
+    bounded_batches(spark)
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -47,6 +70,36 @@ def written(df: DataFrame, label: str, *, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables of one run of an operator in the shared folder.
+
+    A table may be dropped once a later one that was made from it is written:
+    nothing is computed from it again, whatever executor is lost.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.root, self.count = spark, scratch(spark, label), 0
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, self.count = f"{self.root}/{self.count}-{name}", self.count + 1
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            for own, path in self.made:
+                if own is table:
+                    drop_scratch(self.spark, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def write_by_part(df: DataFrame, label: str) -> str:
     """Write rows with an integer column ``part`` as one small folder for each part; return the folder."""
     path = scratch(df.sparkSession, label)
@@ -55,9 +108,8 @@ def write_by_part(df: DataFrame, label: str) -> str:
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -109,6 +161,18 @@ def slabs(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLAB_BYTES)
             start = min(end, n)
 
 
+def least_hashed(df: DataFrame, key: str, rows: int, take: int, distinct: bool = False) -> DataFrame:
+    """The ``take`` rows with the smallest hashes of the column ``key``, out of ``rows``; ``distinct``: one for each key.
+
+    Rows beyond a bound on the hash, which about ``1.5 take`` pass, go first,
+    so that few reach the sort and the driver, whatever the partitions.
+    """
+    bound = min(1 << 31, -(-(3 * take + 200) * (1 << 31) // (2 * max(1, rows))))
+    place = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 31))
+    near = df.where(place < bound)
+    return (near.dropDuplicates([key]) if distinct else near).orderBy(place, key).limit(take)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
