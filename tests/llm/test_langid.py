@@ -10,22 +10,18 @@ SCHEMA = "doc_id bigint, text string, lang string, id string, score string, lang
 
 
 def plain_phrases(sample: str, text: str) -> int:
-    """Greedy longest-match phrases of each stretch, one more for its end."""
-    total = 0
-    for at in range(0, len(text), langid.STRETCH):
-        part, i, breaks = text[at : at + langid.STRETCH], 0, 0
-        start = 0
-        while i < len(part):
-            if part[start : i + 1] in sample:
-                i += 1
-            else:
-                breaks += 1
-                start = i
-                if part[i] not in sample:
-                    start = i + 1
-                i += 1
-        total += breaks + 1
-    return total
+    """Greedy longest-match phrases of a whole text, the last for its end."""
+    i = start = breaks = 0
+    while i < len(text):
+        if text[start : i + 1] not in sample:
+            breaks += 1
+            start = i if text[i] in sample else i + 1
+        i += 1
+    return breaks + bool(text)
+
+
+def coded(model: langid.Parser, text: str) -> str:
+    return "".join(map(chr, model.symbols(text).tolist()))
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -37,7 +33,35 @@ def test_phrases_are_longest_matches(seed):
     texts = [" ".join(word("abcdefz") for _ in range(n)) for n in (1, 5, 60, 700)] + ["z", "zz a"]
     got = model.phrases(texts)
     for i, t in enumerate(texts):
-        assert got[i].tolist() == [plain_phrases(samples[k], langid.plain(t)) for k in model.languages]
+        assert got[i].tolist() == [plain_phrases(coded(model, samples[k]), coded(model, langid.plain(t))) for k in model.languages]
+
+
+@pytest.mark.parametrize("stretch", [3, 50, 1024])
+def test_stretches_make_one_parse(monkeypatch, stretch):
+    """Any stretch gives the counts of one parse of the whole text, with states that never meet as well."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    samples = {"x": "".join(rng.choices("ab ", k=3000)), "y": "a" * 500 + "b" * 500, "z": "".join(map(chr, rng.choices(range(0x4E00, 0x4E00 + 1500), k=2000)))}
+    model = langid.Parser(samples)
+    texts = ["", "".join(rng.choices("ab ", k=2500)), "a" * 2000, "ab" * 900, samples["z"][500:900] * 2, "".join(map(chr, rng.choices(range(0x4E00, 0x4E00 + 3000), k=300)))]
+    got = model.phrases(texts)
+    for i, t in enumerate(texts):
+        assert got[i].tolist() == [plain_phrases(coded(model, samples[k])[: langid.SAMPLE], coded(model, langid.plain(t))) for k in model.languages]
+
+
+def test_scripts_with_many_letters_are_told_apart():
+    rng = random.Random(2)
+    words = {k: ["".join(map(chr, rng.choices(range(lo, lo + 1500), k=rng.randint(1, 4)))) for _ in range(400)] for k, lo in (("p", 0x4E00), ("q", 0x5E00))}
+    model = langid.Parser({k: " ".join(rng.choices(w, k=4000)) for k, w in words.items()})
+    texts = [" ".join(rng.choices(w, k=60)) for w in words.values() for _ in range(10)]
+    langs, scores = model.predict(texts)
+    assert langs == ["p"] * 10 + ["q"] * 10 and min(scores) > 0.99
+
+
+def test_copies_of_one_text_do_not_fill_the_sample(spark):
+    rows = [(i, "same words again and again", "en", "", "", "") for i in range(3000)] + [(5000 + i, f"other text number {chr(97 + i % 26) * 3} here", "en", "", "", "") for i in range(200)]
+    (lang, sample), = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert lang == "en" and sample.count("same words") <= 1 and "other text" in sample
 
 
 def test_documents_held_out_accuracy(spark):
