@@ -7,12 +7,14 @@ a guess: it is the least score that a passage can have which passes the final
 verification (the item's full score less its ``k`` heaviest words, where
 ``k`` shingles may be missing), so retrieval loses nothing.
 
-Every document is read in overlapping passages, twice the longest item long,
-so an item's text always lies inside one. Items are grouped in tiers of
-similar length, each with its own passages. A passage is dropped at once if
-the sum of the words' largest weights stays below one (a running sum over
-the words); the others are queried with WAND over the blocks, and what is
-retrieved is verified by word shingles (of question and answer, if marked).
+Every document is read in overlapping passages, and every passage is a query.
+Items are grouped in tiers by the power of two above their length; a tier's
+passages are twice that power long, so an item's text always lies inside one,
+and what is found doesn't depend on the other items. A cheap first test bounds
+the scores of many passages at once by the largest weights of their words and
+the maxima of the blocks; only a passage that this bound lets through is
+queried by WAND (pivot, block maxima, skipping cursors), and what it retrieves
+is verified by word shingles (of question and answer, if marked).
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slabs
+from .common import bounded_batches, column, id_texts, slabs
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Items in one index that is sent to the workers; more items are taken in several passes.
-ITEMS = 20_000
+#: Items and bytes of their texts in one index that is sent to the workers, about; more are taken in several passes.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
 K1, B = 1.2, 0.75
 BLOCK = 16
+#: Cells of one table of bounds (passages by blocks).
+CELLS = 1 << 19
 
 _WORD = re.compile(r"\w+")
 
@@ -74,8 +78,8 @@ class Tier:
 
     length: int
     items: list[int] = field(default_factory=list)
-    #: term -> places of items in the tier, weights, blocks, their largest weights
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: term -> places of items in the tier, weights, and the largest weight of each block
+    postings: dict[int, tuple[np.ndarray, np.ndarray, dict[int, float]]] = field(default_factory=dict)
     largest: np.ndarray | None = None
     #: the blocks of all terms in a row: where each term's begin, blocks, largest weights
     begin: np.ndarray | None = None
@@ -83,25 +87,36 @@ class Tier:
     weight: np.ndarray | None = None
 
 
+class Cursor:
+    """A place in the postings of one term."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, blocks: dict[int, float], largest: float) -> None:
+        self.places, self.weights, self.blocks, self.largest = places, weights, blocks, largest
+        self.at, self.item = 0, int(places[0])
+
+    def skip(self, item: int) -> bool:
+        """Go on to the first item from ``item`` on; False at the end."""
+        self.at += int(np.searchsorted(self.places[self.at :], item))
+        if self.at == len(self.places):
+            return False
+        self.item = int(self.places[self.at])
+        return True
+
+
 class Index:
     """BM25 index of ``(item_id, text)``; words of all items have numbers from 1 on."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY) -> None:
         self.width, self.similarity = width, similarity
         self.ids, self.words = [], []
-        self.question: list[set] = []
-        self.answer: list[set] = []
-        self.marked: list[bool] = []
+        self.parts: list[tuple[list[str], list[str], bool]] = []
         for i, text in items:
             ws = words(text)
             if ws:
-                q, a = question_answer(text)
                 self.ids.append(i)
                 self.words.append(ws)
-                self.question.append(shingles(q, width))
-                self.answer.append(shingles(a, width))
-                self.marked.append(answer_marked(text))
-        self.shingles = [shingles(ws, width) for ws in self.words]
+                self.parts.append((*question_answer(text), answer_marked(text)))
+        self.memory: dict[int, tuple[set, set, set]] = {}
         df = Counter(w for ws in self.words for w in set(ws))
         self.number = {w: n + 1 for n, w in enumerate(sorted(df))}
         n, mean = len(self.words), sum(map(len, self.words)) / max(1, len(self.words))
@@ -110,13 +125,11 @@ class Index:
         weights: list[dict[str, float]] = []
         for k, ws in enumerate(self.words):
             own = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
-            missing = math.floor((1 - similarity) * len(self.shingles[k]) + 1e-9)
+            missing = math.floor((1 - similarity) * len(shingles(ws, width)) + 1e-9)
             least = sum(sorted(own.values())[: max(1, len(own) - missing)])
             weights.append({w: x / least for w, x in own.items()})
             size = max(8, 1 << (len(ws) - 1).bit_length()) if len(ws) > 1 else 8
-            tier = tiers.setdefault(size, Tier(0))
-            tier.length = max(tier.length, len(ws))
-            tier.items.append(k)
+            tiers.setdefault(size, Tier(size)).items.append(k)
         self.tiers = [tiers[s] for s in sorted(tiers)]
         for tier in self.tiers:
             lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -127,14 +140,24 @@ class Index:
             for t, rows in lists.items():
                 at, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
                 blocks, starts = np.unique(at // BLOCK, return_index=True)
-                tier.postings[t] = at, x, blocks, np.maximum.reduceat(x, starts)
+                tier.postings[t] = at, x, dict(zip(blocks.tolist(), np.maximum.reduceat(x, starts).tolist()))
                 tier.largest[t] = x.max()
             order = sorted(tier.postings)
             counts = np.zeros(len(self.number) + 1, np.int64)
             counts[order] = [len(tier.postings[t][2]) for t in order]
             tier.begin = np.concatenate([[0], np.cumsum(counts)])
-            tier.block = np.concatenate([tier.postings[t][2] for t in order])
-            tier.weight = np.concatenate([tier.postings[t][3] for t in order])
+            tier.block = np.concatenate([list(tier.postings[t][2]) for t in order])
+            tier.weight = np.concatenate([list(tier.postings[t][2].values()) for t in order])
+
+    def sets(self, item: int) -> tuple[set, set, set]:
+        """Shingles of the whole item, its question and its answer; made when an item is met and kept for a while."""
+        got = self.memory.get(item)
+        if got is None:
+            if len(self.memory) >= 1000:
+                self.memory.clear()
+            question, answer, _ = self.parts[item]
+            got = self.memory[item] = tuple(shingles(ws, self.width) for ws in (self.words[item], question, answer))
+        return got
 
     def hopeful(self, tier: Tier, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which passages may reach a score of one: by the largest weights of their distinct terms, then by block maxima."""
@@ -148,44 +171,71 @@ class Index:
         high = np.bincount(passage, tier.largest[term], len(starts)) >= 1 - 1e-9
         if not high.any():
             return high
-        keep = high[passage]
-        passage, term = passage[keep], term[keep]
-        count = tier.begin[term + 1] - tier.begin[term]
-        at = np.repeat(tier.begin[term + 1] - np.cumsum(count), count) + np.arange(int(count.sum()))
         blocks = int(tier.block.max()) + 1
-        bound = np.bincount(np.repeat(passage, count) * blocks + tier.block[at], tier.weight[at], len(starts) * blocks)
-        return (bound.reshape(-1, blocks) >= 1 - 1e-9).any(axis=1)
+        able, step = np.flatnonzero(high), max(1, CELLS // blocks)
+        for lo in range(0, len(able), step):  # a bounded table at a time
+            some = able[lo : lo + step]
+            first, last = np.searchsorted(passage, [some[0], some[-1] + 1])
+            row, own = np.searchsorted(some, passage[first:last]), term[first:last]
+            there = some[np.minimum(row, len(some) - 1)] == passage[first:last]
+            row, own = row[there], own[there]
+            count = tier.begin[own + 1] - tier.begin[own]
+            at = np.repeat(tier.begin[own + 1] - np.cumsum(count), count) + np.arange(int(count.sum()))
+            bound = np.bincount(np.repeat(row, count) * blocks + tier.block[at], tier.weight[at], len(some) * blocks)
+            high[some] = (bound.reshape(-1, blocks) >= 1 - 1e-9).any(axis=1)
+        return high
 
     def retrieve(self, tier: Tier, terms: list[int]) -> list[int]:
-        """All items whose score for the distinct ``terms`` is one or more.
-
-        Block-max WAND with blocks that are aligned over item numbers: the
-        block maxima of all terms are summed for all blocks at once, and only
-        blocks whose sum reaches one are scored.
+        """All items whose score for the distinct ``terms`` is one or more, by block-max WAND.
+
+        Cursors stand in the order of their items. The pivot is the first at
+        which the largest weights of the terms up to it reach one: no item
+        before it can. If the maxima of the blocks around the pivot's item do
+        so as well, the item is scored once all cursors before it are there;
+        otherwise they skip to the end of the block or to the next cursor.
+        Blocks are aligned over item numbers, so they end together.
         """
-        lists = [tier.postings[t] for t in terms if t in tier.postings]
-        if not lists:
-            return []
-        bound = np.bincount(np.concatenate([p[2] for p in lists]), np.concatenate([p[3] for p in lists]))
-        hopeful = bound >= 1 - 1e-9
-        if not hopeful.any():
-            return []
-        at, x = np.concatenate([p[0] for p in lists]), np.concatenate([p[1] for p in lists])
-        keep = hopeful[at // BLOCK]
-        score = np.bincount(at[keep], x[keep])
-        return [tier.items[i] for i in np.flatnonzero(score >= 1 - 1e-9).tolist()]
+        cursors = [Cursor(*tier.postings[t], float(tier.largest[t])) for t in terms if t in tier.postings]
+        found, least = [], 1 - 1e-9
+        while cursors:
+            cursors.sort(key=lambda c: c.item)
+            total, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                total += c.largest
+                if total >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                break
+            item = cursors[pivot].item
+            while pivot + 1 < len(cursors) and cursors[pivot + 1].item == item:
+                pivot += 1
+            block = item // BLOCK
+            if sum(c.blocks.get(block, 0.0) for c in cursors[: pivot + 1]) < least:
+                goal = (block + 1) * BLOCK
+                if pivot + 1 < len(cursors):
+                    goal = min(goal, cursors[pivot + 1].item)
+            elif cursors[0].item == item:
+                if sum(float(c.weights[c.at]) for c in cursors[: pivot + 1]) >= least:
+                    found.append(tier.items[item])
+                goal = item + 1
+            else:
+                goal = item
+            cursors = [c for k, c in enumerate(cursors) if k > pivot or c.item >= goal or c.skip(goal)]
+        return found
 
     def overlap(self, item: int, there: set) -> tuple[float, float, float] | None:
         """Shares of the item's, its question's and its answer's shingles; None if that is no leak.
 
         Only an item with an answer mark must show some of its question and of its answer.
         """
-        whole = len(self.shingles[item] & there) / len(self.shingles[item])
+        sets = self.sets(item)
+        whole = len(sets[0] & there) / len(sets[0])
         if whole < self.similarity - 1e-9:
             return None
-        question, answer = (len(s & there) / len(s) if s else 1.0 for s in (self.question[item], self.answer[item]))
-        both = question > 0 and (answer > 0 or len(self.answer[item]) <= 1)
-        return (whole, question, answer) if both or not self.marked[item] else None
+        question, answer = (len(s & there) / len(s) if s else 1.0 for s in sets[1:])
+        both = question > 0 and (answer > 0 or len(sets[2]) <= 1)
+        return (whole, question, answer) if both or not self.parts[item][2] else None
 
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Item ids found in a text, with their overlaps."""
@@ -211,7 +261,7 @@ class Index:
                     # an item of fewer words than a shingle is looked for as a whole
                     if len(self.words[item]) < self.width:
                         there = there | {tuple(ws[i : i + len(self.words[item])]) for i in range(s, e)}
-                    for part in (self.question[item], self.answer[item]):
+                    for part in self.sets(item)[1:]:
                         for n in {len(x) for x in part if len(x) < self.width}:
                             there = there | {tuple(ws[i : i + n]) for i in range(s, e - n + 1)}
                     got = self.overlap(item, there)
@@ -225,13 +275,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each document and item whose text it holds: ``id, item_id, overlap, question, answer``.
 
     Items without words match nothing; equal items are reported each. Nulls
-    and empty texts hold nothing. Repeated rows are reported each. The index
-    holds at most ``items`` items; a larger benchmark is taken in several
-    passes over the documents.
+    and empty texts hold nothing. Repeated rows are reported each. An index
+    holds about ``items`` items and ``ITEM_BYTES`` of text; a larger benchmark
+    is taken in several passes over the documents, with the same rows.
     """
     spark = docs.sparkSession
     slices = _slices(benchmark, items)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = id_texts(docs, id_col, text_col)
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((picked, "id"), (slices[0], "item_id")))
     schema = f"id {kind}, item_id {item_kind}, overlap double, question double, answer double"
     out = spark.createDataFrame([], schema)
@@ -254,15 +304,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS) -> DataFrame:
     """The documents that hold no item, in the columns of ``docs``; a null text holds none."""
     spark = docs.sparkSession
-    for tests in _slices(benchmark, ITEMS):
+    bounded_batches(spark)
+    place = docs.columns.index(text_col)
+    for tests in _slices(benchmark, items):
         index = spark.sparkContext.broadcast(Index(sorted(map(tuple, tests.collect()), key=str)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in slabs(batches, text_col):
-                texts = column(batch, text_col).cast(pa.string()).to_pylist()
+            for batch in batches:
+                texts = batch.column(place).cast(pa.string()).to_pylist()
                 yield batch.filter(pa.array([not index.value.search(text) for text in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -270,7 +322,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _slices(benchmark: DataFrame, items: int) -> list[DataFrame]:
-    """The items with a text, in slices of about ``items``."""
+    """The items with a text, in slices of about ``items`` items and ``ITEM_BYTES``."""
     tests = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    n = max(1, -(-tests.count() // items))
+    count, size = tests.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-count // items), -(-size // ITEM_BYTES))
     return [tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
