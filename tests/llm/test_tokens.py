@@ -18,6 +18,41 @@ def test_pieces_give_the_ids_of_the_whole_text(name, leading):
         assert ids.tolist() == e.whole(text).tolist(), repr(text)
 
 
+@pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_white_space_of_any_kind(name, leading):
+    e, rng = tokens.Encoder(tokens.vocabulary(name), leading), random.Random(2)
+    spaces = " \n\t\r\x0b\x0c\xa0\u1680\u2003\u2028\u202f\u3000\x85\x1c\0"
+    texts = ["".join(rng.choice(spaces) if rng.random() < 0.5 else rng.choice(["ab", "'s", "é", "1", ",", "漢", "́", "don't", "\u200b"]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for end in (None, 2):
+        ids, counts = e.flat_ids(texts, end)
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert own.tolist() == [*e.whole(text).tolist(), *([] if end is None else [end])], repr(text)
+
+
+def test_memory_does_not_grow_with_doubtful_texts():
+    e, rng = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True), random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+
+    def batch(sign):
+        return [f"\n\n{sign}".join("  ".join(rng.choices(words, k=20)) for _ in range(5)) for _ in range(100)]
+
+    for sign in ("", "\x1c"):
+        e.flat_ids(batch(sign), 2)
+        before = e.used, len(e.index), e.count
+        for _ in range(50):
+            e.flat_ids(batch(sign), 2)
+        assert e.used <= before[0] + 3000 and len(e.index) <= before[1] + 600 and e.count <= before[2] + 600
+
+
+def test_memory_starts_anew_beyond_its_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY_IDS", 2000)
+    e = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True)
+    for k in range(30):
+        texts = [f"unseen{k}x{i} twice unseen{k}x{i}" for i in range(100)]
+        assert [x.tolist() for x in e.encode(texts)] == [e.whole(t).tolist() for t in texts]
+        assert e.used < 6000
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
 

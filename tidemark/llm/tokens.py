@@ -3,8 +3,10 @@
 Both vocabularies are applied piece by piece: a text is cut only where the
 library's own pre-tokenizer always cuts, each different piece is encoded by
 the library once in a worker (letters apart from the signs behind them), and the
-ids of a text are joined from its pieces. Texts with white space for which that is not certain (runs of white
-space, for the byte-level vocabulary) are encoded whole by the library.
+ids of a text are joined from its pieces. For the byte-level vocabulary a run
+of white space is a piece but for its last sign, which is one as well unless it
+is a space that the next word takes along. Texts with control signs that count
+as white space in one library and not in the other are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,15 +14,19 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 
 import numpy as np
 
-#: Most strings that a worker remembers; beyond it the memory starts anew.
-MEMORY = 900_000
+#: Most strings and ids that a worker remembers; beyond either the memory starts anew.
+MEMORY, MEMORY_IDS = 400_000, 4_000_000
 
-#: What makes a text doubtful for the byte-level pre-tokenizer: white space in runs, or other than space and line feed.
-_ASCII = ("  ", "\n\n", " \n", "\n ", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
-_WIDE = (*_ASCII, *"\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Signs with which a text is encoded whole.
+_DOUBTFUL = re.compile("[\0\x1c-\x1f\x85]")
+#: White space that is more than one space or line feed between words.
+_ASCII = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r")
+_WIDE = (*_ASCII, *"\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_SPACES = re.compile(r"(\s+)")
 #: ASCII signs that end a run of letters in either pre-tokenizer (an apostrophe may not).
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -62,6 +68,13 @@ class Encoder:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 18, np.int64)
         self.used, self.count = 0, 1
+        self.marks: dict[int, int] = {}
+
+    def _mark(self, end: int) -> int:
+        """The number of the entry that holds an end id alone."""
+        if end not in self.marks:
+            self.marks[end] = self._store([[end]])
+        return self.marks[end]
 
     def _store(self, entries: list[list[int]]) -> int:
         """Append entries; the number of the first."""
@@ -140,21 +153,41 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         if not self.leading:
             return text.replace("\n", " ").split(" ")
-        if text[-1:].isspace() or any(x in text for x in (_ASCII if text.isascii() else _WIDE)):
+        if _DOUBTFUL.search(text):
             return None
+        if text[-1:].isspace() or any(x in text for x in (_ASCII if text.isascii() else _WIDE)):
+            return self._spaced(text)
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\0" + words[0]
         return words
 
+    def _spaced(self, text: str) -> list[str]:
+        """Pieces of a text with any white space: runs of it apart, but for a last space, which goes with the next word."""
+        parts = _SPACES.split(text)
+        out = ["\0" + parts[0]] if parts[0] else []
+        for space, word in zip(parts[1::2], parts[2::2]):
+            if not word:
+                out.append("\0" + space)
+                continue
+            if len(space) > 1:
+                out.append("\0" + space[:-1])
+            if space[-1] == " ":
+                out.append(word)
+            else:
+                out += ("\0" + space[-1], "\0" + word)
+        return out
+
     def flat_ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with ``end`` behind it if given, and how many each has."""
-        if len(self.index) > MEMORY:
+        if len(self.index) > MEMORY or self.used > MEMORY_IDS:
             self._forget()
-        get, parts, todo = self.index.get, [], []
-        for text in texts:
+        get, parts, todo, wholes = self.index.get, [], [], {}
+        for i, text in enumerate(texts):
             pieces = self._pieces(text)
-            if pieces is None:
-                parts.append(np.array([self._store([self.whole(text).tolist()])]))
+            if not pieces:
+                if pieces is None:
+                    wholes[i] = self.whole(text)  # stands in this call alone
+                parts.append(np.zeros(0, np.int64))
                 continue
             at = np.fromiter(map(get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
             if at.min() < 0:
@@ -166,7 +199,7 @@ class Encoder:
             for at, missing, strings in todo:
                 at[missing] = [self.index[s] for s in strings]
         if end is not None:
-            mark = np.array([self._store([[end]])])
+            mark = np.array([self._mark(end)])
             parts = [x for p in parts for x in (p, mark)]
         at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         stop = self.ends[at]
@@ -176,7 +209,13 @@ class Encoder:
         ids = self.flat[np.repeat(stop - total, size) + np.arange(int(total[-1]) if len(total) else 0)]
         per = 2 if end is not None else 1
         edges = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])][::per] if parts else np.zeros(1, np.int64)
-        return ids, np.diff(edges)
+        counts = np.diff(edges)
+        if wholes:
+            lists = np.split(ids, np.cumsum(counts)[:-1])
+            for i, whole in wholes.items():
+                lists[i] = np.concatenate([whole, lists[i]])
+            ids, counts = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, counts = self.flat_ids(texts)
