@@ -89,12 +89,16 @@ def rescored(df: DataFrame, prior: Column, hits: Column, words: Column) -> DataF
     return out.select(*df.columns, *[F.col("__s")[k].alias(k) for k in SCORES])
 
 
+def mean(name: str) -> Column:
+    """The mean of a score as an exact decimal sum, so that the order of rows doesn't matter."""
+    return F.avg(F.col(name).cast("decimal(18,12)")).cast("double")
+
+
 def by_ticker_date(scored: DataFrame) -> DataFrame:
     """Means and mention counts of each date and ticker; null keys are left out."""
     return scored.where("date IS NOT NULL AND ticker IS NOT NULL").groupBy("date", "ticker").agg(
-        F.avg("sentiment_score").alias("avg_sentiment_score"), F.avg("positive_prob").alias("avg_positive_prob"),
-        F.avg("negative_prob").alias("avg_negative_prob"), F.avg("neutral_prob").alias("avg_neutral_prob"),
-        F.avg("sentiment_confidence").alias("avg_sentiment_confidence"), F.avg("post_score").alias("avg_post_score"),
+        *(mean(c).alias(f"avg_{c}") for c in ("sentiment_score", "positive_prob", "negative_prob", "neutral_prob", "sentiment_confidence")),
+        F.avg("post_score").alias("avg_post_score"),
         F.count("text").alias("mention_count"),
     )
 
@@ -106,7 +110,7 @@ def ticker_label(score: Column) -> Column:
 def overall(scored: DataFrame, *keys: str) -> DataFrame:
     """Means over all dates for ``keys`` (ticker, or ticker and source)."""
     out = scored.groupBy(*keys).agg(
-        *(F.avg(c).alias(c) for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence")),
+        *(mean(c).alias(c) for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence")),
         F.count("*").alias("post_count"),
     )
     return out.withColumn("sentiment_label", ticker_label(F.col("sentiment_score")))

@@ -11,12 +11,12 @@ from ..sources.adapters import POSTS_SQL
 from ..streaming import streams
 from .market_queries import _DELTAS
 from .registry import query
-from .text_queries import _SCORED, rounded, scored, valid_posts
+from .text_queries import _SCORED, _mean, _six, rounded, scored, valid_posts
 
-_INPUT = f"""{_SCORED}, g AS (SELECT date, ticker, avg(sentiment_score) AS s, avg(positive_prob) AS pp, avg(negative_prob) AS np, avg(neutral_prob) AS up, avg(sentiment_confidence) AS c FROM scored GROUP BY 1, 2)"""
+_INPUT = f"""{_SCORED}, g AS (SELECT date, ticker, {_mean('sentiment_score')} AS s, {_mean('positive_prob')} AS pp, {_mean('negative_prob')} AS np, {_mean('neutral_prob')} AS up, {_mean('sentiment_confidence')} AS c FROM scored GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_INPUT} SELECT date, ticker, round(s, 6) + 0.0 AS sentiment_score, round(greatest(pp, np, up), 6) AS sentiment_confidence FROM g")
+@query(f"WITH {_INPUT} SELECT date, ticker, {_six('s')} AS sentiment_score, {_six('greatest(pp, np, up)')} AS sentiment_confidence FROM g")
 def model_features(spark, sf_dir):
     df = sentiment.by_ticker_date(scored(spark, sf_dir)).withColumns({"price_delta_24h": F.lit(0.0), "volume_delta": F.lit(0.0)})
     return rounded(signal.prepare(df), "sentiment_score", "sentiment_confidence").select("date", "ticker", "sentiment_score", "sentiment_confidence")
@@ -102,8 +102,8 @@ def social_availability(spark, sf_dir):
 _BARS_PART = _DELTAS.removeprefix("WITH ").replace("\nd AS (", "\nmoves AS (")
 
 
-@query(f"""WITH {_SCORED}, {_SOCIAL}, {_BARS_PART}, t AS (SELECT ticker, avg(sentiment_score) AS s FROM scored GROUP BY ticker)
-  SELECT d.ticker, round(close, 4) AS price, round(t.s, 6) + 0.0 AS sentiment_score, least(32, (SELECT count(*) FROM bars b WHERE b.ticker = d.ticker)) AS history_points, CAST(6 AS BIGINT) AS headline_count, k.social + k.publisher AS posts,
+@query(f"""WITH {_SCORED}, {_SOCIAL}, {_BARS_PART}, t AS (SELECT ticker, {_mean('sentiment_score')} AS s FROM scored GROUP BY ticker)
+  SELECT d.ticker, round(close, 4) AS price, {_six('t.s')} AS sentiment_score, least(32, (SELECT count(*) FROM bars b WHERE b.ticker = d.ticker)) AS history_points, CAST(6 AS BIGINT) AS headline_count, k.social + k.publisher AS posts,
   'Market snapshot is available from bars. Volume delta ' || printf('%+.1f', vd * 100) || '%.' AS market_message FROM moves d JOIN t USING (ticker) JOIN k USING (ticker) WHERE back = 1""")
 def dashboard_summary(spark, sf_dir):
     bars = adapters.bars(spark, sf_dir)
@@ -112,7 +112,7 @@ def dashboard_summary(spark, sf_dir):
     social = serving.social_status(_kinds(spark, sf_dir)).select("ticker", (F.col("social") + F.col("publisher")).alias("posts"))
     rows = serving.dashboard(overall, snap, market.history(bars), post_ops.top_headlines(adapters.posts(spark, sf_dir), 6), social)
     return rows.select(
-        "ticker", F.round("price", 4).alias("price"), (F.round("sentiment_score", 6) + 0.0).alias("sentiment_score"), F.size("history").cast("bigint").alias("history_points"),
+        "ticker", F.round("price", 4).alias("price"), (F.round(F.col("sentiment_score") + 1e-10, 6) + 0.0).alias("sentiment_score"), F.size("history").cast("bigint").alias("history_points"),
         F.size("headlines").cast("bigint").alias("headline_count"), "posts", F.col("message").alias("market_message"),
     )
 

@@ -36,8 +36,19 @@ e AS (SELECT * EXCLUDE (p, n, u), p / (p + n + u) AS p, n / (p + n + u) AS n, u
 scored AS (SELECT event_id, ticker, date, text, source, content_type, post_score, p AS positive_prob, n AS negative_prob, u AS neutral_prob,
         p - n AS sentiment_score, greatest(p, n, u) AS sentiment_confidence,
         CASE WHEN u >= greatest(p, n) OR (abs(p - n) < 0.12 AND u >= 0.30) THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS sentiment_label FROM e)"""
-_LABEL = "CASE WHEN avg(sentiment_score) > 0.05 THEN 'positive' WHEN avg(sentiment_score) < -0.05 THEN 'negative' ELSE 'neutral' END"
-_MEANS = ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence"))
+
+
+def _mean(c: str) -> str:
+    return f"avg(CAST({c} AS DECIMAL(18, 12)))"
+
+
+def _six(e: str) -> str:
+    """Six places, a tie going up: engines round a tie of decimals that isn't one of doubles either way."""
+    return f"round({e} + 1e-10, 6) + 0.0"
+
+
+_LABEL = f"CASE WHEN {_mean('sentiment_score')} > 0.05 THEN 'positive' WHEN {_mean('sentiment_score')} < -0.05 THEN 'negative' ELSE 'neutral' END"
+_MEANS = ", ".join(f"{_six(_mean(c))} AS {c}" for c in ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence"))
 
 
 def valid_posts(spark, sf_dir):
@@ -50,7 +61,7 @@ def scored(spark, sf_dir):
 
 
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})  # no negative zero
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) + 0.0 for c in columns})  # ties go up; no negative zero
 
 
 _PROBS = ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence")
@@ -86,7 +97,7 @@ def lexicon_hits(spark, sf_dir):
     return sentiment.with_hits(adapters.posts(spark, sf_dir)).select("event_id", "pos_hits", "neg_hits", "words")
 
 
-_ROW = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _PROBS)
+_ROW = ", ".join(f"{_six(c)} AS {c}" for c in _PROBS)
 
 
 @query(f"WITH {_SCORED} SELECT event_id, ticker, {_ROW}, sentiment_label FROM scored")
@@ -100,7 +111,7 @@ def sentiment_high_confidence(spark, sf_dir):
     return rounded(df, *_PROBS).select("event_id", "ticker", *_PROBS, "sentiment_label")
 
 
-@query(f"""WITH {_SCORED} SELECT date, ticker, {', '.join(f"round(avg({c}), 6) + 0.0 AS avg_{c}" for c in (*_PROBS, 'post_score'))}, count(text) AS mention_count
+@query(f"""WITH {_SCORED} SELECT date, ticker, {', '.join(f"{_six(_mean(c))} AS avg_{c}" for c in _PROBS)}, {_six('avg(post_score)')} AS avg_post_score, count(text) AS mention_count
   FROM scored GROUP BY date, ticker""")
 def sentiment_by_ticker_date(spark, sf_dir):
     df = sentiment.by_ticker_date(scored(spark, sf_dir))
@@ -118,10 +129,10 @@ def sentiment_by_source(spark, sf_dir):
 
 
 @query(f"""WITH {_SCORED} SELECT coalesce(ticker, 'all') AS ticker, coalesce(source, 'all') AS source, coalesce(date, 'all') AS date, count(*) AS posts,
-  round(avg(sentiment_score), 6) + 0.0 AS sentiment_score FROM scored GROUP BY ROLLUP (ticker, source, date)""")
+  {_six(_mean('sentiment_score'))} AS sentiment_score FROM scored GROUP BY ROLLUP (ticker, source, date)""")
 def sentiment_rollup(spark, sf_dir):
-    out = scored(spark, sf_dir).rollup("ticker", "source", "date").agg(F.count("*").alias("posts"), (F.round(F.avg("sentiment_score"), 6) + 0.0).alias("sentiment_score"))
-    return out.withColumns({c: F.coalesce(c, F.lit("all")) for c in ("ticker", "source", "date")})
+    out = scored(spark, sf_dir).rollup("ticker", "source", "date").agg(F.count("*").alias("posts"), sentiment.mean("sentiment_score").alias("sentiment_score"))
+    return rounded(out, "sentiment_score").withColumns({c: F.coalesce(c, F.lit("all")) for c in ("ticker", "source", "date")})
 
 
 @query(f"WITH {POSTS_SQL} SELECT ticker, round(coalesce(avg(post_score), 0), 6) AS avg_post_score, count(*) AS post_count FROM posts WHERE {_VALID} GROUP BY ticker")
