@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, MinHashLSH, NGram, RegexTokenizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,21 +25,56 @@ def equal_texts(df: DataFrame) -> DataFrame:
     return words.join(least, "words", "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
-def near_pairs(df: DataFrame, distance: float = 0.2, width: int = 5, tables: int = 12) -> DataFrame:
+def near_pairs(df: DataFrame, distance: float = 0.2, width: int = 5) -> DataFrame:
     """The pairs of ``minhash_pairs``, and each copy paired with the least id of its class at distance 0: all stories are reached, in rows linear in the copies."""
     copies = equal_texts(df).where("class <> id").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
-    return minhash_pairs(df, distance, width, tables).unionByName(copies)
+    return minhash_pairs(df, distance, width).unionByName(copies)
 
 
-def minhash_pairs(df: DataFrame, distance: float = 0.2, width: int = 5, tables: int = 12) -> DataFrame:
-    """Pairs of different texts whose shingles of ``width`` words have a Jaccard distance below ``distance``; equal texts are collapsed first, ``equal_texts`` has their members."""
-    text = df.groupBy(normalized_title(F.col("title")).alias("words")).agg(F.min("story_id").alias("id")).where(F.size(F.split("words", " ")) >= width)
-    tokens = RegexTokenizer(inputCol="words", outputCol="tokens", pattern=r"\s+").transform(text)
-    grams = NGram(n=width, inputCol="tokens", outputCol="grams").transform(tokens)
-    vectors = HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 18, binary=True).transform(grams).select("id", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, distance, "distance")
-    return pairs.where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
+#: MinHash bands and minima in each: a pair of similarity 0.8 shares no band with a probability of 0.0004.
+BANDS, ROWS = 20, 5
+#: Rows of a band's bucket that meet in one task, about.
+BUCKET = 1000
+
+
+def shingle_sets(df: DataFrame, width: int = 5) -> DataFrame:
+    """``(id, grams)``: the least id of each different text of ``width`` words or more, and its different shingles as hashes."""
+    words = F.split(normalized_title(F.col("title")), " ")
+    text = df.groupBy(words.alias("w")).agg(F.min("story_id").alias("id")).where(F.size("w") >= width)
+    # the words behind each place stand beside each other, so a shingle needs no look into the whole array
+    n = F.size("w") - width + 1
+    beside = F.arrays_zip(*[F.slice("w", k + 1, n) for k in range(width)])
+    grams = F.transform(beside, lambda x: F.xxhash64(*[x[str(k)] for k in range(width)]))
+    return text.select("id", F.when(F.size("w") >= width, F.array_distinct(grams)).alias("grams"))
+
+
+def band_pairs(sets: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: different texts that share a band of their MinHash signatures; large buckets meet as pairs of blocks."""
+    minima = sets.select("id", F.explode("grams").alias("g")).groupBy("id").agg(*[F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    keyed = minima.select("id", F.explode(F.array(*keys)).alias("key")).checkpoint()
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    left = dealt.select("key", F.col("id").alias("a"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = dealt.select("key", F.col("id").alias("b"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"))
+    met = left.join(right, ["key", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def minhash_pairs(df: DataFrame, distance: float = 0.2, width: int = 5) -> DataFrame:
+    """Pairs of different texts whose shingles of ``width`` words have a Jaccard distance below ``distance``.
+
+    Equal texts are collapsed first (``equal_texts`` has their members). Bands
+    of MinHash signatures give candidates, the whole sets decide.
+    """
+    shared_checkpoints(df.sparkSession)
+    sets = shingle_sets(df, width).checkpoint()
+    pairs = band_pairs(sets)
+    x = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    apart = 1 - F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
+    return both.select("a", "b", apart.alias("distance")).where(F.col("distance") < distance - 1e-12)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -63,18 +97,13 @@ def semantic_pairs(df: DataFrame, threshold: float, hours: int = 36) -> DataFram
     return joined.select("ticker", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(id, root)``: the least id that can be reached. Labels spread along links and jump to their own label's label; each round is checkpointed."""
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, root)``: the least id that can be reached. Labels spread along links and jump to their own label's label, until nothing changes; each round is checkpointed."""
     spark = nodes.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/stories")
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    shared_checkpoints(spark)
     links = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
-    for _ in range(rounds):
+    while True:
         least = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         new = labels.join(least, "id", "left").select("id", "root", F.least("root", "near").alias("low"))
         jump = new.select(F.col("id").alias("low"), F.col("low").alias("lower"))
@@ -83,7 +112,15 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFram
         labels = new.select("id", F.col("next").alias("root"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; only a local master may run without that setting."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not own and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(own or "/tmp/checkpoints/stories")
 
 
 def salience(themes: DataFrame) -> DataFrame:

@@ -57,13 +57,25 @@ def canonical_story(spark, sf_dir):
     return s.select("story_id", "key").join(stories.exact(s, F.col("key")), "key").select("story_id", "canonical_id")
 
 
-@query()
+_NEAR = """words AS (SELECT doc_id AS id, nullif(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), '') AS w FROM documents),
+ classes AS (SELECT id, coalesce(min(id) OVER (PARTITION BY w), id) AS class, w FROM words WHERE w IS NOT NULL UNION ALL SELECT id, id, w FROM words WHERE w IS NULL),
+ texts AS (SELECT id, string_split(w, ' ') AS l FROM classes WHERE id = class AND w IS NOT NULL AND len(string_split(w, ' ')) >= 5),
+ grams AS (SELECT DISTINCT id, array_to_string(l[i : i + 4], ' ') AS g FROM (SELECT id, l, unnest(range(1, len(l) - 3)) AS i FROM texts)),
+ sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+ common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+ near AS (SELECT a, b, 1 - CAST(c AS DOUBLE) / (p.n + q.n - c) AS distance FROM common JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 5 * c > 4 * (p.n + q.n - c)
+   UNION ALL SELECT class, id, 0.0 FROM classes WHERE class <> id)"""
+
+
+@query(f"WITH {_NEAR} SELECT a, b, distance FROM near")
 def dedup_minhash(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("title", F.col("body"))
     return stories.near_pairs(s)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+  reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)
+  SELECT id, min(other) AS root FROM reach GROUP BY id""")
 def story_components(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("title", F.col("body"))
     return stories.components(s.select(F.col("story_id").alias("id")), stories.near_pairs(s))
