@@ -75,3 +75,15 @@ def test_distinct_ids_reach_the_minimum(spark):
         groups.setdefault(t, [i, 0])[1] += len(t) + 1
     totals = [sum(r["size"] for r in out if r.shard == s) for s in range(5)]
     assert max(totals) == plain_minimax([g[1] for g in sorted(groups.values())], 5)
+
+
+@pytest.mark.parametrize("at", [0, 550, 1100])
+def test_a_large_group_leaves_the_others_even(at):
+    sizes = [25 + i % 5 for i in range(1100)]
+    sizes.insert(at, 100_000)
+    blocks = [sizes[i : i + 64] for i in range(0, len(sizes), 64)]
+    ordered = sharding.Ordered([sum(b) for b in blocks], max(sizes), lambda i: np.array(blocks[i]))
+    best, cuts = sharding.minimax(ordered, 8)
+    bounds = [0, *[b * 64 + k for b, k in cuts], len(sizes)]
+    totals = sorted(sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:]))
+    assert totals[-1] == best and totals[0] > 0 and totals[-2] < 1.6 * totals[0]

@@ -4,7 +4,9 @@ Documents of equal text are one atomic group. Groups stand in the order of
 their first document, and the ordered sizes are cut into ``shards`` runs so
 that the largest run is as small as it can be: the capacity is binary
 searched, each candidate is checked greedily, and the cuts of the smallest
-feasible one are taken.
+feasible one are taken. Among the cuts that keep to this capacity those nearest
+to equal shares of what is left are chosen, so that a large group, which may set
+the capacity alone, leaves no shard empty while others are full.
 
 The ordered sizes stay in the shared folder as blocks. The driver holds the
 sum of each block and, one at a time, the sizes of the blocks that a cut
@@ -14,6 +16,7 @@ alone, so the exact search touches few blocks.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -56,6 +59,57 @@ class Ordered:
         n = int(np.searchsorted(sums, goal - int(self.ends[block]), "right"))
         return int(self.ends[block]) + (int(sums[n - 1]) if n else 0), (block, n)
 
+    def last(self, goal: int) -> tuple[int, tuple[int, int]]:
+        """The last end of a group at or before ``goal`` bytes: the sum, and its cut."""
+        return self.reach(goal, 0)
+
+    def first(self, goal: int) -> tuple[int, tuple[int, int]]:
+        """The first end of a group at or behind ``goal`` bytes."""
+        if goal <= 0:
+            return 0, (0, 0)
+        block = min(int(np.searchsorted(self.ends, goal, "left")) - 1, len(self.ends) - 2)
+        sums = self.inside(block)
+        n = int(np.searchsorted(sums, goal - int(self.ends[block]), "left"))
+        return int(self.ends[block]) + int(sums[n]), (block, n + 1)
+
+    def ahead(self, at: int, share: int) -> tuple[int, tuple[int, int]]:
+        """The end of a shard that begins at ``at`` and holds ``share`` bytes at most, or one larger group."""
+        there = self.reach(at, share)
+        return there if there[0] > at or at >= self.total else self.first(at + 1)
+
+    def back(self, end: int, share: int) -> int:
+        """The first begin of such a shard that ends at ``end``."""
+        begin = self.first(end - share)[0]
+        return begin if begin < end or end <= 0 else self.last(end - 1)[0]
+
+    def share(self, capacity: int, shards: int) -> int:
+        """The least bytes that shards need if larger groups have shards of their own."""
+        low, high = 1, capacity
+        while low < high:
+            middle, at = (low + high) // 2, 0
+            for _ in range(shards):
+                at = self.ahead(at, middle)[0]
+            low, high = (low, middle) if at >= self.total else (middle + 1, high)
+        return low
+
+    def even(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Cuts near equal shares, no shard above the least :meth:`share` but for single larger groups."""
+        share = self.share(capacity, shards)
+        starts = [self.total]  # the first place from which 0, 1, ... shards hold the rest
+        for _ in range(shards - 1):
+            starts.append(self.back(starts[-1], share))
+        at, out = 0, []
+        for left in range(shards, 1, -1):
+            low, high = max(at, starts[left - 1]), self.ahead(at, share)[0]
+            goal = min(max(at + (self.total - at) / left, low), high)
+            before, after = self.last(math.floor(goal)), self.first(min(math.ceil(goal), self.total))
+            take = before
+            if after[0] <= high and (before[0] <= at or before[0] < low or after[0] - goal < goal - before[0]):
+                take = after
+            at, cut = take
+            out.append(cut)
+        return out
+
     def cuts(self, capacity: int, shards: int) -> list[tuple[int, int]] | None:
         """Greedy cuts, or None if ``shards`` shards don't hold everything."""
         at, out = 0, []
@@ -73,7 +127,7 @@ class Ordered:
 
 
 def minimax(sizes: Ordered, shards: int) -> tuple[int, list[tuple[int, int]]]:
-    """The least capacity of a contiguous partition, and its cuts (block, groups of the block before the cut)."""
+    """The least capacity of a contiguous partition, and even cuts that keep to it (block, groups of the block before the cut)."""
 
     def least(low: int, high: int, good) -> int:
         while low < high:
@@ -88,7 +142,7 @@ def minimax(sizes: Ordered, shards: int) -> tuple[int, list[tuple[int, int]]]:
     top = low + sizes.largest
     high = max(low, min(top, least(low, max(top, sizes.total), lambda c: sizes.coarse(c, shards, False))))
     best = least(low, high, lambda c: sizes.cuts(c, shards) is not None)
-    return best, sizes.cuts(best, shards)
+    return best, sizes.even(best, shards)
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
