@@ -68,3 +68,19 @@ def test_broken_images_have_nulls(spark):
     df = spark.createDataFrame([(1, b"junk"), (2, None), (3, b"P5 1 1 255\n\x07")], "k int, media binary")
     got = {r.k: r for r in media.features(df, samples=True).collect()}
     assert got[1].feature is None and got[2].tile is None and bytes(got[3].samples) == b"\x07"
+
+
+def short_palette():
+    """A BMP with two colours and samples beyond them."""
+    raw = bytearray(media.encode_bmp(np.full((2, 4), 9, np.uint8)))
+    raw[46:50] = (2).to_bytes(4, "little")
+    return bytes(raw)
+
+
+def test_images_with_samples_out_of_range_have_nulls(spark):
+    bad = [short_palette(), b"P2 2 1 10\n255 3", b"P3 1 1 7\n1 2 8", b"P5 1 1 10\n\xff", b"P2 1 1 9\n99999999999999999999", b"P5 99999999 99999999 255\n1"]
+    rows = [(i, b, 5, "t", "s", "h") for i, b in enumerate(bad)] + [(9, b"P2 1 1 10\n10", 5, "t", "s", "h")]
+    df = spark.createDataFrame(rows, "k int, media binary, width int, tile string, samples string, `a.b` string")
+    got = {r.k: r for r in media.features(df, samples=True).collect()}
+    assert len(got) == len(rows) and all(got[i].feature is None for i in range(len(bad)))
+    assert bytes(got[9].samples) == b"\xff" and got[9].width == 1 and got[9]["a.b"] == "h" and bytes(got[9].media) == b"P2 1 1 10\n10"

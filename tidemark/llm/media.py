@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, slabs, written
+from .common import bounded_batches, column, id_texts, named, slabs, written
 
 WIDTH = 64
 TILE = 16
@@ -60,6 +61,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
         return body[:, : width * 3].reshape(abs(height), width, 3)[:, :, ::-1]
     used = struct.unpack_from("<I", raw, 46)[0] or 256
     palette = np.frombuffer(raw, np.uint8, used * 4, 14 + size).reshape(used, 4)[:, 2::-1]
+    if int(body[:, :width].max()) >= used:
+        raise ValueError("a palette index out of range")
     image = palette[body[:, :width]]
     return image[:, :, 0] if (palette == palette[:, :1]).all() else image
 
@@ -89,6 +92,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     else:
         values = np.frombuffer(raw, np.uint8, width * height * depth, at + 1)
     values = values[: width * height * depth]
+    if kind not in (b"P1", b"P4") and len(values) and not 0 <= values.min() <= values.max() <= most:
+        raise ValueError("samples out of range")
     if kind in (b"P1", b"P4"):
         values = (1 - values) * 255
     elif most != 255:
@@ -145,32 +150,40 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             media = [encode_pgm(payload(r)) for r in raws]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = id_texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     kind = picked.schema["id"].dataType.simpleString()
     return written(picked.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary"), "media")
 
 
+#: The columns that :func:`features` makes.
+NEW = {"width": T.IntegerType(), "height": T.IntegerType(), "feature": T.StringType(), "tile": T.BinaryType(), "samples": T.BinaryType()}
+
+
 def features(table: DataFrame, media_col: str = "media", samples: bool = False) -> DataFrame:
     """The table with ``width, height, feature`` (difference hash) and ``tile`` (NPY) of each stored image.
 
-    ``samples`` adds the decoded grey samples. A null or broken image has
-    nulls there. Repeated rows get equal values; an empty table stays empty.
+    ``samples`` adds the decoded grey samples. A null or broken image, also one
+    with samples or palette indices out of range, has nulls there. A column of
+    the table that has the name of a new one gives way to it. Repeated rows get equal values; an empty table stays empty.
     """
+    bounded_batches(table.sparkSession)
+    media = named(media_col).alias("__media")
+    table = table.select(*[named(c) for c in table.columns if c not in NEW], media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(lo, 256), []
-                for raw in column(part, media_col).to_pylist():
+                for raw in part.column(part.num_columns - 1).to_pylist():
                     try:
                         image = decode(raw or b"")
                         rows.append((image.shape[1], image.shape[0], difference_hash(image), tile(image), grey(image).tobytes() if samples else None))
-                    except (ValueError, struct.error):
+                    except (ValueError, IndexError, OverflowError, struct.error):
                         rows.append((None,) * 5)
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
                 made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "width", "height", "feature", "tile", "samples"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *NEW])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
-    out = table.mapInArrow(run, f"{fields}, width int, height int, feature string, tile binary, samples binary")
+    schema = T.StructType([*table.schema.fields[:-1], *(T.StructField(n, k) for n, k in NEW.items())])
+    out = table.mapInArrow(run, schema)
     return out if samples else out.drop("samples")
