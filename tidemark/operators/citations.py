@@ -64,3 +64,17 @@ def resolved(summaries: DataFrame) -> DataFrame:
     cited = summaries.select("theme_id", "stories", F.posexplode("sentences").alias("sentence", "s")).select("theme_id", "stories", "sentence", F.posexplode("s.citation_ids").alias("place", "id"))
     story = F.get(F.filter("stories", lambda s: s["id"] == F.col("id")), F.lit(0))
     return cited.select("theme_id", "sentence", "place", "id", story["title"].alias("headline"), story["outlet"].alias("outlet"), story["published_at"].alias("published_at"))
+
+
+def with_retry(themes: DataFrame, generate) -> DataFrame:
+    """Summaries of ``generate(themes, attempt)`` that pass the rules; the second attempt gets only what failed in the first.
+
+    ``generate`` returns the themes with ``label`` and ``sentences``. A theme
+    that fails twice is degraded: it keeps its stories and has no summary.
+    """
+    ok = F.coalesce(acceptable(F.col("label"), F.col("sentences"), F.transform("stories", lambda s: s["id"])), F.lit(False))
+    first = generate(themes, 1).withColumn("ok", ok)
+    again = generate(first.where(~F.col("ok")).select(*themes.columns), 2).withColumn("ok", ok)
+    kept = F.when(F.col("ok"), F.col("label")), F.when(F.col("ok"), F.col("sentences"))
+    second = again.select(*themes.columns, kept[0].alias("label"), kept[1].alias("sentences"), F.when(F.col("ok"), "accepted_after_retry").otherwise("degraded").alias("status"))
+    return first.where("ok").select(*themes.columns, "label", "sentences", F.lit("accepted").alias("status")).unionByName(second)

@@ -79,6 +79,32 @@ def batch_tickers(tickers: list[str], limit: int = BATCH_LIMIT) -> list[str]:
     return wanted
 
 
+def dashboard_batch(wanted: list[str], posts: DataFrame, bars: DataFrame, fundamentals: DataFrame, headlines: int = 6) -> DataFrame:
+    """A nested row for each wanted ticker: market, sentiment, history, scored headlines, prediction and fundamentals, with their states.
+
+    ``posts`` are valid posts. Tickers without any post are left out, as they
+    are in single requests; all other sides may be missing.
+    """
+    from . import market, sentiment, signal
+
+    posts, bars = posts.where(F.col("ticker").isin(wanted)), bars.where(F.col("ticker").isin(wanted))
+    scored = sentiment.with_sentiment(posts)
+    overall = sentiment.overall(scored, "ticker")
+    overall = overall.select("ticker", F.struct(*[c for c in overall.columns if c != "ticker"]).alias("sentiment"))
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy("date", "event_id"))
+    told = scored.withColumn("rank", rank).where(F.col("rank") <= headlines)
+    told = told.select("ticker", F.struct("rank", F.col("text").alias("headline"), "source", "date", F.struct(*sentiment.SCORES).alias("sentiment")).alias("h"))
+    told = told.groupBy("ticker").agg(F.array_sort(F.collect_list("h")).alias("headlines"))
+    snap = market.snapshot(bars)
+    snap = snap.select("ticker", F.struct(*[c for c in snap.columns if c != "ticker"]).alias("market"))
+    points = market.history(bars).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close", "volume"))).alias("history"))
+    own = fundamentals.select("ticker", F.struct(*[c for c in fundamentals.columns if c != "ticker"]).alias("fundamentals"))
+    outcome = signal.gate(F.col("ticker"), F.lit(True), F.lit(True), F.lit(False))
+    out = overall.join(told, "ticker", "left").join(snap, "ticker", "left").join(points, "ticker", "left").join(own, "ticker", "left")
+    state = lambda c: F.when(F.col(c).isNull(), "unavailable").otherwise("live").alias(f"{c}_status")
+    return out.select("*", F.struct(outcome.alias("outcome")).alias("prediction"), state("market"), state("history"), state("headlines"), state("fundamentals"))
+
+
 def score_gates(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     """Precision and recall of labelled pairs, success and degraded rates, each against its gate."""
     p = pairs.agg(

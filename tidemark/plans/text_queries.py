@@ -78,9 +78,12 @@ def post_validity(spark, sf_dir):
     return adapters.posts(spark, sf_dir).select("event_id", "ticker", "text", "source", post_ops.is_valid(F.col("text"), F.col("source")).alias("valid"))
 
 
-@query(f"""WITH {POSTS_SQL} SELECT event_id, source, CASE WHEN lower(coalesce(content_type, '')) IN ('social_post', 'publisher_headline') THEN lower(content_type)
+_KIND_SQL = f"""CASE WHEN lower(coalesce(content_type, '')) IN ('social_post', 'publisher_headline') THEN lower(content_type)
   WHEN lower(coalesce(content_type, '')) = 'news_headline' THEN 'publisher_headline'
-  WHEN {' OR '.join(f"contains(lower(source), '{s}')" for s in fixed.SOCIAL_SOURCES)} THEN 'social_post' ELSE 'publisher_headline' END AS kind FROM posts""")
+  WHEN {' OR '.join(f"contains(lower(source), '{s}')" for s in fixed.SOCIAL_SOURCES)} THEN 'social_post' ELSE 'publisher_headline' END"""
+
+
+@query(f"WITH {POSTS_SQL} SELECT event_id, source, {_KIND_SQL} AS kind FROM posts")
 def content_type(spark, sf_dir):
     return adapters.posts(spark, sf_dir).select("event_id", "source", post_ops.content_type(F.col("content_type"), F.col("source")).alias("kind"))
 

@@ -50,9 +50,13 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, ticker, date, text, source, content_type, post_score``."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        "event_id",
+    return posts_of(table(spark, sf_dir, "events"))
+
+
+def posts_of(events: DataFrame, *more: str) -> DataFrame:
+    """Posts of events, streaming or not, with ``more`` of their columns."""
+    return events.select(
+        "event_id", *more,
         pick(TICKERS, F.col("user_id") % 5).alias("ticker"),
         F.to_date("ts").cast("string").alias("date"),
         pick(HEADLINES, F.col("event_id") % len(HEADLINES)).alias("text"),

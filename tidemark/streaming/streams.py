@@ -51,26 +51,103 @@ def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert-once on (user, type): a batch adds keys that are not stored yet; a batch that comes twice overwrites itself."""
+    """Insert-once on (user, type): the state keeps the least id of each key, whatever files come in whatever order.
+
+    Each batch logs the keys that it changes, under its number, so a batch
+    that comes twice overwrites itself; the least id of the log is the result.
+    """
     out = folder(spark, "dedupe")
+    least = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+    def log(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run(least.writeStream.outputMode("update").foreachBatch(log), spark, "dedupe")
+    return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+def merge_window(spark: SparkSession, sf_dir: str, hours: int = 36) -> DataFrame:
+    """Clicks and purchases of one user within ``hours`` of each other: a join of two streams whose state goes with the watermark."""
+    out = folder(spark, "merge")
+    side = lambda kind, name: events(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("at", f"{2 * hours} hours").select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("at").alias(f"{name}_at"))
+    a, b = side("click", "a"), side("purchase", "b")
+    near = (F.col("a_user") == F.col("b_user")) & F.col("b_at").between(F.col("a_at") - F.expr(f"INTERVAL {hours} HOURS"), F.col("a_at") + F.expr(f"INTERVAL {hours} HOURS"))
+    pairs = a.join(b, near).select("a", "b")
+    run(pairs.writeStream.outputMode("append").format("parquet").option("path", out), spark, "merge")
+    return spark.read.schema(pairs.schema).parquet(out)
+
+
+def _last_of(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """The last batch of a query in complete mode."""
+    out = folder(spark, label)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    run(df.writeStream.outputMode("complete").foreachBatch(keep), spark, label)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type in windows of a day that begin each twelve hours."""
+    counts = events(spark, sf_dir).groupBy(F.window("at", "1 day", "12 hours"), "event_type").agg(F.count("*").alias("events"))
+    return _last_of(counts, spark, "sliding").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "events")
+
+
+def sessions(spark: SparkSession, sf_dir: str, gap: str = "6 hours") -> DataFrame:
+    """Sessions of each user that a pause of ``gap`` ends."""
+    counts = events(spark, sf_dir).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("events"))
+    return _last_of(counts, spark, "sessions").select("user_id", F.col("session_window.start").alias("start"), "events")
+
+
+def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid posts of a stream, scored and averaged by date and ticker."""
+    from ..operators import posts, sentiment
+    from ..sources import adapters
+
+    rows = adapters.posts_of(events(spark, sf_dir))
+    scored = sentiment.with_sentiment(rows.where(posts.is_valid(F.col("text"), F.col("source"))))
+    means = scored.groupBy("date", "ticker").agg(sentiment.mean("sentiment_score").alias("avg_sentiment_score"), F.count("*").alias("posts"))
+    return _last_of(means, spark, "sentiment")
+
+
+def ttl_cache(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
+    """``user_id, hits, misses``: each user's events in time order ask a cache; an entry serves for ``seconds`` after it was stored.
+
+    The state is the time of the entry and two counts; rows of one batch are
+    sorted by time, and batches must come in time order.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def ask(key, frames, state):
+        import pandas as pd
+
+        stored, hits, misses = state.get if state.exists else (None, 0, 0)
+        for at in sorted(t for f in frames for t in f["micros"].tolist()):
+            if stored is not None and at - stored <= seconds * 1_000_000:
+                hits += 1
+            else:
+                stored, misses = at, misses + 1
+        state.update((stored, hits, misses))
+        yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses]})
+
+    out, rows = folder(spark, "ttl"), events(spark, sf_dir).select("user_id", F.unix_micros("at").alias("micros"))
+    asked = rows.groupBy("user_id").applyInPandasWithState(ask, "user_id bigint, hits bigint, misses bigint", "stored bigint, hits bigint, misses bigint", "update", GroupStateTimeout.NoTimeout)
 
-    def insert(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-        if number:
-            known = spark.read.parquet(*[f"{out}/batch={k}" for k in range(number)])
-            new = new.join(known.select("user_id", "event_type"), ["user_id", "event_type"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def log(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run(events(spark, sf_dir).writeStream.foreachBatch(insert), spark, "dedupe")
-    return spark.read.parquet(out).select("user_id", "event_type", "event_id")
+    run(asked.writeStream.outputMode("update").foreachBatch(log), spark, "ttl")
+    return spark.read.parquet(out).groupBy("user_id").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitions by type, written twice from the start with dynamic overwrite: the second run replaces, it does not add."""
+    """Partitions by batch and type, written twice from the start with dynamic overwrite: the second run makes the same batches and replaces them, it does not add."""
     out = folder(spark, "replay")
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.select("event_id", "value", "event_type").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type").parquet(out)
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.select("event_id", "value", F.lit(number).alias("batch"), "event_type")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "event_type").parquet(out)
 
     for turn in range(2):
         run(events(spark, sf_dir).writeStream.foreachBatch(store), spark, f"replay{turn}")
