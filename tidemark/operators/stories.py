@@ -131,11 +131,11 @@ def salience(themes: DataFrame) -> DataFrame:
     return scored.withColumn("salience_rank", F.row_number().over(w.orderBy(F.col("salience").desc(), "theme_id")))
 
 
-def best_previous(today: DataFrame, before: DataFrame, threshold: float) -> DataFrame:
-    """For each theme the most similar earlier theme of its ticker, if similar enough. Themes are few for each ticker and day."""
-    pairs = today.join(before.select("ticker", F.col("theme_id").alias("previous_id"), F.col("centroid").alias("old")), "ticker")
-    scored = pairs.withColumn("similarity", cosine(F.col("centroid"), F.col("old")))
-    best = scored.groupBy("ticker", "theme_id").agg(F.max(F.struct("similarity", (-F.col("previous_id")).alias("k"))).alias("m"))
+def best_previous(themes: DataFrame, threshold: float) -> DataFrame:
+    """For each theme the most similar theme of its ticker in the run before (``run`` counts up), if similar enough. A ticker has few themes in a run."""
+    before = themes.select("ticker", (F.col("run") + 1).alias("run"), F.col("theme_id").alias("previous_id"), F.col("centroid").alias("old"))
+    scored = themes.join(before, ["ticker", "run"]).withColumn("similarity", cosine(F.col("centroid"), F.col("old")))
+    best = scored.groupBy("ticker", "run", "theme_id").agg(F.max(F.struct("similarity", (-F.col("previous_id")).alias("k"))).alias("m"))
     best = best.where(F.col("m.similarity") >= threshold)
     return best.select("ticker", "theme_id", (-F.col("m.k")).alias("previous_id"), F.col("m.similarity").alias("similarity"))
 

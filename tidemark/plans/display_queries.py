@@ -53,7 +53,9 @@ def portfolio(spark, sf_dir):
     return c.groupBy((F.col("c_nationkey") % 5).alias("book")).agg(F.count("*").alias("positions"), F.round(F.sum("c_acctbal"), 2).alias("value"), F.round(F.sum(F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")).otherwise(0.0)), 2).alias("losses"))
 
 
-@query()
+@query("""WITH y AS (SELECT CAST(ts AS TIMESTAMP) AS at_, make_date(year(ts), 3, 1) AS march, make_date(year(ts), 11, 1) AS november FROM events),
+  d AS (SELECT at_, march + CAST(7 + (7 - dayofweek(march)) % 7 AS INTEGER) AS first, november + CAST((7 - dayofweek(november)) % 7 AS INTEGER) AS last FROM y)
+  SELECT CAST(CAST(at_ - CASE WHEN at_ >= first + INTERVAL 7 HOUR AND at_ < last + INTERVAL 6 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS DATE) AS VARCHAR) AS day, count(*) AS events FROM d GROUP BY 1""")
 def trading_days(spark, sf_dir):
     e = adapters.table(spark, sf_dir, "events")
     return e.groupBy(display.trading_day(F.col("ts").cast("timestamp")).cast("string").alias("day")).agg(F.count("*").alias("events"))

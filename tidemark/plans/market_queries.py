@@ -101,8 +101,15 @@ def posts_as_of_bars(spark, sf_dir):
     return out.select("event_id", "ticker", "date", "bar_date", F.round("bar_close", 6).alias("bar_close"))
 
 
-@query(f"WITH {BARS_SQL} SELECT ticker, substr(date, 1, 7) AS month, round(arg_min(close, date), 6) AS open, round(max(high), 6) AS high, round(min(close), 6) AS low, round(arg_max(close, date), 6) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars WHERE date BETWEEN '1994-01-01' AND '1996-12-31' GROUP BY 1, 2")
+@query(f"WITH {BARS_SQL} SELECT ticker, substr(date, 1, 7) AS month, round(arg_min(close, date), 6) AS open, round(max(high), 6) AS high, round(min(close), 6) AS low, round(arg_max(close, date), 6) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY 1, 2")
 def monthly_bars(spark, sf_dir):
-    b = adapters.bars(spark, sf_dir).where(F.col("date").between("1994-01-01", "1996-12-31"))
+    b = adapters.bars(spark, sf_dir)
     out = b.groupBy("ticker", F.substring("date", 1, 7).alias("month")).agg(F.min_by("close", "date").alias("open"), F.max("high").alias("high"), F.min("close").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
     return rounded(out, "open", "high", "low", "close")
+
+
+@query(f"WITH {BARS_SQL} SELECT ticker, date, round(close, 6) AS close, volume FROM bars WHERE date BETWEEN '1994-01-01' AND '1996-12-31'")
+def bars_in_range(spark, sf_dir):
+    """The bars of a range of dates, which is what is asked for."""
+    b = adapters.bars(spark, sf_dir).where(F.col("date").between("1994-01-01", "1996-12-31"))
+    return b.select("ticker", "date", F.round("close", 6).alias("close"), "volume")

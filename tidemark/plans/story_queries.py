@@ -115,13 +115,13 @@ def theme_salience(spark, sf_dir):
     return stories.salience(themes).select("ticker", "theme_id", "stories", "outlets", F.round("salience", 6).alias("salience"), "salience_rank")
 
 
-@query(f"""WITH {_EMB}, p AS (SELECT x.ticker, x.vec_id AS theme_id, y.vec_id AS previous_id, {_DOT} AS similarity FROM e x JOIN e y ON x.ticker = y.ticker AND x.vec_id % 10 = 0 AND y.vec_id % 10 = 5),
+@query(f"""WITH {_EMB}, d AS (SELECT *, published // 86400 AS run FROM e), p AS (SELECT x.ticker, x.vec_id AS theme_id, y.vec_id AS previous_id, {_DOT} AS similarity FROM d x JOIN d y ON x.ticker = y.ticker AND x.run = y.run + 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY ticker, theme_id ORDER BY similarity DESC, previous_id) AS k FROM p)
   SELECT ticker, theme_id, previous_id, round(similarity, 6) AS similarity FROM r WHERE k = 1 AND similarity >= 0.2""")
 def theme_stability(spark, sf_dir):
-    v = _vectors(spark, sf_dir).withColumnsRenamed({"story_id": "theme_id", "embedding": "centroid"})
-    out = stories.best_previous(v.where("theme_id % 10 = 0"), v.where("theme_id % 10 = 5"), 0.2)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    """Each day's themes against those of the day before."""
+    v = _vectors(spark, sf_dir).withColumnsRenamed({"story_id": "theme_id", "embedding": "centroid"}).withColumn("run", F.floor(F.unix_timestamp("published_at") / 86400))
+    return stories.best_previous(v, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {_STORIES}, t AS (SELECT story_id // 20 AS theme_id, sha256(string_agg(CAST(story_id AS VARCHAR), ',' ORDER BY CAST(story_id AS VARCHAR))) AS content_hash FROM s GROUP BY 1)
@@ -178,11 +178,11 @@ def guardrail_status(spark, sf_dir):
 
 def _themes(spark, sf_dir):
     s = adapters.stories(spark, sf_dir).withColumn("theme_id", F.expr("story_id div 5"))
-    story = F.struct(F.col("story_id").alias("order"), F.col("story_id").cast("string").alias("id"), F.substring("title", 1, 20).alias("title"), F.lit("d").alias("description"), "outlet", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"))
+    story = F.struct(F.col("story_id").alias("order"), F.col("story_id").cast("string").alias("id"), "title", F.col("body").alias("description"), "outlet", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"))
     return s.groupBy("theme_id").agg(F.array_sort(F.collect_list(story)).alias("stories")).withColumn("ticker", F.lit("TSLA"))
 
 
-@query("""WITH t AS (SELECT doc_id // 5 AS theme_id, string_agg('- id: ' || doc_id || chr(10) || '  title: ' || substr(text, 1, 20) || chr(10) || '  description: d' || chr(10) || '  outlet: ' || source || chr(10) || '  time: ' ||
+@query("""WITH t AS (SELECT doc_id // 5 AS theme_id, string_agg('- id: ' || doc_id || chr(10) || '  title: ' || text || chr(10) || '  description: ' || text || chr(10) || '  outlet: ' || source || chr(10) || '  time: ' ||
     strftime(make_timestamp((1700000000 + doc_id * 600) * 1000000), '%Y-%m-%d'), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1)
   SELECT theme_id, sha256('Ticker: TSLA' || chr(10) || 'Member stories:' || chr(10) || body) AS prompt_sha256 FROM t""")
 def prompt_serialization(spark, sf_dir):

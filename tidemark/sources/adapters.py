@@ -89,7 +89,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("story_id"), pick(TICKERS, F.col("doc_id") % 5).alias("ticker"),
-        F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"), F.col("source").alias("outlet"),
+        F.col("text").alias("title"), F.col("text").alias("body"), F.col("source").alias("outlet"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 600).alias("published_at"),
     )
 
