@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, text
 from tidemark.operators import citations, market, matching, posts, sentiment, serving, signal, stories
-from tidemark.plans import display_queries, market_queries, serving_queries, story_queries, text_queries  # noqa: F401
+from tidemark.plans import display_queries, market_queries, provider_queries, serving_queries, story_queries, text_queries, view_queries  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
