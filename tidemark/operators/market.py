@@ -102,9 +102,14 @@ def indicators(bars: DataFrame, short: int = 5, long: int = 20, width: float = 2
 
 
 def as_of(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Each event with the last bar of its ticker on or before its date: one union and one window, no range join."""
-    left = events.select("ticker", "date", "event_id", F.lit(None).cast("string").alias("bar_date"), F.lit(None).cast("double").alias("bar_close"), F.lit(1).alias("side"))
-    right = bars.select("ticker", "date", F.lit(None).cast("bigint").alias("event_id"), F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), F.lit(0).alias("side"))
-    w = Window.partitionBy("ticker").orderBy("date", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Each event with the last bar of its ticker on or before its date.
+
+    What an event gets depends on its ticker and date alone, so the different
+    dates are matched by one union and one window (a row a day, however many
+    events), and the events join the result by equality.
+    """
+    left = events.select("ticker", "date").where("ticker IS NOT NULL AND date IS NOT NULL").distinct().select("ticker", "date", F.lit(None).cast("string").alias("bar_date"), F.lit(None).cast("double").alias("bar_close"), F.lit(1).alias("side"))
+    right = bars.select("ticker", "date", F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), F.lit(0).alias("side"))
+    w = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumns({"bar_date": F.last("bar_date", ignorenulls=True).over(w), "bar_close": F.last("bar_close", ignorenulls=True).over(w)})
-    return both.where("side = 1").drop("side")
+    return events.select("ticker", "date", "event_id").join(both.where("side = 1").drop("side"), ["ticker", "date"], "left")
