@@ -113,3 +113,36 @@ def as_of(events: DataFrame, bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumns({"bar_date": F.last("bar_date", ignorenulls=True).over(w), "bar_close": F.last("bar_close", ignorenulls=True).over(w)})
     return events.select("ticker", "date", "event_id").join(both.where("side = 1").drop("side"), ["ticker", "date"], "left")
+
+
+TREND = "ticker string, date string, ema_short double, ema_long double, macd double, macd_signal double, wilder_strength double"
+
+
+def trend(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, period: int = 14) -> DataFrame:
+    """Exponential means, their difference and its mean, and Wilder's strength index.
+
+    Each value goes on from the day before, which no window frame can say; a
+    ticker's days are one group, a row a day. The first close starts each mean.
+    """
+
+    def run(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("date")
+        state, last, out = None, None, []
+        for x in rows["close"].tolist():
+            if state is None:
+                state = [x, x, 0.0, 0.0, 0.0]
+            else:
+                state[0] += 2 / (short + 1) * (x - state[0])
+                state[1] += 2 / (long + 1) * (x - state[1])
+                state[2] += 2 / (signal + 1) * (state[0] - state[1] - state[2])
+                state[3] += (max(x - last, 0.0) - state[3]) / period
+                state[4] += (max(last - x, 0.0) - state[4]) / period
+            last = x
+            moves = state[3] + state[4]
+            out.append((state[0], state[1], state[0] - state[1], state[2], 100 * state[3] / moves if moves > 0 else 50.0))
+        made = pd.DataFrame(out, columns=["ema_short", "ema_long", "macd", "macd_signal", "wilder_strength"])
+        return pd.concat([rows[["ticker", "date"]].reset_index(drop=True), made], axis=1)
+
+    return bars.where(F.col("close").isNotNull()).select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, TREND)

@@ -113,3 +113,15 @@ def bars_in_range(spark, sf_dir):
     """The bars of a range of dates, which is what is asked for."""
     b = adapters.bars(spark, sf_dir).where(F.col("date").between("1994-01-01", "1996-12-31"))
     return b.select("ticker", "date", F.round("close", 6).alias("close"), "volume")
+
+
+@query(f"""WITH RECURSIVE {BARS_SQL}, b AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars),
+  t AS (SELECT ticker, date, n, close, close AS a, close AS b, CAST(0 AS DOUBLE) AS g, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS d FROM b WHERE n = 1 UNION ALL
+    SELECT ticker, date, n, close, a, b, g + CAST(2 AS DOUBLE) / 10 * (a - b - g), u, d FROM (
+      SELECT x.ticker, x.date, x.n, x.close, t.a + CAST(2 AS DOUBLE) / 13 * (x.close - t.a) AS a, t.b + CAST(2 AS DOUBLE) / 27 * (x.close - t.b) AS b, t.g,
+        t.u + (greatest(x.close - t.close, 0) - t.u) / 14 AS u, t.d + (greatest(t.close - x.close, 0) - t.d) / 14 AS d FROM t JOIN b x ON x.ticker = t.ticker AND x.n = t.n + 1))
+  SELECT ticker, date, round(a, 6) AS ema_short, round(b, 6) AS ema_long, round(a - b, 6) + 0.0 AS macd, round(g, 6) + 0.0 AS macd_signal, round(CASE WHEN u + d > 0 THEN 100 * u / (u + d) ELSE 50 END, 6) AS wilder_strength FROM t""")
+def trend_indicators(spark, sf_dir):
+    out = market.trend(adapters.bars(spark, sf_dir))
+    names = ("ema_short", "ema_long", "macd", "macd_signal", "wilder_strength")
+    return out.select("ticker", "date", *[(F.round(c, 6) + 0.0).alias(c) for c in names])
