@@ -53,8 +53,9 @@ def market_message(price: Column, status: Column, source: Column, volume_delta:
 
 
 def freshness(runs: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> DataFrame:
-    last = runs.where("ok").groupBy("ticker").agg(F.max("finished_at").alias("last_success"))
-    return last.withColumn("stale", F.unix_timestamp(now) - F.unix_timestamp("last_success") > minutes * 60)
+    """Each ticker's last success, and whether it is too long ago; ``now`` is one value, as a literal or a column of the runs."""
+    last = runs.where("ok").groupBy("ticker").agg(F.max("finished_at").alias("last_success"), F.max(now).alias("now"))
+    return last.withColumn("stale", F.unix_timestamp("now") - F.unix_timestamp("last_success") > minutes * 60).drop("now")
 
 
 def run_gaps(runs: DataFrame, hours: float = 2.0) -> DataFrame:

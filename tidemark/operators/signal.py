@@ -104,15 +104,20 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict
     return models, about["metrics"]
 
 
+def four(c: Column) -> Column:
+    """Four places; a tie of decimals goes up, whatever its double is."""
+    return F.round(c + 1e-10, 4)
+
+
 def calibrated_probability(p: Column, score: Column, delta: Column) -> Column:
     """Sixty parts model, forty parts a sigmoid of sentiment and price, clipped twice."""
     prior = 1 / (1 + F.exp(-8 * (0.35 * score + 1.5 * delta)))
-    return F.round(clip(0.6 * clip(p, *fixed.PROBABILITY_RANGE) + 0.4 * prior, *fixed.PROBABILITY_RANGE), 4)
+    return four(clip(0.6 * clip(p, *fixed.PROBABILITY_RANGE) + 0.4 * prior, *fixed.PROBABILITY_RANGE))
 
 
 def calibrated_confidence(p: Column, score: Column, delta: Column, volume: Column) -> Column:
     extra = F.least(F.abs(delta) * 2, F.lit(0.04)) + F.least(0.06 * F.abs(score), F.lit(0.04)) + F.least(0.02 * F.abs(volume), F.lit(0.02))
-    return F.round(clip(F.greatest(p, 1 - p) + extra, *fixed.CONFIDENCE_RANGE), 4)
+    return four(clip(F.greatest(p, 1 - p) + extra, *fixed.CONFIDENCE_RANGE))
 
 
 def calibrate(df: DataFrame, sentiment_in_row: bool = False) -> DataFrame:
@@ -132,9 +137,9 @@ def request_row(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "price_delta_24h": clip(F.col("price_delta_24h"), -0.08, 0.08), "volume_delta": clip(F.col("volume_delta"), -0.5, 0.5),
         "avg_sentiment_score": s,
-        "avg_positive_prob": F.round(c * F.greatest(F.lit(0.0), 0.5 + s / 2), 4),
-        "avg_negative_prob": F.round(c * F.greatest(F.lit(0.0), 0.5 - s / 2), 4),
-        "avg_neutral_prob": F.round(F.greatest(F.lit(0.0), 1 - c), 4),
+        "avg_positive_prob": four(c * F.greatest(F.lit(0.0), 0.5 + s / 2)),
+        "avg_negative_prob": four(c * F.greatest(F.lit(0.0), 0.5 - s / 2)),
+        "avg_neutral_prob": four(F.greatest(F.lit(0.0), 1 - c)),
     })
 
 

@@ -34,19 +34,18 @@ def _requests(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_CAL} SELECT event_id, round(q, 3) AS calibrated, CASE WHEN round(q, 4) > 0.52 THEN 'up' WHEN round(q, 4) < 0.48 THEN 'down' ELSE 'neutral' END AS movement FROM k""")
+@query(f"""WITH {_CAL}, c AS (SELECT *, round(q + 1e-10, 4) AS calibrated FROM k) SELECT event_id, calibrated, CASE WHEN calibrated > 0.52 THEN 'up' WHEN calibrated < 0.48 THEN 'down' ELSE 'neutral' END AS movement,
+  round(least(greatest(greatest(calibrated, 1 - calibrated) + least(abs(d) * 2, 0.04) + least(CAST(0.06 AS DOUBLE) * abs(s), 0.04) + least(CAST(0.02 AS DOUBLE) * abs(v), 0.02), 0.52), 0.78) + 1e-10, 4) AS confidence FROM c""")
 def signal_calibration(spark, sf_dir):
-    df = signal.calibrate(_requests(spark, sf_dir), sentiment_in_row=True)
-    q = 0.6 * signal.clip(F.col("probability_up"), 0.18, 0.82) + 0.4 / (1 + F.exp(-8 * (0.35 * F.col("sentiment_score") + 1.5 * F.col("price_delta_24h"))))
-    return df.select("event_id", F.round(signal.clip(q, *fixed.PROBABILITY_RANGE), 3).alias("calibrated"), "movement")
+    return signal.calibrate(_requests(spark, sf_dir), sentiment_in_row=True).select("event_id", "calibrated", "movement", "confidence")
 
 
 @query(f"""WITH {_REQ}, c AS (SELECT event_id, least(greatest(d, -0.08), 0.08) AS d, least(greatest(v, -0.5), 0.5) AS v, s, p FROM r)
-  SELECT event_id, round(d, 6) AS price_delta_24h, round(v, 6) AS volume_delta, round(p * greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) + s / 2), 6) AS avg_positive_prob, round(greatest(0, 1 - p), 4) AS avg_neutral_prob FROM c""")
+  SELECT event_id, d AS price_delta_24h, v AS volume_delta, round(p * greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) + s / 2) + 1e-10, 4) AS avg_positive_prob,
+   round(p * greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - s / 2) + 1e-10, 4) AS avg_negative_prob, round(greatest(0, 1 - p) + 1e-10, 4) AS avg_neutral_prob FROM c""")
 def signal_request_row(spark, sf_dir):
     df = signal.request_row(_requests(spark, sf_dir).withColumn("sentiment_confidence", F.col("probability_up")))
-    exact = F.col("sentiment_confidence") * F.greatest(F.lit(0.0), 0.5 + F.col("sentiment_score") / 2)
-    return df.select("event_id", F.round("price_delta_24h", 6).alias("price_delta_24h"), F.round("volume_delta", 6).alias("volume_delta"), F.round(exact, 6).alias("avg_positive_prob"), "avg_neutral_prob")
+    return df.select("event_id", "price_delta_24h", "volume_delta", "avg_positive_prob", "avg_negative_prob", "avg_neutral_prob")
 
 
 @query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'TSLA' WHEN 1 THEN 'toolong' WHEN 2 THEN 'AMD' WHEN 3 THEN 'X1' ELSE 'META' END AS ticker FROM events)
@@ -134,8 +133,8 @@ def run_gaps(spark, sf_dir):
 @query(f"WITH {_RUNS}, l AS (SELECT ticker, max(started) AS last FROM runs WHERE ok GROUP BY ticker), n AS (SELECT max(started) AS now FROM runs) SELECT ticker, (SELECT now FROM n) - last > 3600 AS stale FROM l")
 def status_freshness(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    now = runs.agg(F.max("started_at")).first()[0]
-    return serving.freshness(runs, F.lit(now)).select("ticker", "stale")
+    dated = runs.join(F.broadcast(runs.agg(F.max("started_at").alias("now"))))  # one row
+    return serving.freshness(dated, F.col("now")).select("ticker", "stale")
 
 
 @query(f"WITH {_RUNS} SELECT ticker, round(quantile_cont(value, 0.95), 6) AS p95 FROM runs GROUP BY ticker")

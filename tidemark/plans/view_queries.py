@@ -57,8 +57,7 @@ def feed_problems(spark, sf_dir):
 def tickers_view(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     dated = runs.join(F.broadcast(runs.agg(F.max("started_at").alias("now"))))  # one row
-    last = dated.where("ok").groupBy("ticker").agg(F.max("finished_at").alias("last"), F.first("now").alias("now"))
-    fresh = last.select("ticker", (F.unix_timestamp("now") - F.unix_timestamp("last") > serving.STALE_MINUTES * 60).alias("stale"))
+    fresh = serving.freshness(dated, F.col("now"))
     s = adapters.stories(spark, sf_dir).withColumn("theme_id", F.expr("story_id div 50"))
     themes = s.groupBy("ticker", "theme_id").agg(F.to_date(F.max("published_at")).alias("day"))
     themes = themes.join(F.broadcast(themes.agg(F.max("day").alias("today"))))  # one row
