@@ -1,11 +1,13 @@
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
-from tidemark.llm.common import crc_mod
+from tidemark.llm.common import Tables, crc_mod
 
 SCHEMA = "doc_id bigint, text string, id string, label string, score string, hash string"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -110,3 +112,55 @@ def test_no_labels_and_no_rows(spark, small):
     assert toxicity.score_documents(empty, none).collect() == []
     assert quality.score_documents(docs, quality.fit(docs, none)).count() == len(rows)
     assert quality.score_documents(empty, quality.fit(empty, none)).collect() == []
+
+
+def test_toxicity_against_plain_votes_and_scores(spark, small):
+    """Lexicon in hand, votes, moments, label model and scores are made again by plain loops."""
+    docs, labels, rows = small
+    classifier, _ = toxicity.fit(docs, labels, Tables(spark, "test-toxicity"))
+    lexicon, texts = classifier.lexicon, sorted({r[1] or "" for r in rows})
+    held = {}
+    for t in texts:
+        words = [w for w in re.findall(r"[^\W\d_]+", t.lower())]
+        counts = {}
+        for w in words:
+            for term in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]:
+                if term in lexicon.terms:
+                    counts[term] = counts.get(term, 0) + 1
+        families = list(dict.fromkeys(x[:4] for x in lexicon.terms))
+        v = [int(any(families.index(x[:4]) % 12 == k for x in counts)) for k in range(12)]
+        total = sum(counts.values())
+        v += [int(len(counts) >= 2), int(len(counts) >= 4), int(total > 0 and total * 50 >= len(words)), -int(total == 0)]
+        v += [int(sum(c.isupper() for c in t) > 0.3 * len(t)), int(t.count("!") > 0.01 * len(t))]
+        held[t] = counts, np.array(v, float)
+    votes = np.array([held[t][1] for t in texts])
+    known = {}
+    for r in labels.collect():
+        if r.toxic is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = max(r.toxic, known.get(r.doc_id, 0))
+    marked = {}
+    for r in rows:
+        if r[0] in known:
+            marked[r[1] or ""] = max(known[r[0]], marked.get(r[1] or "", 0))
+    model = toxicity.LabelModel(len(texts), votes.sum(0), votes.T @ votes, sum(marked.values()) / len(marked))
+    assert np.allclose(model.accuracy, classifier.model.accuracy) and np.allclose(model.weights, classifier.model.weights)
+    x = np.array([toxicity.features(len(lexicon.terms), [lexicon.terms.index(k) for k in held[t][0]], list(held[t][0].values()), held[t][1]) for t in texts])
+    want = dict(zip(texts, 1 / (1 + np.exp(-(np.hstack([x, np.ones((len(x), 1))]) @ toxicity.logistic(x, model.posterior(votes)))))))
+    for r in toxicity.score_documents(docs, labels).collect():
+        text = next(t for i, t, *_ in rows if i == r.id) or ""
+        assert abs(r.score - want[text]) < 1e-6
+
+
+def test_copies_do_not_change_what_is_caught(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    two = docs.where("text IS NOT NULL AND length(text) > 500").orderBy("doc_id").limit(2)
+    copies = two.crossJoin(spark.range(2500)).withColumn("doc_id", F.col("id") * 2 + 1_000_000 + F.col("doc_id") % 2).drop("id")
+
+    def caught(table):
+        rows = toxicity.score_documents(table, labels).withColumnRenamed("id", "doc_id").join(labels, "doc_id").where((F.col("toxic") == 1) & (crc_mod(F.col("doc_id"), 3) == 1))
+        return {r.doc_id for r in rows.where("score >= 0.7").collect()}, rows.count()
+
+    plain, n = caught(docs)
+    many, _ = caught(docs.unionByName(copies))
+    assert len(plain) >= 0.8 * n and many == plain

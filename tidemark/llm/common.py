@@ -135,6 +135,37 @@ def read_part(path: str, part: int, columns: list[str]) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(columns) for f in files])
 
 
+#: Bits of a row id that hold the place in a part.
+PLACE = 33
+
+
+class Side:
+    """Rows of a side table that :func:`write_by_part` wrote, for one part at a time, sorted by row id."""
+
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns, self.part = path, ["rid", *columns], None
+
+    def at(self, part: int) -> tuple[np.ndarray, pa.Table | None]:
+        if part != self.part:
+            table = read_part(self.path, part, self.columns)
+            self.part, self.table = part, None if table is None else table.sort_by([("rid", "ascending")]).combine_chunks()
+            self.rid = np.zeros(0, np.int64) if table is None else self.table["rid"].to_numpy()
+        return self.rid, self.table
+
+    def holds(self, rids: np.ndarray) -> np.ndarray:
+        """Which row ids the table has."""
+        out = np.zeros(len(rids), bool)
+        for part in np.unique(rids >> PLACE).tolist():
+            here = rids >> PLACE == part
+            out[here] = np.isin(rids[here], self.at(part)[0])
+        return out
+
+
+def by_part(rows: DataFrame, label: str) -> str:
+    """Write rows with a ``rid`` for :class:`Side`."""
+    return write_by_part(rows.withColumn("part", F.shiftright("rid", PLACE)), label)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

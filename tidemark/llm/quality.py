@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of word shapes, pairs of shapes, word beginnings and a
-few ratios in buckets; a tf-idf weighting and a truncated SVD, both of a
+A text becomes counts of terms (hashed words), word shapes, pairs of shapes,
+word beginnings and a few ratios in buckets; tokens beyond ``LONGEST`` signs are
+cut into pieces that count each. A tf-idf weighting and a truncated SVD, both of a
 bounded sample of labelled rows, turn them into a short unit vector. The
 labelled vectors are broadcast (``sample`` rows of each class at most). Every
 document is compared with all of them by exact blocked cosine products, and
@@ -21,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slabs
-from .toxicity import training_rows
+from .common import Tables, column, id_texts, least_hashed, named, slabs
+from .toxicity import labelled_texts, text_hash
 
 SAMPLE = 1500
 RANK = 40
 NEAREST = 25
 POWER = 8
-#: Sizes of the feature groups: shapes, pairs of shapes, word beginnings, ratios.
-SHAPES, PAIRS, WORDS, RATIOS = 128, 256, 128, 64
-DIMENSIONS = SHAPES + PAIRS + WORDS + RATIOS
+#: Sizes of the feature groups: shapes, pairs of shapes, word beginnings, terms, ratios.
+SHAPES, PAIRS, WORDS, TERMS, RATIOS = 128, 256, 128, 512, 64
+GROUPS = (SHAPES, PAIRS, WORDS, TERMS, RATIOS)
+DIMENSIONS = sum(GROUPS)
+#: Longest piece of a token.
+LONGEST = 48
 BLOCK = 512
 
 _RUN = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.DOTALL)
@@ -59,7 +63,7 @@ def _bucket(text: str, size: int) -> int:
 class Features:
     """Feature counts of texts; remembers tokens up to a bound."""
 
-    def __init__(self, memory: int = 300_000) -> None:
+    def __init__(self, memory: int = 150_000) -> None:
         self.memory, self.known = memory, {}
 
     def token(self, token: str) -> int:
@@ -67,8 +71,9 @@ class Features:
         if got is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
-            word = "".join(c for c in token.lower() if c.isalpha())[:3]
-            got = self.known[token] = _bucket(shape(token), SHAPES) * WORDS + _bucket(word, WORDS)
+            word = "".join(c for c in token.lower() if c.isalpha())
+            got = (_bucket(shape(token), SHAPES) * WORDS + _bucket(word[:3], WORDS)) * TERMS + _bucket(word, TERMS)
+            self.known[token] = got
         return got
 
     def vector(self, text: str | None) -> np.ndarray:
@@ -79,11 +84,16 @@ class Features:
         if not n:
             return x
         known, learn = self.known, self.token
-        both = np.fromiter((known[t] if t in known else learn(t) for t in tokens), np.int64, n)
+        pieces = tokens
+        if max(map(len, tokens)) > LONGEST:
+            pieces = [t[i : i + LONGEST] for t in tokens for i in range(0, len(t), LONGEST)]
+        codes = np.fromiter((known[t] if t in known else learn(t) for t in pieces), np.int64, len(pieces))
+        both, terms = codes // TERMS, codes % TERMS
         shapes, words = both // WORDS, both % WORDS
         x[:SHAPES] = np.bincount(shapes, minlength=SHAPES)
         x[SHAPES : SHAPES + PAIRS] = np.bincount((shapes[1:] * 31 + shapes[:-1]) % PAIRS, minlength=PAIRS)
         x[SHAPES + PAIRS : SHAPES + PAIRS + WORDS] = np.bincount(words, minlength=WORDS)
+        x[SHAPES + PAIRS + WORDS : DIMENSIONS - RATIOS] = np.bincount(terms, minlength=TERMS)
         lines = text.split("\n")
         different = Counter(tokens)
         ratios = (
@@ -95,7 +105,7 @@ class Features:
             min(1.0, float(np.log2(n + 1)) / 16),
             sum(t[-1] in ".!?" for t in tokens) / n * 4,
         )
-        at = SHAPES + PAIRS + WORDS
+        at = DIMENSIONS - RATIOS
         for k, r in enumerate(ratios):
             place = min(max(r, 0.0), 1.0) * 7
             low = min(int(place), 6)
@@ -132,7 +142,7 @@ class Model:
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Each group of features as shares of its own, square roots taken, times idf."""
     out, at = np.empty(counts.shape, np.float32), 0
-    for size in (SHAPES, PAIRS, WORDS, RATIOS):
+    for size in GROUPS:
         part = counts[:, at : at + size]
         out[:, at : at + size] = np.sqrt(part / np.maximum(part.sum(1, keepdims=True), 1e-9))
         at += size
@@ -147,19 +157,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample: int = SAMPLE, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from labelled rows that are not held out, ``sample`` of each class at most."""
-    rows, counts = training_rows(labels, "quality", modulus, held_out, sample)
+    """Learn from different texts with a label that is not held out, ``sample`` of each class at most (the smallest hashes)."""
+    spark = docs.sparkSession
+    known = Tables(spark, "quality").write(labelled_texts(docs, labels, "quality", modulus, held_out, id_col, text_col), "labelled")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    rows = [tuple(r) for y in (0, 1) for r in least_hashed(known.where(F.col("label") == y), "hash", counts.get(y, 0), sample).select("hash", "label").collect()]
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     nothing = Model(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     if not rows:
         return nothing
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(rows, f"__id {docs.schema[id_col].dataType.simpleString()}, label int"))
-    text = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    picked = text.join(chosen, F.col("__doc") == F.col("__id")).select("text", "label", F.xxhash64("text").alias("hash"))
-    found = picked.mapInArrow(_vectors, "label int, hash bigint, x binary").orderBy("hash", "label").limit(4 * sample).collect()
-    if not found:
-        return nothing
+    chosen = F.broadcast(spark.createDataFrame(rows, "chosen bigint, label int"))  # two numbers for each text of the bounded sample
+    text = docs.select(named(text_col).cast("string").alias("text"), text_hash(text_col).alias("hash"))
+    picked = text.join(chosen, F.col("hash") == F.col("chosen")).dropDuplicates(["hash"]).select("text", "label", "hash")
+    found = picked.mapInArrow(_vectors, "label int, hash bigint, x binary").collect()  # ``sample`` rows of each class at most
+    found.sort(key=lambda r: r["hash"])
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found])
     df = (x > 0).sum(0)
     idf = np.log1p(len(x) / (1 + df)).astype(np.float32)
@@ -187,6 +198,6 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             x = np.stack([features.vector(t) for t in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(shared.value.score(x))], names=["id", "score"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = id_texts(docs, id_col, text_col)
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(run, f"id {kind}, score double")

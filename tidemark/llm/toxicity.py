@@ -1,22 +1,28 @@
 """Toxicity by weak supervision.
 
-1. Lexicons are induced from labelled rows: words and word beginnings that
-   are much more frequent in toxic rows, dealt out to many small lexicons.
-   A few pattern voters look at how many different terms occur, how densely,
-   and at shouting. Each voter says toxic (1), clean (-1) or nothing (0).
-2. A generative label model is fitted to the votes of all documents. With a
-   hidden class y the covariance of two voters is c a_i a_j, for the class
-   variance c and accuracies a, plus what the voters share beyond the class.
-   The accuracies are the rank-one part of the off-diagonal covariance, found
-   by alternating fits that leave out the most dependent pairs; the rest is
-   kept as the voters' correlations. The posterior of y weighs the votes by
+1. Lexicons are induced from labelled texts: words and word beginnings that
+   are much more frequent in toxic ones. Terms with one beginning are a
+   family; families are dealt out to many small lexicons, so that what occurs
+   together stays in one voter. A few pattern voters look at how many
+   different terms occur, how densely, and at shouting. Each voter says toxic
+   (1), clean (-1) or nothing (0).
+2. A generative label model is fitted to the votes of all different texts.
+   With a hidden class y the covariance of two voters is c a_i a_j, for the
+   class variance c and accuracies a, plus what the voters share beyond the
+   class. The accuracies are the rank-one part of the off-diagonal covariance,
+   found by alternating fits that leave out the most dependent pairs; the rest
+   is kept as the voters' correlations. The posterior of y weighs the votes by
    the inverse of the covariance within classes.
 3. A linear classifier on term counts and votes is trained on the posterior
    labels of a bounded sample, and scores every document.
 
-Bounds: ``sample`` labelled rows of each class for induction, ``terms``
-candidate terms and ``fit`` rows for the classifier. All documents vote and
-enter the label model's statistics, as sums that each task makes.
+Texts are read once to induce and once to vote; scores are column expressions
+over the written evidence. Copies of a text count once in everything that is
+fitted (by a 64-bit hash), so no repeated text can outweigh the others.
+
+Bounds: ``sample`` labelled texts of each class for induction, ``terms``
+candidate terms and ``fit`` texts for the classifier. All documents vote and
+enter the label model's statistics, as counts of vote patterns.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, crc_mod, slabs, written
+from .common import Tables, bounded_batches, column, crc_mod, id_texts, least_hashed, named, slabs
 
 SAMPLE = 2500
 TERMS = 300
@@ -42,6 +49,7 @@ LEXICONS = 12
 BEGINNINGS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile(r"[\x00-\x7f]+")
 
 
 def terms_of(word: str) -> list[str]:
@@ -49,16 +57,26 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
 
 
+def capitals(text: str) -> int:
+    """How many letters of the whole text are capitals."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    n = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
+    return n if text.isascii() else n + sum(map(str.isupper, _ASCII.sub("", text)))
+
+
 @dataclass
 class Lexicon:
-    """Candidate terms by number; the last call's words are remembered up to a bound."""
+    """Candidate terms by number; the words met last are remembered up to a bound."""
 
     terms: list[str]
     weights: list[float]
-    memory: int = 300_000
+    memory: int = 100_000
 
     def __post_init__(self) -> None:
         self.number = {t: i for i, t in enumerate(self.terms)}
+        families = {f: k for k, f in enumerate(dict.fromkeys(t[: BEGINNINGS[0]] for t in self.terms))}
+        #: the lexicon of each term: families in the order of their best term, in turn
+        self.lexicon = [families[t[: BEGINNINGS[0]]] % LEXICONS for t in self.terms]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def hits(self, word: str) -> tuple[int, ...]:
@@ -78,27 +96,36 @@ class Lexicon:
         for word, n in Counter(found).items():
             for t in known[word] if word in known else hits(word):
                 counts[t] = counts.get(t, 0) + n
-        capitals = sum(n for c, n in Counter(text).items() if c.isupper()) / len(text)
-        return counts, len(found), capitals, text.count("!") / len(text)
+        return counts, len(found), capitals(text) / len(text), text.count("!") / len(text)
+
+    def votes(self, counts: dict[int, int], n: int, capitals: float, marks: float) -> list[int]:
+        out = [0] * LEXICONS
+        for t in counts:
+            out[self.lexicon[t]] = 1
+        total, different = sum(counts.values()), len(counts)
+        return [
+            *out,
+            1 if different >= 2 else 0,
+            1 if different >= 4 else 0,
+            1 if total * 50 >= n and total else 0,
+            -1 if not total else 0,
+            1 if capitals > 0.3 else 0,
+            1 if marks > 0.01 else 0,
+        ]
 
 
 VOTERS = LEXICONS + 6
+#: The voter that says clean: no term occurs.
+SILENT = LEXICONS + 3
+
+
+def code(votes: list[int]) -> int:
+    """Votes as one number, two bits each."""
+    return sum((v + 1) << (2 * i) for i, v in enumerate(votes))
 
 
-def votes(counts: dict[int, int], n: int, capitals: float, marks: float) -> list[int]:
-    out = [0] * LEXICONS
-    for t in counts:
-        out[t % LEXICONS] = 1
-    total, different = sum(counts.values()), len(counts)
-    return [
-        *out,
-        1 if different >= 2 else 0,
-        1 if different >= 4 else 0,
-        1 if total * 50 >= n and total else 0,
-        -1 if not total else 0,
-        1 if capitals > 0.3 else 0,
-        1 if marks > 0.01 else 0,
-    ]
+def decode(codes: np.ndarray) -> np.ndarray:
+    return (codes[:, None] >> (2 * np.arange(VOTERS)) & 3) - 1
 
 
 class LabelModel:
@@ -173,24 +200,28 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def training_rows(labels: DataFrame, label: str, modulus: int, held_out: int, sample: int, id_col: str = "doc_id") -> tuple[list[tuple], dict[int, int]]:
-    """At most ``sample`` labelled ids of each class that are not held out (smallest hashes), and how many rows each class has."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), modulus) != held_out))
-    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    rows = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
-    return [(r[id_col], r["label"]) for r in rows], counts
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(named(text_col).cast("string"), F.lit("")))
+
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str, text_col: str) -> DataFrame:
+    """``hash, label``: the different texts with a label of a row that is not held out; of several labels the largest counts."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), modulus) != held_out))
+    known = known.groupBy(F.col("doc_id").alias("known")).agg(F.max(label).cast("int").alias("label"))
+    texts = docs.select(named(id_col).alias("id"), text_hash(text_col).alias("hash"))
+    return texts.join(known, F.col("id") == F.col("known")).groupBy("hash").agg(F.max("label").alias("label"))
 
-def induce(docs: DataFrame, rows: list[tuple], terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Terms that set the toxic rows apart; empty without labelled rows of both classes."""
-    total = Counter(y for _, y in rows)
+
+def induce(docs: DataFrame, chosen: list[tuple[int, int]], terms: int = TERMS, text_col: str = "text") -> Lexicon:
+    """Terms that set the toxic texts apart, from chosen ``(hash, label)``; empty without texts of both classes."""
+    total = Counter(y for _, y in chosen)
     if not total[0] or not total[1]:
         return Lexicon([], [])
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(rows, f"__id {docs.schema[id_col].dataType.simpleString()}, label int"))
-    text = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    text = text.join(chosen, F.col("__doc") == F.col("__id")).select("text", "label")
+    bounded_batches(spark)
+    own = F.broadcast(spark.createDataFrame(chosen, "chosen bigint, label int"))  # two numbers for each text of the bounded sample
+    text = docs.select(named(text_col).cast("string").alias("text"), text_hash(text_col).alias("hash"))
+    text = text.join(own, F.col("hash") == F.col("chosen")).dropDuplicates(["hash"]).select("text", "label")
     counted = text.mapInArrow(_count_terms, "term string, label int, n bigint").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
@@ -208,78 +239,89 @@ class Classifier:
     weights: np.ndarray
     model: LabelModel
 
-    def vector(self, ids: list[int], counts: list[int], v: list[int]) -> np.ndarray:
-        return features(len(self.lexicon.terms), ids, counts, v)
+    def score(self) -> Column:
+        """The score of a row of the evidence table."""
+        terms = len(self.lexicon.terms)
+        gain = F.array(*map(F.lit, self.weights[:terms].tolist() or [0.0]))
+        z = F.lit(float(self.weights[-1]))
+        for i, w in enumerate(self.weights[terms:-1].tolist()):
+            z = z + (F.shiftright("code", 2 * i).bitwiseAND(F.lit(3)) - 1) * F.lit(w)
+        parts = F.zip_with("terms", "counts", lambda t, n: F.element_at(gain, t + 1) * F.log1p(n.cast("double")))
+        z = z + F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def features(terms: int, ids: list[int], counts: list[int], v: list[int]) -> np.ndarray:
+def features(terms: int, ids: list[int], counts: list[int], v: np.ndarray) -> np.ndarray:
     x = np.zeros(terms + VOTERS)
     x[ids] = np.log1p(counts)
     x[terms:] = v
     return x
 
 
-def evidence(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> DataFrame:
-    """``id, hash`` and what each whole text holds: ``terms, counts, votes``."""
+_EVIDENCE = (("terms", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("counts", pa.list_(pa.int64()), T.ArrayType(T.LongType())), ("code", pa.int64(), T.LongType()))
+
+
+def evidence(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """What each whole text holds: ``terms, counts, code`` (of the votes) with ``hash`` and ``id``, or with the ``whole`` row as a struct."""
+    if whole:
+        bounded_batches(docs.sparkSession)
+        picked = docs.select(F.struct(*map(named, docs.columns)).alias("row"), text_hash(text_col).alias("hash"))
+        place = docs.columns.index(text_col)
+    else:
+        picked = id_texts(docs, id_col, text_col, text_hash(text_col).alias("hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text"):
-            found = [lexicon.features(t) for t in column(batch, "text").to_pylist()]
+        for batch in batches if whole else slabs(batches, "text"):
+            texts = column(batch, "row").field(place).cast(pa.string()) if whole else column(batch, "text")
+            found = [lexicon.features(t) for t in texts.to_pylist()]
+            values = ([list(f[0]) for f in found], [list(f[0].values()) for f in found], [code(lexicon.votes(*f)) for f in found])
+            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), column(batch, "hash"), pa.array([list(f[0]) for f in found], pa.list_(pa.int32())), pa.array([list(f[0].values()) for f in found], pa.list_(pa.int64())), pa.array([votes(*f) for f in found], pa.list_(pa.int32()))],
-                names=["id", "hash", "terms", "counts", "votes"],
+                [*(column(batch, c) for c in kept), *(pa.array(v, kind) for v, (_, kind, _) in zip(values, _EVIDENCE))], names=[*kept, *(e[0] for e in _EVIDENCE)],
             )
 
-    text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, hash bigint, terms array<int>, counts array<bigint>, votes array<int>")
+    schema = T.StructType([f for f in picked.schema if f.name != "text"] + [T.StructField(name, kind) for name, _, kind in _EVIDENCE])
+    return picked.mapInArrow(run, schema)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total, square = 0, np.zeros(VOTERS, np.int64), np.zeros((VOTERS, VOTERS), np.int64)
-    for batch in batches:
-        v = column(batch, "votes").flatten().to_numpy().reshape(-1, VOTERS).astype(np.int64)
-        n, total, square = n + len(v), total + v.sum(0), square + v.T @ v
-    yield pa.RecordBatch.from_pydict({"n": [n], "first": [total.tolist()], "second": [square.ravel().tolist()]})
-
-
-def fit(docs: DataFrame, labels: DataFrame, seen: list[DataFrame], modulus: int = 3, held_out: int = 1, sample: int = SAMPLE, fit_rows: int = FIT, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit on all documents; ``seen`` gets the evidence table, for scoring."""
-    rows, counts = training_rows(labels, "toxic", modulus, held_out, sample)
-    lexicon = induce(docs, rows, TERMS, id_col, text_col)
-    table = written(evidence(docs, lexicon, id_col, text_col), "toxic-evidence")
-    seen.append(table)
-    sums = table.select("votes").mapInArrow(_moments, "n bigint, first array<bigint>, second array<bigint>")
-    sums = sums.select("n", F.posexplode(F.concat("first", "second"))).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).orderBy("pos").collect()
-    flat = np.array([r["s"] for r in sums] or [0] * (VOTERS + VOTERS**2), float)
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    model = LabelModel(sums[0]["n"] if sums else 0, flat[:VOTERS], flat[VOTERS:].reshape(VOTERS, VOTERS), prior)
-    # rows with and without evidence, by the hash of their texts, so that both kinds are there
-    some = F.size("terms") > 0
-    chosen = [r for kind in (some, ~some) for r in table.where(kind).orderBy("hash").limit(fit_rows // 2).select("terms", "counts", "votes").collect()]
-    if not lexicon.terms or not chosen:
-        return Classifier(lexicon, np.append(np.zeros(len(lexicon.terms) + VOTERS), -4.0), model)
-    x = np.array([features(len(lexicon.terms), *r) for r in chosen])
-    y = model.posterior(np.array([r["votes"] for r in chosen], float))
-    return Classifier(lexicon, logistic(x, y), model)
+def moments(patterns: list[tuple[int, int]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Texts, sums of votes and of their products, from counts of vote patterns."""
+    votes = decode(np.array([p[0] for p in patterns], np.int64)).astype(float)
+    n = np.array([p[1] for p in patterns], float)
+    return int(n.sum()), n @ votes, (votes * n[:, None]).T @ votes
 
 
-def scores(table: DataFrame, classifier: Classifier) -> DataFrame:
-    """``id, hash, score`` for each row of the evidence table."""
+def _pattern_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, first, second = moments(list(zip(column(batch, "code").to_pylist(), column(batch, "n").to_pylist())))
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [np.concatenate([first, second.ravel()]).astype(np.int64).tolist()]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, terms = classifier.weights, len(classifier.lexicon.terms)
-        for batch in batches:
-            z = column(batch, "votes").flatten().to_numpy().reshape(-1, VOTERS) @ w[terms:-1] + w[-1]
-            ids = column(batch, "terms")
-            sizes = np.diff(ids.offsets.to_numpy())
-            gain = w[ids.flatten().to_numpy()] * np.log1p(column(batch, "counts").flatten().to_numpy())
-            z += np.bincount(np.repeat(np.arange(len(sizes)), sizes), gain, len(sizes))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "hash"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "hash", "score"])
 
-    kind = table.schema["id"].dataType.simpleString()
-    return table.mapInArrow(run, f"id {kind}, hash bigint, score double")
+def fit(docs: DataFrame, labels: DataFrame, tables: Tables, modulus: int = 3, held_out: int = 1, sample: int = SAMPLE, fit_rows: int = FIT, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[Classifier, DataFrame]:
+    """Fit on all documents; the classifier and the evidence table."""
+    known = tables.write(labelled_texts(docs, labels, "toxic", modulus, held_out, id_col, text_col), "labelled")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = [tuple(r) for y in (0, 1) for r in least_hashed(known.where(F.col("label") == y), "hash", counts.get(y, 0), sample).select("hash", "label").collect()]
+    lexicon = induce(docs, chosen, TERMS, text_col)
+    table = tables.write(evidence(docs, lexicon, id_col, text_col, whole), "evidence")
+    # a copy has the hash and so the votes of its text
+    votes = tables.write(table.groupBy("hash").agg(F.min("code").alias("code")).groupBy("code").agg(F.count("*").alias("n")), "patterns")
+    sums = votes.mapInArrow(_pattern_moments, "n bigint, sums array<bigint>").select("n", F.posexplode("sums"))
+    sums = sums.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).orderBy("pos").collect()
+    flat = np.array([r["s"] for r in sums] or [0] * (VOTERS + VOTERS**2), float)
+    model = LabelModel(sums[0]["n"] if sums else 0, flat[:VOTERS], flat[VOTERS:].reshape(VOTERS, VOTERS), counts.get(1, 0) / max(1, sum(counts.values())))
+    # texts with and without evidence, by their hashes, so that both kinds are there
+    silent = F.shiftright("code", 2 * SILENT).bitwiseAND(F.lit(3)) == 0
+    texts = {r["s"]: r["n"] for r in votes.groupBy(silent.alias("s")).agg(F.sum("n").alias("n")).collect()}
+    rows = []
+    for kind, n in texts.items():
+        of_kind = least_hashed(table.where(silent == F.lit(kind)), "hash", n, fit_rows // 2, distinct=True)
+        rows += of_kind.select("terms", "counts", "code").collect()
+    if not lexicon.terms or not rows:
+        return Classifier(lexicon, np.append(np.zeros(len(lexicon.terms) + VOTERS), -4.0), model), table
+    v = decode(np.array([r["code"] for r in rows], np.int64))
+    x = np.array([features(len(lexicon.terms), r["terms"], r["counts"], own) for r, own in zip(rows, v)])
+    return Classifier(lexicon, logistic(x, model.posterior(v.astype(float))), model), table
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -287,26 +329,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts get the score of a text without evidence; equal
     texts get equal scores. Without labelled rows of both classes nothing is
-    toxic. An empty table gives an empty result.
+    toxic. An empty table gives an empty result. Other columns may have any
+    names; repeated rows come back repeated.
     """
-    seen: list[DataFrame] = []
-    classifier = fit(docs, labels, seen, id_col=id_col, text_col=text_col, **options)
-    return scores(seen[0], classifier).select("id", "score")
+    classifier, table = fit(docs, labels, Tables(docs.sparkSession, "toxicity"), id_col=id_col, text_col=text_col, **options)
+    return table.select("id", classifier.score().alias("score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score below ``threshold``, in the columns of ``docs``."""
-    classifier = fit(docs, labels, [], id_col=id_col, text_col=text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, lexicon = classifier.weights, classifier.lexicon
-        for batch in slabs(batches, text_col):
-            keep = []
-            for text in column(batch, text_col).cast(pa.string()).to_pylist():
-                found = lexicon.features(text)
-                x = features(len(lexicon.terms), list(found[0]), list(found[0].values()), votes(*found))
-                z = float(x @ w[:-1] + w[-1])
-                keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    classifier, table = fit(docs, labels, Tables(docs.sparkSession, "toxicity"), id_col=id_col, text_col=text_col, whole=True)
+    return table.where(classifier.score() < threshold).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
