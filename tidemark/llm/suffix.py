@@ -33,13 +33,13 @@ from a small side file there, so whole texts are never shuffled.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, read_part, scratch, slabs, utf8, write_by_part, written
+from .common import PLACE, Side, by_part, column, id_texts, named, slabs, utf8, written
 
 DEPTH = 200
 GRAM = 64
@@ -47,8 +47,6 @@ GRAM = 64
 SPAN = DEPTH - GRAM + 1
 #: Text scanned at once; positions inside a slab have 20 bits.
 SLAB = 1 << 19
-#: Bits of a row id that hold the place in a part.
-PLACE = 33
 MODULUS = 8
 
 
@@ -303,25 +301,11 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(held)
 
 
-class _Side:
-    """Rows of a side table for one part at a time, sorted by row id."""
-
-    def __init__(self, path: str, columns: list[str]) -> None:
-        self.path, self.columns, self.part = path, ["rid", *columns], None
-
-    def at(self, part: int) -> tuple[np.ndarray, pa.Table | None]:
-        if part != self.part:
-            table = read_part(self.path, part, self.columns)
-            self.part, self.table = part, None if table is None else table.sort_by([("rid", "ascending")]).combine_chunks()
-            self.rid = np.zeros(0, np.int64) if table is None else self.table["rid"].to_numpy()
-        return self.rid, self.table
-
-
 def _fetcher(path: str):
     """Rows of documents -> the bytes of the runs that a side table asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _Side(path, ["at", "bucket", "piece", "n", "hot"])
+        side = Side(path, ["at", "bucket", "piece", "n", "hot"])
         for batch in slabs(batches, "text", SLAB):
             raw, offsets = utf8(column(batch, "text"))
             rids = column(batch, "rid").to_numpy()
@@ -408,7 +392,7 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
 
 
 def repeats(copy: DataFrame, hot_rows: int = 200) -> str:
-    """The folder (see :func:`write_by_part`) with the repeated windows of each row: ``rid, at, bits`` (bits null: all)."""
+    """The folder (see :class:`Side`) with the repeated windows of each row: ``rid, at, bits`` (bits null: all)."""
     text = copy.select("rid", "text")
     plain = text.mapInArrow(_plain_runs, "bucket bigint, piece bigint")
     shared = plain.groupBy("bucket").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
@@ -420,7 +404,7 @@ def repeats(copy: DataFrame, hot_rows: int = 200) -> str:
     distinct = written(distinct.select("bucket", "piece", "n", "one.rid", "one.at"), "suffix-distinct")
     sizes = written(distinct.groupBy("bucket").count(), "suffix-sizes")
     asked = distinct.join(sizes, "bucket").withColumn("hot", F.col("count") > hot_rows).drop("count")
-    path = write_by_part(asked.withColumn("part", F.shiftright("rid", PLACE)), "suffix-asked")
+    path = by_part(asked, "suffix-asked")
     bodies = text.mapInArrow(_fetcher(path), "bucket bigint, piece bigint, n bigint, hot boolean, gram bigint, body binary")
     bodies = written(bodies, "suffix-bodies")
     plain_bits = _sorted(bodies.where("not hot")).select("bucket", "piece", F.lit(0).cast("bigint").alias("skip"), F.lit(0).cast("bigint").alias("size"), "bits")
@@ -429,7 +413,7 @@ def repeats(copy: DataFrame, hot_rows: int = 200) -> str:
     place = F.when(F.col("size") == 0, F.col("at")).otherwise(F.shiftleft(F.shiftright("at", 16) + F.col("skip"), 16) + F.col("size"))
     several = multi.join(bits, ["bucket", "piece"]).select("rid", place.alias("at"), "bits")
     every = found.where("single").select("rid", "at", F.lit(None).cast("binary").alias("bits"))
-    return write_by_part(several.union(every).withColumn("part", F.shiftright("rid", PLACE)), "suffix-repeats")
+    return by_part(several.union(every), "suffix-repeats")
 
 
 def spans_of(n: int, at: np.ndarray, bits: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -449,10 +433,17 @@ def spans_of(n: int, at: np.ndarray, bits: list[bytes | None]) -> tuple[np.ndarr
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _cutter(path: str):
+def _whole_characters(text: pa.Array, kept: list[bytes]) -> pa.Array:
+    """The remaining texts without characters that a cut has split; null stays null."""
+    return pa.array([b.decode("utf-8", "ignore") if there else None for there, b in zip(text.is_valid().to_pylist(), kept)], pa.string())
+
+
+def _cutter(path: str, new_text: bool):
+    """Rows of the copy -> the same with ``kept`` and ``removed``; with ``new_text`` only ``other`` and the text that remains."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _Side(path, ["at", "bits"])
-        for batch in slabs(batches, "text", 8 * SLAB):
+        side = Side(path, ["at", "bits"])
+        for batch in slabs(batches, "text", 2 * SLAB):
             raw, offsets = utf8(column(batch, "text"))
             rids = column(batch, "rid").to_numpy()
             kept, spans, data = [], [], raw.tobytes()
@@ -468,6 +459,9 @@ def _cutter(path: str):
                     text = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
                 kept.append(text)
                 spans.append([{"start": a, "end": b} for a, b in cuts])
+            if new_text:
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "other"), _whole_characters(column(batch, "text"), kept)], names=["id", "other", "text"])
+                continue
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*(column(batch, c) for c in batch.schema.names), pa.array(kept, pa.binary()), pa.array(spans, kind)],
@@ -477,8 +471,13 @@ def _cutter(path: str):
     return run
 
 
+def _copied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    others = [named(c) for c in docs.columns if c not in (id_col, text_col)]
+    return with_row_ids(id_texts(docs, id_col, text_col, F.struct(*others or [F.lit(0).alias("none")]).alias("other")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 200) -> DataFrame:
-    """All columns of ``docs`` (named ``id`` and ``text`` for those two) with ``kept`` and ``removed``.
+    """``id, text, kept, removed`` and the other columns of ``docs``, whatever their names, as a struct ``other``.
 
     ``kept`` holds the remaining UTF-8 bytes (a cut may split a character),
     ``removed`` the maximal removed spans in bytes. One row comes back for
@@ -486,32 +485,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. Null and short texts have no repeated window. An empty table gives
     an empty result.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in others] or [F.lit(0).alias("none")]).alias("other"))
-    copy = with_row_ids(picked)
+    copy = _copied(docs, id_col, text_col)
     path = repeats(copy, hot_rows)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in copy.schema)
-    cut = copy.mapInArrow(_cutter(path), f"{schema}, kept binary, removed array<struct<start: bigint, end: bigint>>")
-    return cut.drop("rid")
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*copy.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("removed", spans)])
+    return copy.mapInArrow(_cutter(path, False), schema).drop("rid")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 200) -> DataFrame:
     """The documents with repeated passages cut out of their texts, in the columns of ``docs``.
 
     A character that a cut would split goes with it. Null texts stay null.
     """
-    cut = remove_repeats(docs, id_col, text_col)
-    new = F.when(F.col("text").isNull(), None).when(F.size("removed") == 0, F.col("text")).otherwise(_valid(F.col("kept")))
+    copy = _copied(docs, id_col, text_col)
+    path = repeats(copy, hot_rows)
+    schema = T.StructType([copy.schema["id"], copy.schema["other"], T.StructField("text", T.StringType())])
+    cut = copy.mapInArrow(_cutter(path, True), schema)
     columns = []
     for c in docs.columns:
-        kind = docs.schema[c].dataType
-        columns.append((F.col("id") if c == id_col else new if c == text_col else F.col("other").getField(c)).cast(kind).alias(c))
+        place = F.col("id") if c == id_col else F.col("text") if c == text_col else F.col("other").getField(c)
+        columns.append(place.cast(docs.schema[c].dataType).alias(c))
     return cut.select(*columns)
-
-
-def _decode(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
-def _valid(kept):
-    return F.pandas_udf(_decode, "string")(kept)
