@@ -43,7 +43,7 @@ def made(seed, groups, copies, words=60):
 
 def kept(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    return {r.doc_id for r in corpus_pipeline.drop_similar(spark, docs, "").collect()}
+    return {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
 
 
 def test_kept_documents_against_brute_force(spark):

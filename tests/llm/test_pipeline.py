@@ -1,9 +1,7 @@
-import itertools
-
 import numpy as np
 
 import corpus_pipeline
-from tests.llm.test_simhash import plain_fingerprint
+from tests.llm.test_nearcopies import plain_kept
 from tests.llm.test_suffix import plain as plain_repeats
 from tidemark.llm import decontam, toxicity
 from tidemark.llm.common import written
@@ -28,19 +26,7 @@ def test_stages_against_brute_force(spark):
         if name == "toxicity":
             assert set(rows) == want
         elif name == "simhash":
-            fps = {i: plain_fingerprint(r.text) for i, r in before.items()}
-            root = {i: i for i in fps}
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for a, b in itertools.combinations(sorted(fps), 2):
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-            assert set(rows) == {find(i) for i in fps} and all(rows[i] == before[i] for i in rows)
+            assert set(rows) == plain_kept([(i, r.text) for i, r in before.items()]) and all(rows[i] == before[i] for i in rows)
         elif name == "suffix_array":
             removed = {x[0]: x[2] for x in plain_repeats([(i, r.text) for i, r in before.items()])}
             for i, r in before.items():

@@ -1,12 +1,26 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash bands, then exact verification.
-
-Texts with equal sets of shingles are one class. Each class has a signature
-of 100 minima, cut into 20 bands of five; classes that share a band are
-compared by their whole sets of shingles (64-bit hashes), so no link is
-invented, and a pair with a similarity of 0.8 shares no band with a
-probability of 0.0004 (less above).
-
-A band of ``SHORT`` classes at most gives all its pairs. In a larger one all
+"""Near copies by Golay-code fuzzy hashing of SimHash fingerprints, verified by Jaccard similarity.
+
+The fuzzy hashing of :mod:`simhash`, for links of a similarity of 0.8 or more
+on sets of five-word shingles, which are much wider than three bits of 64:
+
+1. Texts with equal sets of shingles are one class. A class has a fingerprint
+   of 184 bits, 8 segments of 23, each a word of the Golay code.
+2. A segment has one or six keys, the indices of codewords near it. Two
+   segments that differ in two bits or fewer always share a key; by the
+   pigeonhole principle that holds for one of the 8 if the fingerprints differ
+   in 23 bits or fewer. Segments that differ in three or four bits share one
+   with a probability of 0.6.
+3. Each segment is joined to the least shingle of the set in an order of its
+   own, so that a key's bucket doesn't grow with the square of the corpus.
+   Keys are made only where that shingle occurs in several classes. At a
+   similarity of 0.8 segments differ in 3.5 bits in the mean, and a pair misses
+   all 8 keys with a probability of 0.005 (0.001 at 0.85).
+4. Classes that share a key are candidates if their fingerprints differ in
+   ``NEAR`` bits at most, five deviations beyond the mean at 0.8. They are
+   compared by their whole sets of shingles (64-bit hashes), so no link is
+   invented.
+
+A bucket of ``SHORT`` classes at most gives all its pairs. In a larger one all
 are compared with the least first; only if that leaves more than one component
 its classes meet in full, in blocks of bounded size, where what is connected
 already is not compared again.
@@ -23,19 +37,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slabs, utf8, written
+from .common import Side, Tables, by_part, column, id_texts, slabs, utf8
 from .graph import connected_components
+from .simhash import bit_counts, segment_keys
 
 WIDTH = 5
-BANDS, ROWS = 20, 5
-#: Bands of so many classes at most give all pairs.
+SEGMENT, SEGMENTS = 23, 8
+#: Most bits in which the fingerprints of candidates differ.
+NEAR = 52
+#: Buckets of so many classes at most give all pairs.
 SHORT = 12
-#: Classes of one block, and two blocks meet in one task.
-BLOCK = 500
-#: Fixed value: the permutations of the hashes.
+#: Classes and shingles of one block, about; two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 500, 200_000
+#: Fixed value: the orders in which least shingles are taken.
 _RANDOM = np.random.default_rng(11)
-XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-FACTOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+XOR = _RANDOM.integers(0, 1 << 64, SEGMENTS, np.uint64)
+FACTOR = _RANDOM.integers(0, 1 << 64, SEGMENTS, np.uint64) | np.uint64(1)
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -51,13 +68,24 @@ def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[x:y]) for x, y in zip(a, b)), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The key of each band of the signature, as signed longs."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[None, i : i + 4096] ^ XOR[:, None]) * FACTOR[:, None]).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits that depend on all bits of ``x`` (the finish of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a set's fingerprint, and the least shingle in the order of each segment."""
+    least = np.full(SEGMENTS, (1 << 64) - 1, np.uint64)
+    n, ones = len(hashes), np.zeros(192, np.int64)
+    for i in range(0, n, 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        least = np.minimum(least, ((part[None, :] ^ XOR[:, None]) * FACTOR[:, None]).min(axis=1))
+        wide = np.stack([part, *(_mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in (1, 2))], axis=1)
+        ones += bit_counts(wide.view(np.uint8))
+    bits = (ones * 2 > n)[: SEGMENT * SEGMENTS].reshape(SEGMENTS, SEGMENT)
+    return bits @ (1 << np.arange(SEGMENT)), least
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -78,28 +106,58 @@ def _class(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slabs([batch], "text"):
-            sets = [(_class(h), bands(h)) for h in _hashed(column(part, "text"))]
-            keys = pa.array([x[1] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array([x[0] for x in sets], pa.int64()), keys], names=["id", "cls", "bands"])
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slabs(batches, "text"):
+        cls, size, words, least = [], [], [], []
+        for h in _hashed(column(part, "text")):
+            w, m = sketch(h)
+            cls.append(_class(h))
+            size.append(len(h))
+            words.append(w)
+            least.append(m.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [column(part, "id"), column(part, "rid"), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))],
+            names=["id", "rid", "cls", "n", "words", "least"],
+        )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _golay_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of class, segment number, its word and least shingle -> a row for each key."""
     for batch in batches:
-        for part in slabs([batch], "text"):
-            sets = list(_hashed(column(part, "text")))
-            whole = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.int64()), whole], names=["cls", "shingles"])
+        value, there = segment_keys(column(batch, "word").to_numpy().astype(np.int64))
+        r, c = np.nonzero(there)
+        mark = column(batch, "mark").to_numpy().view(np.uint64)
+        keys = _mixed(mark[r] + value[r, c].astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), column(batch, "cls").take(pa.array(r)), column(batch, "n").take(pa.array(r))], names=["key", "cls", "n"])
+
+
+def _sets(path: str):
+    """Rows -> the shingles of those that the side table names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = Side(path, [])
+        for batch in batches:
+            text = column(batch, "text").filter(pa.array(side.holds(column(batch, "rid").to_numpy())))
+            if not len(text):
+                continue
+            for part in slabs([pa.RecordBatch.from_arrays([text], names=["text"])], "text"):
+                sets = list(_hashed(column(part, "text")))
+                whole = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.int64()), whole], names=["cls", "shingles"])
+
+    return run
+
+
+def _fits(n, m):
+    """Sizes that allow a similarity of 0.8."""
+    return 9 * F.least(n, m) >= 4 * (n + m)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
-    n, least = F.size("x") + F.size("y"), F.least(F.size("x"), F.size("y"))
-    return both.where(9 * least >= 4 * n).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * n).select("a", "b")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -121,42 +179,60 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = "rid") -> DataFrame:
     """``(id, component)``: component is the smallest id that can be reached by links of a Jaccard similarity of 0.8 or more.
 
     Nulls and texts without words are one class; ids as in ``simhash.near_duplicates``.
+    ``rid_col`` holds row numbers of a written table (part and place), so that
+    texts are read again where they lie; with None rows are copied to get them.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    tables = Tables(docs.sparkSession, "near-copies")
+    if rid_col is None:
+        picked = tables.write(id_texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("rid")), "copy")
+    else:
+        picked = id_texts(docs, id_col, text_col, F.col(rid_col).alias("rid"))
     kind = picked.schema["id"].dataType.simpleString()
-    rows = written(picked.mapInArrow(_signed, f"id {kind}, cls bigint, bands array<bigint>"), "near-rows")
-    nodes = written(rows.groupBy("cls").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "near-nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "cls")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("first")).where("n > 1")
-    shared = written(keyed.join(sizes, "key"), "near-shared")
-    small = shared.where(F.col("n") <= SHORT).select("key", "cls")
-    pairs = small.select("key", F.col("cls").alias("a")).join(small.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > SHORT) & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    pairs = written(pairs.union(stars).distinct(), "near-pairs")
-    wanted = written(shared.select("cls").distinct().join(nodes.select("cls", "least"), "cls"), "near-wanted")
-    texts = picked.join(wanted.select("least").distinct(), picked["id"].eqNullSafe(F.col("least")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "cls bigint, shingles array<bigint>").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    sets = written(sets, "near-sets")
-    links = written(_verified(pairs, sets), "near-links")
-    roots = written(connected_components(links).withColumnRenamed("node", "cls"), "near-roots")
-    # large bands that are not one component yet
-    large = shared.where(F.col("n") > SHORT).select("key", "cls", "n").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = tables.write(picked.mapInArrow(_sketched, f"id {kind}, rid bigint, cls bigint, n int, words array<int>, least array<bigint>"), "rows")
+    # the least id names a class (nulls last), any of its rows stands for it
+    nodes = rows.groupBy("cls").agg(F.min("id").alias("first"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.first("words").alias("words"), F.first("least").alias("least"))
+    nodes = tables.write(nodes, "nodes")
+    parts = nodes.select("cls", "n", F.posexplode(F.arrays_zip("words", "least")).alias("segment", "part"))
+    parts = parts.select("cls", "n", F.col("part.words").alias("word"), F.xxhash64("segment", "part.least").alias("mark"))
+    several = parts.groupBy("mark").agg(F.count("*").alias("classes")).where("classes > 1").select("mark")
+    keyed = parts.join(several, "mark").select("cls", "n", "word", "mark").mapInArrow(_golay_keys, "key bigint, cls bigint, n int")
+    keyed = tables.write(keyed, "keyed")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"), F.min(F.struct("cls", "n")).alias("least")).where("classes > 1")
+    shared = tables.write(keyed.join(sizes, "key"), "shared")
+    tables.drop(keyed)
+    small = shared.where(F.col("classes") <= SHORT)
+    pairs = small.select("key", F.col("cls").alias("a"), F.col("n").alias("m")).join(small.select("key", F.col("cls").alias("b"), "n"), "key").where("a < b")
+    stars = shared.where(F.col("classes") > SHORT).select(F.col("least.cls").alias("a"), F.col("least.n").alias("m"), F.col("cls").alias("b"), "n").where("a < b")
+    pairs = pairs.select("a", "m", "b", "n").union(stars).where(_fits(F.col("m"), F.col("n")))
+    pairs = pairs.select("a", "b").distinct()
+    x, y = (nodes.select(F.col("cls").alias(c), F.col("words").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+    apart = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(SEGMENTS)), F.lit(0))
+    pairs = tables.write(pairs.join(x, "a").join(y, "b").where(apart <= NEAR).select("a", "b"), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(shared.where(F.col("classes") > SHORT).select("cls")).distinct()
+    path = by_part(wanted.join(nodes.select("cls", "rid"), "cls").select("rid"), "near-wanted")
+    sets = tables.write(picked.select("text", "rid").mapInArrow(_sets(path), "cls bigint, shingles array<bigint>"), "sets")
+    links = tables.write(_verified(pairs, sets), "links")
+    tables.drop(pairs)
+    roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
+    # large buckets that are not one component yet
+    large = shared.where(F.col("classes") > SHORT).select("key", "cls", "classes", "shingles").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     apart = large.groupBy("key").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("key")
-    large = written(large.join(apart, "key"), "near-large")
+    large = tables.write(large.join(apart, "key"), "large")
     if not large.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        blocks = F.ceil(F.greatest(F.col("classes") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         dealt = large.withColumn("m", blocks).withColumn("x", F.pmod(F.xxhash64("cls"), "m").cast("int"))
         dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "cls", "root")
         more = dealt.join(sets, "cls").groupBy("key").applyInArrow(_meet, "a bigint, b bigint")
-        links = links.union(written(more.distinct(), "near-more"))
-        roots = written(connected_components(links).withColumnRenamed("node", "cls"), "near-roots")
-    named = nodes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = written(named, "near-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(named.join(least, "root").select("cls", "component"), "near-found")
+        links = links.union(tables.write(more.distinct(), "more"))
+        roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
+    tables.drop(sets, shared, large)
+    names = nodes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    names = tables.write(names, "names")
+    least = names.groupBy("root").agg(F.min("first").alias("component"))
+    named = tables.write(names.join(least, "root").select("cls", "component"), "named")
     return rows.select("id", "cls").join(named, "cls").select("id", "component")

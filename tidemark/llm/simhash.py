@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slabs, utf8, written
+from .common import Side, Tables, by_part, column, id_texts, named, slabs, utf8
 from .graph import connected_components
 
 #: Bits of each segment, lowest first.
@@ -41,6 +41,14 @@ GOLAY = 0b101011100011
 RADIUS = 3
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of bytes, lowest bit first; short sums stay in bytes."""
+    total = np.zeros(rows.shape[1] * 8, np.int64)
+    for i in range(0, len(rows), 255):
+        total += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return total
+
+
 def fingerprint(raw: bytes, width: int = 3) -> int:
     """The unsigned fingerprint of UTF-8 bytes; 0 for a text without words."""
     words = raw.lower().split()
@@ -59,8 +67,7 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
     for i in range(0, n, 1 << 15):
         a, b = starts[i : i + (1 << 15)].tolist(), ends[i : i + (1 << 15)].tolist()
         hashes = np.fromiter((digest(line[x:y], 42) for x, y in zip(a, b)), np.uint64, len(a))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint16 if len(a) < 65536 else np.int64)
+        ones += bit_counts(hashes.view(np.uint8).reshape(-1, 8))
     return int(sum(1 << i for i in np.flatnonzero(ones * 2 > n).tolist()))
 
 
@@ -74,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(raw[a:b], width) for a, b in itertools.pairwise(at)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = id_texts(docs, id_col, text_col)
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(run, f"id {kind}, fp bigint")
 
@@ -210,18 +217,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.concatenate(held_k), np.concatenate(held_f))
 
 
-def links(distinct: DataFrame, bucket_limit: int = 1_000_000) -> DataFrame:
+#: Rows of a bucket that one task takes, about: larger buckets are dealt out as pairs of blocks.
+BLOCK = 20_000
+
+
+def links(distinct: DataFrame, bucket_limit: int = BLOCK) -> DataFrame:
     """``(a, b)``: links among distinct fingerprints ``fp`` that leave every group connected."""
-    keyed = distinct.select("fp").mapInArrow(_expand, "key bigint, fp bigint")
-    if distinct.count() > bucket_limit:  # only then can a bucket be that large
-        big = written(keyed.groupBy("key").count().where(F.col("count") > bucket_limit), "sim-big")
-        if not big.isEmpty():
-            blocks = F.ceil(F.col("count") * 2 / bucket_limit).cast("int")
-            hot = keyed.join(big, "key").withColumn("n", blocks).withColumn("x", F.pmod(F.xxhash64("fp"), "n").cast("int"))
-            hot = hot.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            hot = hot.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "fp")
-            keyed = keyed.join(big, "key", "left_anti").select("key", "fp").union(hot)
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    tables = Tables(distinct.sparkSession, "simhash-links")
+    keyed = tables.write(distinct.select("fp").mapInArrow(_expand, "key bigint, fp bigint"), "keys")
+    # only keys of many rows are named, so this table stays small, and the rest keeps its key
+    big = tables.write(keyed.groupBy("key").count().where(F.col("count") > bucket_limit), "big")
+    blocks = F.ceil(F.col("count") * 2 / bucket_limit).cast("int")
+    dealt = keyed.join(big, "key", "left").withColumn("n", F.coalesce(blocks, F.lit(1)))
+    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("fp"), "n").cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(F.when(F.col("n") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "fp")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_links, "a bigint, b bigint")
 
 
@@ -232,31 +243,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Repeated rows stay repeated. A null id never names a component
     unless all ids of it are null. An empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, width), "sim-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "sim-nodes")
+    tables = Tables(docs.sparkSession, "simhash")
+    rows = tables.write(fingerprints(docs, id_col, text_col, width), "rows")
+    nodes = tables.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = connected_components(links(nodes)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, "sim-roots")
-    least = written(named.groupBy("root").agg(F.min("least").alias("component")), "sim-least")
-    named = written(named.join(least, "root").select("fp", "component"), "sim-named")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    names = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = tables.write(names, "roots")
+    least = tables.write(names.groupBy("root").agg(F.min("least").alias("component")), "least")
+    found = tables.write(names.join(least, "root").select("fp", "component"), "named")
+    return rows.join(found, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """The documents without near copies, as ``find`` groups them: of each group the row with the smallest id stays (of equal rows, one)."""
-    spark = docs.sparkSession
-    found = find(docs, id_col, text_col)
-    chosen = written(found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "sim-chosen")
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["id"]), "left_semi")
-    # ids that occur more than once: one row of each group stays
-    again = docs.groupBy(id_col).count().where("count > 1")
-    again = written(again.select(id_col), "sim-again")
-    if again.isEmpty():
-        return kept
-    from pyspark.sql import Window
-
-    one = kept.join(again, docs[id_col].eqNullSafe(again[id_col]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-    one = one.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    rest = kept.join(again, docs[id_col].eqNullSafe(again[id_col]), "left_anti")
-    return spark.createDataFrame([], docs.schema).unionByName(rest).unionByName(one)
+    """The documents without near copies, as ``find`` groups them: of each group the row with the smallest id stays (of equal rows, one).
+
+    Rows get numbers of their own, so repeated ids are told apart; a null id
+    stays only if all ids of its group are null. Columns may have any names.
+    The rows that go are a small side table that each task reads for its part
+    of the rows, so no text is shuffled or sorted.
+    """
+    tables = Tables(docs.sparkSession, "keep-one")
+    copy = tables.write(docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    own = F.col("row").getField(id_col)
+    place = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid").alias("rid")).alias("place")
+    found = find(copy.select(place, F.col("row").getField(text_col).alias("text"), "rid"), "place", "text")
+    path = by_part(found.where("id <> component").select("id.rid"), "keep-one-gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = Side(path, [])
+        for batch in batches:
+            kept = batch.filter(pa.array(~gone.holds(column(batch, "rid").to_numpy())))
+            if kept.num_rows:
+                yield kept
+
+    return copy.mapInArrow(run, copy.schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
