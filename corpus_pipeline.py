@@ -21,12 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (fingerprints of three-word shingles, three bits) the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies the document with the least id stays.
 
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles the document with the least id stays."""
+    Golay-code fuzzy hashing of fingerprints of five-word shingles finds the
+    candidates, a Jaccard similarity of 0.8 or more links them.
+    """
     return simhash.keep_one(docs, find=nearcopies.near_copies)
 
 
@@ -53,7 +52,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_near_copies),
-    ("near_copies", drop_similar),
     ("suffix_array", cut_repeats),
     ("decontamination", drop_leaks),
     ("packing", pack),
