@@ -14,6 +14,7 @@ _DELTAS = f"""WITH {BARS_SQL},
 w AS (SELECT *, coalesce(lag(close) OVER t, close) AS prev, coalesce(avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), CAST(volume AS DOUBLE)) AS mean,
        row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars WINDOW t AS (PARTITION BY ticker ORDER BY date)),
 d AS (SELECT *, close - prev AS delta, CASE WHEN prev <> 0 THEN (close - prev) / prev * 100 ELSE 0 END AS pct, CASE WHEN mean <> 0 THEN (volume - mean) / mean ELSE 0 END AS vd FROM w)"""
+_SERIES = ("price_delta_24h", "percent_change_24h", "volume_delta")
 _NUMBERS = "round(delta, 6) AS price_delta_24h, round(pct, 6) AS percent_change_24h, round(vd, 6) AS volume_delta"
 
 
@@ -25,7 +26,8 @@ def market_snapshot(spark, sf_dir):
 @query(f"{_DELTAS} SELECT ticker, date, {_NUMBERS} FROM d")
 def market_delta_series(spark, sf_dir):
     df = market.deltas(adapters.bars(spark, sf_dir))
-    return rounded(df, "price_delta_24h", "percent_change_24h", "volume_delta").select("ticker", "date", "price_delta_24h", "percent_change_24h", "volume_delta")
+    # as the SQL rounds: the product in floating point, ties away from zero
+    return df.select("ticker", "date", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in _SERIES])
 
 
 @query(f"{_DELTAS} SELECT ticker, date, round(close, 2) AS close, volume, CAST(back AS INTEGER) AS back FROM d WHERE back <= 32")
