@@ -16,14 +16,16 @@ on sets of five-word shingles, which are much wider than three bits of 64:
    similarity of 0.8 segments differ in 3.5 bits in the mean, and a pair misses
    all 8 keys with a probability of 0.005 (0.001 at 0.85).
 4. Classes that share a key are candidates if their fingerprints differ in
-   ``NEAR`` bits at most, five deviations beyond the mean at 0.8. They are
+   ``NEAR`` bits at most, five deviations beyond the mean at 0.8; that is a
+   condition of the join on keys, so other pairs never leave it. They are
    compared by their whole sets of shingles (64-bit hashes), so no link is
    invented.
 
-A bucket of ``SHORT`` classes at most gives all its pairs. In a larger one all
-are compared with the least first; only if that leaves more than one component
-its classes meet in full, in blocks of bounded size, where what is connected
-already is not compared again.
+In each bucket all classes are compared with the least first, which is a pair
+for each class and key. Only what that leaves apart is compared further: all
+pairs in a bucket of ``SHORT`` classes at most; the classes of a larger one
+meet in full, in blocks of bounded size. What is connected already is never
+compared again, so a group of near copies costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ WIDTH = 5
 SEGMENT, SEGMENTS = 23, 8
 #: Most bits in which the fingerprints of candidates differ.
 NEAR = 52
-#: Buckets of so many classes at most give all pairs.
+#: Buckets of so many classes at most give all pairs that their least leaves apart.
 SHORT = 12
 #: Classes and shingles of one block, about; two blocks meet in one task.
 BLOCK, BLOCK_SHINGLES = 500, 200_000
@@ -153,6 +155,23 @@ def _fits(n, m):
     return 9 * F.least(n, m) >= 4 * (n + m)
 
 
+def _candidates(shared: DataFrame) -> DataFrame:
+    """``(a, b, star)``: pairs of near fingerprints that share a key, with the least class of a bucket (``star``) or in a small bucket."""
+    least = F.col("cls") == F.col("least")
+    one = shared.where(least | (F.col("classes") <= SHORT)).select("key", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("words").alias("x"), least.alias("star"))
+    other = shared.select("key", F.col("cls").alias("b"), "n", F.col("words").alias("y"))
+    apart = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(SEGMENTS)), F.lit(0))
+    both = other.join(one, "key").where((F.col("a") < F.col("b")) & _fits(F.col("m"), F.col("n")) & (apart <= NEAR))
+    return both.groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes have different roots; a class without one is its own."""
+    for c, root in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(roots.select(F.col("cls").alias(c), F.col("root").alias(root)), c, "left")
+    return pairs.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
@@ -201,23 +220,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = parts.groupBy("mark").agg(F.count("*").alias("classes")).where("classes > 1").select("mark")
     keyed = parts.join(several, "mark").select("cls", "n", "word", "mark").mapInArrow(_golay_keys, "key bigint, cls bigint, n int")
     keyed = tables.write(keyed, "keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"), F.min(F.struct("cls", "n")).alias("least")).where("classes > 1")
-    shared = tables.write(keyed.join(sizes, "key"), "shared")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"), F.min("cls").alias("least")).where("classes > 1")
+    shared = tables.write(keyed.join(sizes, "key").join(nodes.select("cls", "words"), "cls"), "shared")
     tables.drop(keyed)
-    small = shared.where(F.col("classes") <= SHORT)
-    pairs = small.select("key", F.col("cls").alias("a"), F.col("n").alias("m")).join(small.select("key", F.col("cls").alias("b"), "n"), "key").where("a < b")
-    stars = shared.where(F.col("classes") > SHORT).select(F.col("least.cls").alias("a"), F.col("least.n").alias("m"), F.col("cls").alias("b"), "n").where("a < b")
-    pairs = pairs.select("a", "m", "b", "n").union(stars).where(_fits(F.col("m"), F.col("n")))
-    pairs = pairs.select("a", "b").distinct()
-    x, y = (nodes.select(F.col("cls").alias(c), F.col("words").alias(w)) for c, w in (("a", "x"), ("b", "y")))
-    apart = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(SEGMENTS)), F.lit(0))
-    pairs = tables.write(pairs.join(x, "a").join(y, "b").where(apart <= NEAR).select("a", "b"), "pairs")
+    pairs = tables.write(_candidates(shared), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(shared.where(F.col("classes") > SHORT).select("cls")).distinct()
     path = by_part(wanted.join(nodes.select("cls", "rid"), "cls").select("rid"), "near-wanted")
     sets = tables.write(picked.select("text", "rid").mapInArrow(_sets(path), "cls bigint, shingles array<bigint>"), "sets")
-    links = tables.write(_verified(pairs, sets), "links")
-    tables.drop(pairs)
+    links = tables.write(_verified(pairs.where("star"), sets), "links")
     roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
+    # small buckets that their least doesn't connect
+    rest = tables.write(_verified(_unconnected(pairs.where("not star"), roots), sets), "rest")
+    tables.drop(pairs)
+    if not rest.isEmpty():
+        links = roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(rest)
+        roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
     # large buckets that are not one component yet
     large = shared.where(F.col("classes") > SHORT).select("key", "cls", "classes", "shingles").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     apart = large.groupBy("key").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("key")
