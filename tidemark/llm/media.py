@@ -168,7 +168,9 @@ def features(table: DataFrame, media_col: str = "media", samples: bool = False)
     """
     bounded_batches(table.sparkSession)
     media = named(media_col).alias("__media")
-    table = table.select(*[named(c) for c in table.columns if c not in NEW], media)
+    names = [c for c in table.columns if c not in NEW]
+    # plain names on the way through Python, which takes a dot for a field
+    table = table.select(*[named(c).alias(f"__{i}") for i, c in enumerate(names)], media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,5 +187,5 @@ def features(table: DataFrame, media_col: str = "media", samples: bool = False)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *NEW])
 
     schema = T.StructType([*table.schema.fields[:-1], *(T.StructField(n, k) for n, k in NEW.items())])
-    out = table.mapInArrow(run, schema)
+    out = table.mapInArrow(run, schema).toDF(*names, *NEW)
     return out if samples else out.drop("samples")
