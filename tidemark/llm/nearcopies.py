@@ -230,9 +230,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = tables.write(_verified(pairs.where("star"), sets), "links")
     roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
     # small buckets that their least doesn't connect
-    rest = tables.write(_verified(_unconnected(pairs.where("not star"), roots), sets), "rest")
+    left = tables.write(_unconnected(pairs.where("not star"), roots), "left")
     tables.drop(pairs)
-    if not rest.isEmpty():
+    if not left.isEmpty():
+        # few classes, as a rule: their sets alone are joined
+        ends = tables.write(left.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
+        rest = tables.write(_verified(left, tables.write(sets.join(ends, "cls", "left_semi"), "left-sets")), "rest")
         links = roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(rest)
         roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
     # large buckets that are not one component yet
