@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowstore, collocations, decontam, langid, media, packing, quality, resampling, sharding, simhash, suffix, toxicity
+from . import arrowstore, collocations, decontam, langid, media, packing, pieces, quality, resampling, sharding, simhash, suffix, toxicity
 from .common import crc_mod, documents
 from .tokens import vocabulary
 
@@ -86,6 +86,14 @@ def op11_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -96,7 +104,7 @@ QUERIES = {
     for f in (
         op1_arrow_sequences, op2_best_fit_packing, op3_minimax_sharding, op4_cross_parsing_language, op5_media_columns,
         op6_knn_quality, op7_simhash_golay, op8_bm25_decontamination, op9_weak_toxicity, op10_suffix_array,
-        op11_pivot_collocations, op13_importance_resampling,
+        op11_pivot_collocations, op12_sentencepiece, op13_importance_resampling,
     )
 }
 ORACLE_SQL: dict[str, str] = {
