@@ -148,3 +148,22 @@ def test_pack_whole_texts(spark):
 
 def test_pack_an_empty_table(spark):
     assert packing.pack(frame(spark, []), tokens.vocabulary("byte_bpe_50k.json"), 2, leading_space=True).collect() == []
+
+
+@pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_every_latin_letter_before_every_sign(name, leading):
+    encoder = tokens.Encoder(tokens.vocabulary(name), leading)
+    letters = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha()] + ["a", "Z", "ß", "ſ"]
+    texts = [f"{a}{x}{s} {x}{s}{b}" for x in letters for s in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'\\" for a, b in (("ab", ""), ("", "c"))]
+    texts += ["BELEDİYESİ.", "İ", "İ.", "DİYARBAKIR'DA, İZMİR!", "Iİiı... (İ)"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]
+
+
+@pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_many_mixed_texts(name, leading):
+    rng = random.Random(12)
+    encoder = tokens.Encoder(tokens.vocabulary(name), leading)
+    alphabet = [*"abcXYZ.,!?'-()\"/:;# ", " ", "  ", "\n", "İ", "ı", "ğ", "Ş", "é", "É", "ß", "ǅ", "ŉ", "\u0307", "\u0301", "Ω", "漢", "1", "23", "'s", "\t", "\xa0"]
+    for _ in range(10):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(5_000)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]

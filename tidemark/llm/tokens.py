@@ -31,6 +31,11 @@ _SPACES = re.compile(r"(\s+)")
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _letters(string: str) -> bool:
+    """Latin letters only, which stay letters in lower case (the capital dotted I ends in a combining sign there)."""
+    return string.isalpha() and (string.isascii() or (max(string) <= "\u024f" and string.lower().isalpha()))
+
+
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; a path is used as it is."""
     if os.path.sep in name:
@@ -96,8 +101,8 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _simple(self, string: str) -> bool:
-        """Latin letters only, which stay letters in lower case: one piece for either pre-tokenizer, wherever it stands between spaces."""
-        return string.isalpha() and (string.isascii() or (max(string) <= "\u024f" and string.lower().isalpha()))
+        """One piece for either pre-tokenizer, wherever it stands between spaces."""
+        return _letters(string)
 
     def _library(self, strings: list[str]) -> None:
         """Encode strings with the library: plain words many at a time, told apart by their edges, others one by one."""
@@ -127,7 +132,7 @@ class Encoder:
         index, split, need = self.index, [], set()
         for piece in pieces:
             core = piece.rstrip(_SIGNS)
-            if not core or not core[-1].isalpha() or core[-1] > "\u024f":
+            if not core or not _letters(core[-1]):
                 need.add(piece)
                 continue
             tail = piece[len(core) :]
