@@ -14,12 +14,16 @@ on sets of five-word shingles, which are much wider than three bits of 64:
    own, so that a key's bucket doesn't grow with the square of the corpus.
    Keys are made only where that shingle occurs in several classes. At a
    similarity of 0.8 segments differ in 3.5 bits in the mean, and a pair misses
-   all 8 keys with a probability of 0.005 (0.001 at 0.85).
+   all 8 keys with a probability of 0.005 (0.001 at 0.85; up to 0.03 for sets
+   of four and five shingles).
 4. Classes that share a key are candidates if their fingerprints differ in
-   ``NEAR`` bits at most, five deviations beyond the mean at 0.8; that is a
-   condition of the join on keys, so other pairs never leave it. They are
-   compared by their whole sets of shingles (64-bit hashes), so no link is
-   invented.
+   ``NEAR`` bits at most, whatever the bucket; that is a condition of the join
+   on keys, so other pairs never leave it. Bits differ with a probability of
+   0.1875 at most at a similarity of 0.8 (sets of four and five; 0.15 to 0.16
+   for larger ones), and ``NEAR`` is six deviations beyond that mean, so one
+   similar pair of 10^8 is beyond it. Candidates are compared by their whole
+   sets of shingles. A shingle and a set are 64-bit hashes: an invented link
+   needs two that agree.
 
 In each bucket all classes are compared with the least first, which is a pair
 for each class and key. Only what that leaves apart is compared further: all
@@ -45,8 +49,8 @@ from .simhash import bit_counts, segment_keys
 
 WIDTH = 5
 SEGMENT, SEGMENTS = 23, 8
-#: Most bits in which the fingerprints of candidates differ.
-NEAR = 52
+#: Most bits in which the fingerprints of candidates differ, in buckets of every size.
+NEAR = 67
 #: Buckets of so many classes at most give all pairs that their least leaves apart.
 SHORT = 12
 #: Classes and shingles of one block, about; two blocks meet in one task.
@@ -182,6 +186,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links between the components of one block pair that connect what is linked."""
     cls, root = table["cls"].to_numpy(), table["root"].to_numpy()
+    words = np.array(table["words"].to_pylist(), np.int64)
     sets = [np.asarray(x.values).view(np.uint64) for x in table["shingles"]]
     sizes, left, out = np.array([len(s) for s in sets]), np.arange(len(cls)), []
     while len(left):
@@ -190,6 +195,7 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             i = queue.pop()
             joined = root[left] == root[i]
             fits = ~joined & (9 * np.minimum(sizes[left], sizes[i]) >= 4 * (sizes[left] + sizes[i]))
+            fits[fits] = np.bitwise_count(words[left[fits]] ^ words[i]).sum(1) <= NEAR
             hit = joined.copy()
             hit[fits] = [alike(sets[i], sets[j]) for j in left[fits]]
             out += [(cls[i], cls[j]) for j in left[hit & ~joined]]
@@ -239,14 +245,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(rest)
         roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
     # large buckets that are not one component yet
-    large = shared.where(F.col("classes") > SHORT).select("key", "cls", "classes", "shingles").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    large = shared.where(F.col("classes") > SHORT).select("key", "cls", "classes", "shingles", "words").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     apart = large.groupBy("key").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("key")
     large = tables.write(large.join(apart, "key"), "large")
     if not large.isEmpty():
         blocks = F.ceil(F.greatest(F.col("classes") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         dealt = large.withColumn("m", blocks).withColumn("x", F.pmod(F.xxhash64("cls"), "m").cast("int"))
         dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "cls", "root")
+        dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "cls", "root", "words")
         more = dealt.join(sets, "cls").groupBy("key").applyInArrow(_meet, "a bigint, b bigint")
         links = links.union(tables.write(more.distinct(), "more"))
         roots = tables.write(connected_components(links).withColumnRenamed("node", "cls"), "roots")
