@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, column, id_texts, slabs
+from .common import bounded_batches, column, id_texts, named, slabs
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -238,7 +239,15 @@ class Index:
         return (whole, question, answer) if both or not self.parts[item][2] else None
 
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
-        """Item ids found in a text, with their overlaps."""
+        """Item ids found in a text, with their overlaps; of items of one id the largest."""
+        best: dict[int, tuple[float, float, float]] = {}
+        for place, got in self.found(text).items():
+            i = self.ids[place]
+            best[i] = max(got, best.get(i, got))
+        return best
+
+    def found(self, text: str | None) -> dict[int, tuple[float, float, float]]:
+        """Places of the items found in a text, with their overlaps."""
         ws = words(text)
         terms = np.fromiter(map(self.number.get, ws, itertools.repeat(0)), np.int32, len(ws))
         best: dict[int, tuple[float, float, float]] = {}
@@ -265,17 +274,17 @@ class Index:
                         for n in {len(x) for x in part if len(x) < self.width}:
                             there = there | {tuple(ws[i : i + n]) for i in range(s, e - n + 1)}
                     got = self.overlap(item, there)
-                    i = self.ids[item]
-                    if got and got > best.get(i, (0.0,)):
-                        best[i] = got
+                    if got and got > best.get(item, (0.0,)):
+                        best[item] = got
         return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, items: int = ITEMS) -> DataFrame:
     """One row for each document and item whose text it holds: ``id, item_id, overlap, question, answer``.
 
-    Items without words match nothing; equal items are reported each. Nulls
-    and empty texts hold nothing. Repeated rows are reported each. An index
+    Items without words match nothing; equal items are reported each, also
+    those of one id, which may be of any type or null. Nulls and empty texts
+    hold nothing. Repeated rows are reported each. An index
     holds about ``items`` items and ``ITEM_BYTES`` of text; a larger benchmark
     is taken in several passes over the documents, with the same rows.
     """
@@ -283,19 +292,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slices = _slices(benchmark, items)
     picked = id_texts(docs, id_col, text_col)
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((picked, "id"), (slices[0], "item_id")))
+    item_type = to_arrow_type(slices[0].schema["item_id"].dataType)
     schema = f"id {kind}, item_id {item_kind}, overlap double, question double, answer double"
     out = spark.createDataFrame([], schema)
     for tests in slices:
         index = spark.sparkContext.broadcast(Index(sorted(map(tuple, tests.collect()), key=str), width, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = index.value.search
+            ids, found = index.value.ids, index.value.found
             for batch in slabs(batches, "text"):
-                rows = [(i, item, *got) for i, text in enumerate(column(batch, "text").to_pylist()) for item, got in search(text).items()]
+                rows = [(i, ids[place], *got) for i, text in enumerate(column(batch, "text").to_pylist()) for place, got in found(text).items()]
                 if rows:
                     at, item, *shares = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [column(batch, "id").take(pa.array(at)), pa.array(item), *(pa.array(s, pa.float64()) for s in shares)],
+                        [column(batch, "id").take(pa.array(at)), pa.array(item, item_type), *(pa.array(s, pa.float64()) for s in shares)],
                         names=["id", "item_id", "overlap", "question", "answer"],
                     )
 
@@ -305,20 +315,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS) -> DataFrame:
-    """The documents that hold no item, in the columns of ``docs``; a null text holds none."""
+    """The documents that hold no item, in the columns of ``docs``, whatever their names; a null text holds none."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    place = docs.columns.index(text_col)
+    columns, place = docs.columns, docs.columns.index(text_col)
+    docs = docs.select(F.struct(*map(named, columns)).alias("row"))
     for tests in _slices(benchmark, items):
         index = spark.sparkContext.broadcast(Index(sorted(map(tuple, tests.collect()), key=str)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(place).cast(pa.string()).to_pylist()
-                yield batch.filter(pa.array([not index.value.search(text) for text in texts], pa.bool_()))
+                texts = batch.column(0).field(place).cast(pa.string()).to_pylist()
+                yield batch.filter(pa.array([not index.value.found(text) for text in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def _slices(benchmark: DataFrame, items: int) -> list[DataFrame]:
