@@ -2,7 +2,7 @@
 
 A text becomes counts of terms (hashed words), word shapes, pairs of shapes,
 word beginnings and a few ratios in buckets; tokens beyond ``LONGEST`` signs are
-cut into pieces that count each. A tf-idf weighting and a truncated SVD, both of a
+of more than ``RUNS`` runs are cut into pieces that count each. A tf-idf weighting and a truncated SVD, both of a
 bounded sample of labelled rows, turn them into a short unit vector. The
 labelled vectors are broadcast (``sample`` rows of each class at most). Every
 document is compared with all of them by exact blocked cosine products, and
@@ -35,13 +35,15 @@ GROUPS = (SHAPES, PAIRS, WORDS, TERMS, RATIOS)
 DIMENSIONS = sum(GROUPS)
 #: Longest piece of a token.
 LONGEST = 48
+#: Runs of a piece, which its shape shows.
+RUNS = 6
 BLOCK = 512
 
 _RUN = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.DOTALL)
 
 
 def shape(token: str) -> str:
-    """Runs of letters (A if all are capitals, T if only the first is) and digits as one sign each; other signs stay, repeats at most twice."""
+    """Runs of letters (A if all are capitals, T if only the first is) and digits as one sign each; of a run of another sign it shows one or two."""
     out = []
     for m in _RUN.finditer(token):
         run = m[0]
@@ -51,11 +53,21 @@ def shape(token: str) -> str:
             out.append("0")
         else:
             out.append(run[:2])
-        if len(out) >= 6:
-            break
     return "".join(out)
 
 
+def cut(token: str) -> list[str]:
+    """The token in pieces of ``RUNS`` runs and ``LONGEST`` signs at most."""
+    out, size, runs = [], 0, 0
+    for m in _RUN.finditer(token):
+        if runs == RUNS:
+            out.append(token[size : m.start()])
+            size, runs = m.start(), 0
+        runs += 1
+    out.append(token[size:])
+    return [p[i : i + LONGEST] for p in out for i in range(0, len(p), LONGEST)]
+
+
 def _bucket(text: str, size: int) -> int:
     return zlib.crc32(text.encode()) % size
 
@@ -67,12 +79,13 @@ class Features:
         self.memory, self.known = memory, {}
 
     def token(self, token: str) -> int:
+        """The number of a token's features; -1 if it must be cut first."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
             word = "".join(c for c in token.lower() if c.isalpha())
-            got = (_bucket(shape(token), SHAPES) * WORDS + _bucket(word[:3], WORDS)) * TERMS + _bucket(word, TERMS)
+            got = -1 if sum(1 for _ in _RUN.finditer(token)) > RUNS else (_bucket(shape(token), SHAPES) * WORDS + _bucket(word[:3], WORDS)) * TERMS + _bucket(word, TERMS)
             self.known[token] = got
         return got
 
@@ -86,8 +99,11 @@ class Features:
         known, learn = self.known, self.token
         pieces = tokens
         if max(map(len, tokens)) > LONGEST:
-            pieces = [t[i : i + LONGEST] for t in tokens for i in range(0, len(t), LONGEST)]
+            pieces = [p for t in tokens for p in (cut(t) if len(t) > LONGEST else (t,))]
         codes = np.fromiter((known[t] if t in known else learn(t) for t in pieces), np.int64, len(pieces))
+        if codes.min() < 0:
+            pieces = [p for t, c in zip(pieces, codes.tolist()) for p in (cut(t) if c < 0 else (t,))]
+            codes = np.fromiter((known[t] if t in known else learn(t) for t in pieces), np.int64, len(pieces))
         both, terms = codes // TERMS, codes % TERMS
         shapes, words = both // WORDS, both % WORDS
         x[:SHAPES] = np.bincount(shapes, minlength=SHAPES)
