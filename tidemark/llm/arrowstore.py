@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, filesystem, scratch, slabs, written
+from .common import column, filesystem, named, scratch, slabs, written
 from .tokens import encoder
 
 LENGTH = 1024
@@ -124,7 +124,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, *, leading_space:
     """
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

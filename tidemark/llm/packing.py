@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, read_part, slabs, write_by_part, written
+from .common import column, named, read_part, slabs, write_by_part, written
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *, lead
                 names=["id", "piece", "start", "length", "ids", "part", "idx"],
             )
 
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     return written(picked.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids binary, part int, idx bigint"), "pack-pieces")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import column, named, written
 
 #: Groups in a block, about. The driver holds one number for each block.
 BLOCK = 50_000
@@ -152,9 +152,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     members of one group and get slots of their own; a null id comes last in
     its group. Shards may stay empty. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        named(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("digest"),
@@ -187,9 +187,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     number_of = F.lit(0)
     for b, k in cuts:
         number_of = number_of + F.when((F.col("block") > b) | ((F.col("block") == b) & (F.col("place") >= k)), 1).otherwise(0)
-    named = ordered.select("digest", "first", number_of.cast("int").alias("shard"))
+    labelled = ordered.select("digest", "first", number_of.cast("int").alias("shard"))
     # shards are contiguous in group order, so a slot is a rank in that order: place in a range part plus the counts before it
-    joined = written(rows.join(named, "digest"), "shard-joined")
+    joined = written(rows.join(labelled, "digest"), "shard-joined")
     spread = F.xxhash64("id")  # equal rows of one group in any order; the group itself may fill many parts
     dealt = joined.withColumn("last", F.col("id").isNull()).repartitionByRange("shard", "first", "digest", "last", "id", spread)
     dealt = dealt.sortWithinPartitions("shard", "first", "digest", "last", "id").drop("last", "digest")
