@@ -1,30 +1,50 @@
 """Streams over several files, provider precedence, fallbacks and retries beyond what the oracles show."""
 
 import datetime
+import os
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import citations, providers
-from tidemark.plans import provider_queries, serving_queries, story_queries, text_queries  # noqa: F401
+from tidemark.plans import connector_queries, provider_queries, serving_queries, story_queries, text_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def split(spark, tmp_path_factory):
-    """The events in five files, later ids first."""
+STREAMS = ["stream_dedupe", "stream_sentiment", "stream_sliding_windows", "stream_sessions", "stream_merge_window", "stream_daily_sentiment", "stream_replay", "stream_ttl_cache", "stream_provider_cache"]
+
+
+@pytest.fixture(scope="module", params=[(5, "by id"), (12, "latest first"), (12, "earliest first")], ids=str)
+def split(spark, tmp_path_factory, request):
+    """The events in several files: later ids first, or cut by time, each file one that comes after those written before it."""
+    files, order = request.param
     root = tmp_path_factory.mktemp("split")
+    spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{root}/customer.parquet")
     e = spark.read.parquet(f"{SF}/events.parquet")
-    for k in range(5):
-        e.where(F.col("event_id") % 5 == 4 - k).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+    part = F.col("event_id") % files if order == "by id" else F.ntile(files).over(Window.orderBy("ts")) - 1
+    parts = e.withColumn("part", part).cache()
+    for k in range(files) if order == "earliest first" else reversed(range(files)):
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+        newest = max((f for f in (root / "events.parquet").glob("*.parquet")), key=lambda f: (f.stat().st_mtime_ns, f.name))
+        os.utime(newest, (1_700_000_000 + len(list((root / "events.parquet").glob("*.parquet"))),) * 2)
+    parts.unpersist()
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["stream_dedupe", "stream_sentiment", "stream_sliding_windows", "stream_sessions", "stream_merge_window", "stream_daily_sentiment", "stream_replay"])
-def test_streams_over_five_files_equal_one(spark, split, name):
-    assert sorted(map(repr, QUERIES[name](spark, split).collect())) == sorted(map(repr, QUERIES[name](spark, SF).collect()))
+@pytest.fixture(scope="module")
+def whole(spark):
+    return {}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_over_several_files_equal_one(spark, split, whole, name):
+    if name not in whole:
+        whole[name] = sorted(map(repr, QUERIES[name](spark, SF).collect()))
+    assert sorted(map(repr, QUERIES[name](spark, split).collect())) == whole[name]
 
 
 def test_ttl_cache_against_a_plain_loop(spark):
@@ -68,6 +88,19 @@ def test_retry_works_on_the_failed_alone(spark):
     assert got[3].label is None and got[3].sentences is None and len(got[3].stories) == 2
 
 
+def test_each_theme_comes_once_from_a_generator_that_answers_at_random(spark):
+    story = "struct<id: string, title: string, description: string, outlet: string, published_at: string>"
+    themes = spark.createDataFrame([(k, "T", [("a", "One thing", "d", "o", "t"), ("b", "Another", "d", "o", "t")]) for k in range(400)], f"theme_id int, ticker string, stories array<{story}>")
+    luck = F.udf(lambda: random.random() < 0.5, "boolean").asNondeterministic()
+
+    def generate(df, attempt):
+        return citations.summarize(df).withColumn("label", F.when(luck(), F.col("label")).otherwise(F.lit("")))
+
+    got = [r.theme_id for r in citations.with_retry(themes, generate).collect()]
+    assert sorted(got) == list(range(400))
+    assert citations.with_retry(themes.limit(0), generate).count() == 0
+
+
 def test_quotes_and_bars_in_order(spark):
     tickers = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
     quotes = spark.createDataFrame([("A", "1.5", "x", None, "7.9")], "ticker string, c string, d string, dp string, v string")

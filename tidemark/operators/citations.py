@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_count
 from .matching import categories
+from .stories import shared_checkpoints
 
 LABEL_WORDS = (1, 8)
 SENTENCES = (2, 4)
@@ -69,12 +70,15 @@ def resolved(summaries: DataFrame) -> DataFrame:
 def with_retry(themes: DataFrame, generate) -> DataFrame:
     """Summaries of ``generate(themes, attempt)`` that pass the rules; the second attempt gets only what failed in the first.
 
-    ``generate`` returns the themes with ``label`` and ``sentences``. A theme
-    that fails twice is degraded: it keeps its stories and has no summary.
+    ``generate`` returns the themes with ``label`` and ``sentences``. It may
+    answer at random, so each attempt is checkpointed before its rows are
+    divided: every theme comes out once. A theme that fails twice is degraded:
+    it keeps its stories and has no summary.
     """
+    shared_checkpoints(themes.sparkSession)
     ok = F.coalesce(acceptable(F.col("label"), F.col("sentences"), F.transform("stories", lambda s: s["id"])), F.lit(False))
-    first = generate(themes, 1).withColumn("ok", ok)
-    again = generate(first.where(~F.col("ok")).select(*themes.columns), 2).withColumn("ok", ok)
+    first = generate(themes, 1).withColumn("ok", ok).checkpoint()
+    again = generate(first.where(~F.col("ok")).select(*themes.columns), 2).withColumn("ok", ok).checkpoint()
     kept = F.when(F.col("ok"), F.col("label")), F.when(F.col("ok"), F.col("sentences"))
     second = again.select(*themes.columns, kept[0].alias("label"), kept[1].alias("sentences"), F.when(F.col("ok"), "accepted_after_retry").otherwise("degraded").alias("status"))
     return first.where("ok").select(*themes.columns, "label", "sentences", F.lit("accepted").alias("status")).unionByName(second)

@@ -196,9 +196,3 @@ def stream_sessions(spark, sf_dir):
 def stream_sentiment(spark, sf_dir):
     """Posts as a stream, scored and averaged by ticker and day."""
     return rounded(streams.daily_sentiment(spark, sf_dir), "avg_sentiment_score")
-
-
-@query()
-def stream_ttl_cache(spark, sf_dir):
-    """Hits and misses of a cache whose entries live for a day, with state for each user; a test compares it with a plain loop."""
-    return streams.ttl_cache(spark, sf_dir, 86_400)

@@ -31,9 +31,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def run(writer, spark: SparkSession, label: str) -> None:
-    """Run to the end of the input; a failure is raised here."""
-    q = writer.option("checkpointLocation", folder(spark, f"{label}-state")).trigger(availableNow=True).start()
+def run(writer, spark: SparkSession, label: str, state: str | None = None) -> None:
+    """Run to the end of the input, from the checkpoint ``state`` if it is given; a failure is raised here."""
+    q = writer.option("checkpointLocation", state or folder(spark, f"{label}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -66,10 +66,21 @@ def first_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-def merge_window(spark: SparkSession, sf_dir: str, hours: int = 36) -> DataFrame:
-    """Clicks and purchases of one user within ``hours`` of each other: a join of two streams whose state goes with the watermark."""
-    out = folder(spark, "merge")
-    side = lambda kind, name: events(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("at", f"{2 * hours} hours").select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("at").alias(f"{name}_at"))
+def span(spark: SparkSession, sf_dir: str) -> str:
+    """The time from the first event of the table to its last, as a lateness: files that are there already may then come in any order."""
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet*").agg(F.min("ts").cast("timestamp").cast("long"), F.max("ts").cast("timestamp").cast("long")).first()
+    return f"{(last or 0) - (first or 0) + 1} seconds"
+
+
+def merge_window(spark: SparkSession, sf_dir: str, hours: int = 36, lateness: str | None = None) -> DataFrame:
+    """Clicks and purchases of one user within ``hours`` of each other: a join of two streams whose state goes with the watermark.
+
+    Rows may come ``lateness`` behind the newest, later ones are dropped, and a
+    row is kept that long beside ``hours``. By default it is the span of the
+    table, so no order of its files loses a pair.
+    """
+    out, late = folder(spark, "merge"), lateness or span(spark, sf_dir)
+    side = lambda kind, name: events(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("at", late).select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("at").alias(f"{name}_at"))
     a, b = side("click", "a"), side("purchase", "b")
     near = (F.col("a_user") == F.col("b_user")) & F.col("b_at").between(F.col("a_at") - F.expr(f"INTERVAL {hours} HOURS"), F.col("a_at") + F.expr(f"INTERVAL {hours} HOURS"))
     pairs = a.join(b, near).select("a", "b")
@@ -111,36 +122,6 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last_of(means, spark, "sentiment")
 
 
-def ttl_cache(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
-    """``user_id, hits, misses``: each user's events in time order ask a cache; an entry serves for ``seconds`` after it was stored.
-
-    The state is the time of the entry and two counts; rows of one batch are
-    sorted by time, and batches must come in time order.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def ask(key, frames, state):
-        import pandas as pd
-
-        stored, hits, misses = state.get if state.exists else (None, 0, 0)
-        for at in sorted(t for f in frames for t in f["micros"].tolist()):
-            if stored is not None and at - stored <= seconds * 1_000_000:
-                hits += 1
-            else:
-                stored, misses = at, misses + 1
-        state.update((stored, hits, misses))
-        yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses]})
-
-    out, rows = folder(spark, "ttl"), events(spark, sf_dir).select("user_id", F.unix_micros("at").alias("micros"))
-    asked = rows.groupBy("user_id").applyInPandasWithState(ask, "user_id bigint, hits bigint, misses bigint", "stored bigint, hits bigint, misses bigint", "update", GroupStateTimeout.NoTimeout)
-
-    def log(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    run(asked.writeStream.outputMode("update").foreachBatch(log), spark, "ttl")
-    return spark.read.parquet(out).groupBy("user_id").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))
-
-
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitions by batch and type, written twice from the start with dynamic overwrite: the second run makes the same batches and replaces them, it does not add."""
     out = folder(spark, "replay")
