@@ -19,7 +19,7 @@ import re
 import numpy as np
 
 #: Most strings and ids that a worker remembers; beyond either the memory starts anew.
-MEMORY, MEMORY_IDS = 400_000, 4_000_000
+MEMORY, MEMORY_IDS = 1_000_000, 10_000_000
 
 #: Signs with which a text is encoded whole.
 _DOUBTFUL = re.compile("[\0\x1c-\x1f\x85]")
