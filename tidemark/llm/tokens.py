@@ -36,6 +36,10 @@ def _letters(string: str) -> bool:
     return string.isalpha() and (string.isascii() or (max(string) <= "\u024f" and string.lower().isalpha()))
 
 
+#: Letters that signs behind them are split from.
+_LAST = frozenset(c for c in map(chr, range(0x250)) if _letters(c))
+
+
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; a path is used as it is."""
     if os.path.sep in name:
@@ -132,28 +136,33 @@ class Encoder:
         index, split, need = self.index, [], set()
         for piece in pieces:
             core = piece.rstrip(_SIGNS)
-            if not core or not _letters(core[-1]):
+            if core[-1:] not in _LAST:
                 need.add(piece)
                 continue
             tail = piece[len(core) :]
-            tail = "\0" + tail if tail and self.leading else tail
+            if tail and self.leading:
+                tail = "\0" + tail
             if not self.leading and core.isascii():
                 core = core.lower()
             split.append((piece, core, tail))
             need.add(core)
             if tail:
                 need.add(tail)
-        self._library(sorted(need - {n for n in need if n in index}))
-        joined, names = [], []
+        self._library([n for n in need if n not in index])
+        ends, names = [], []
         for piece, core, tail in split:
             if not tail:
                 index[piece] = index[core]
             elif piece not in index:
-                c, t = index[core], index[tail]
                 names.append(piece)
-                joined.append(self.flat[self.ends[c - 1] : self.ends[c]].tolist() + self.flat[self.ends[t - 1] : self.ends[t]].tolist())
-        if joined:
-            index.update(zip(names, range(self._store(joined), self.count)))
+                ends += (index[core], index[tail])
+        if names:
+            at = np.array(ends)
+            stop = self.ends[at]
+            size = stop - self.ends[at - 1]
+            total = np.cumsum(size)
+            ids = self.flat[np.repeat(stop - total, size) + np.arange(int(total[-1]))]
+            index.update(zip(names, range(self._append(ids, size[::2] + size[1::2]), self.count)))
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.leading:
