@@ -15,7 +15,7 @@ from tidemark.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-STREAMS = ["stream_dedupe", "stream_sentiment", "stream_sliding_windows", "stream_sessions", "stream_merge_window", "stream_daily_sentiment", "stream_replay", "stream_ttl_cache", "stream_provider_cache"]
+STREAMS = ["stream_dedupe", "stream_sentiment", "stream_sliding_windows", "stream_sessions", "stream_merge_window", "stream_daily_totals", "stream_replay", "stream_replay_days", "stream_ttl_cache", "stream_provider_cache"]
 
 
 @pytest.fixture(scope="module", params=[(5, "by id"), (12, "latest first"), (12, "earliest first")], ids=str)

@@ -23,11 +23,19 @@ SHORT_CAP = 0.76
 LONG_CAP = 0.82
 NEUTRAL_FLOOR = 0.30
 TICKER_BAND = 0.05
+# how a rule scales both directions and what it adds to neutral: close directions, no term found, a short text of one term
+CLOSE, UNFOUNDED, BRIEF = (0.95, 0.10), (0.92, 0.12), (1.0, 0.08)
 
 # Calibration of the direction signal.
 PROBABILITY_RANGE = (0.18, 0.82)
 CONFIDENCE_RANGE = (0.52, 0.78)
 UP, DOWN = 0.52, 0.48
+# the model's share and that of the prior, the prior's slope and its weights of sentiment and price
+MODEL_SHARE, PRIOR_SHARE = 0.6, 0.4
+PRIOR_SLOPE, PRIOR_SENTIMENT, PRIOR_PRICE = 8, 0.35, 1.5
+# what price, sentiment and volume may add to confidence: weight and most
+CONFIDENCE_PRICE, CONFIDENCE_SENTIMENT, CONFIDENCE_VOLUME = (2, 0.04), (0.06, 0.04), (0.02, 0.02)
+REQUEST_PRICE, REQUEST_VOLUME = 0.08, 0.5
 
 # Texts and sources that are no posts.
 PLACEHOLDERS = ("sample post while waiting for api approval", "sample fallback post", "discussion about")
@@ -116,3 +124,7 @@ RULES = (
 CATEGORIES = ("causal_price", "prediction", "advisory", "unsupported_certainty", "model_confidence")
 GENERATED_SCOPES = ("generated_summary", "generated_label", "product_ui_copy")
 RAW_SCOPES = ("publisher_headline", "publisher_description", "publisher_quotation")
+
+#: Words of other companies' news that the strict aliases leave out of the names of one.
+GENERIC = ("earnings", "stock", "shares")
+STRICT_ALIASES = tuple(a._replace(strong=tuple(t for t in a.strong if t not in GENERIC)) for a in ALIASES)

@@ -26,6 +26,14 @@ def term_hits(c: Column, terms: tuple[str, ...]) -> Column:
     return total
 
 
+def word_hits(c: Column, terms: tuple[str, ...]) -> Column:
+    """How many different terms occur as words of their own, with no ASCII letter or digit beside them."""
+    total = F.lit(0)
+    for t in terms:
+        total = total + c.rlike(bounded(t)).cast("int")
+    return total
+
+
 def bounded(phrase: str) -> str:
     """A pattern for a phrase that no ASCII letter or digit touches, in any case."""
     return rf"(?iU)(?<![A-Za-z0-9])\Q{phrase}\E(?![A-Za-z0-9])"

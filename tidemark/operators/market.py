@@ -1,4 +1,4 @@
-"""Market features from daily bars, as window functions partitioned by ticker."""
+"""Market features from daily bars; a ticker's series is worked on in blocks, so that one ticker has many tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number
+from . import blocks
 
 HISTORY = 32
 
@@ -14,9 +15,9 @@ def _by_date():
     return Window.partitionBy("ticker").orderBy("date")
 
 
-def deltas(bars: DataFrame) -> DataFrame:
-    """Each bar with change to the bar before and volume against the mean of up to five bars before."""
-    w = _by_date()
+def deltas(bars: DataFrame, w: Window | None = None) -> DataFrame:
+    """Each bar with change to the bar before and volume against the mean of up to five bars before; ``w`` is the window of a ticker's bars in order."""
+    w = _by_date() if w is None else w
     prior = F.avg("volume").over(w.rowsBetween(-5, -1))
     df = bars.withColumns({"previous_close": F.coalesce(F.lag("close").over(w), F.col("close")), "average_volume": F.coalesce(prior, F.col("volume").cast("double"))})
     change = F.col("close") - F.col("previous_close")
@@ -27,6 +28,11 @@ def deltas(bars: DataFrame) -> DataFrame:
     }).drop("average_volume")
 
 
+def delta_series(bars: DataFrame, size: int = blocks.SIZE) -> DataFrame:
+    """:func:`deltas` of whole series, in blocks that see five bars of the block before."""
+    return blocks.own(deltas(blocks.blocked(bars, ["ticker"], ["date"], 5, size), blocks.in_block("ticker")))
+
+
 def latest(df: DataFrame, *extra: Column) -> DataFrame:
     """The newest row of each ticker; ``extra`` orders rows of one date."""
     rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc(), *extra))
@@ -83,9 +89,10 @@ def first_number(sources: list[list[Column]]) -> Column:
     return F.coalesce(*[number(c) for source in sources for c in source])
 
 
-def indicators(bars: DataFrame, short: int = 5, long: int = 20, width: float = 2.0) -> DataFrame:
-    """Moving averages, Bollinger bands and an average-based strength index, over row frames."""
-    w = _by_date()
+def indicators(bars: DataFrame, short: int = 5, long: int = 20, width: float = 2.0, size: int = blocks.SIZE) -> DataFrame:
+    """Moving averages, Bollinger bands and an average-based strength index, over row frames in blocks; the longest frame and one move more are a block's halo."""
+    w = blocks.in_block("ticker")
+    bars = blocks.blocked(bars.select("ticker", "date", "close"), ["ticker"], ["date"], max(short, long, 14) + 1, size)
 
     def frame(n: int):
         return w.rowsBetween(-(n - 1), 0)
@@ -94,55 +101,93 @@ def indicators(bars: DataFrame, short: int = 5, long: int = 20, width: float = 2
     df = bars.withColumns({"up": F.greatest(move, F.lit(0.0)), "down": F.greatest(-move, F.lit(0.0))})
     up, down = F.avg("up").over(frame(14)), F.avg("down").over(frame(14))
     middle, spread = F.avg("close").over(frame(long)), F.stddev_pop("close").over(frame(long))
-    return df.select(
+    out = df.select(
         "ticker", "date", F.avg("close").over(frame(short)).alias("sma_short"), middle.alias("sma_long"),
         (middle + width * spread).alias("band_high"), (middle - width * spread).alias("band_low"),
-        F.when(up + down > 0, 100 * up / (up + down)).otherwise(50.0).alias("strength"),
+        F.when(up + down > 0, 100 * up / (up + down)).otherwise(50.0).alias("strength"), "number", "block", "own",
     )
+    return blocks.own(out)
 
 
-def as_of(events: DataFrame, bars: DataFrame) -> DataFrame:
+def as_of(events: DataFrame, bars: DataFrame, size: int = blocks.SIZE) -> DataFrame:
     """Each event with the last bar of its ticker on or before its date.
 
     What an event gets depends on its ticker and date alone, so the different
-    dates are matched by one union and one window (a row a day, however many
-    events), and the events join the result by equality.
+    dates are matched (a row a day, however many events), in blocks of a ticker's
+    days, and the events join the result by equality.
     """
-    left = events.select("ticker", "date").where("ticker IS NOT NULL AND date IS NOT NULL").distinct().select("ticker", "date", F.lit(None).cast("string").alias("bar_date"), F.lit(None).cast("double").alias("bar_close"), F.lit(1).alias("side"))
-    right = bars.select("ticker", "date", F.col("date").alias("bar_date"), F.col("close").alias("bar_close"), F.lit(0).alias("side"))
-    w = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumns({"bar_date": F.last("bar_date", ignorenulls=True).over(w), "bar_close": F.last("bar_close", ignorenulls=True).over(w)})
-    return events.select("ticker", "date", "event_id").join(both.where("side = 1").drop("side"), ["ticker", "date"], "left")
+    left = events.select("ticker", "date").where("ticker IS NOT NULL AND date IS NOT NULL").distinct().select("ticker", "date", F.lit(None).cast("struct<date: string, close: double>").alias("bar"), F.lit(1).alias("side"))
+    right = bars.select("ticker", "date", F.struct("date", "close").alias("bar"), F.lit(0).alias("side"))
+    both = blocks.last_before(blocks.blocked(left.unionByName(right), ["ticker"], ["date", "side"], size=size), ["ticker"], "bar")
+    found = both.where("side = 1").select("ticker", "date", F.col("bar.date").alias("bar_date"), F.col("bar.close").alias("bar_close"))
+    return events.select("ticker", "date", "event_id").join(found, ["ticker", "date"], "left")
 
 
 TREND = "ticker string, date string, ema_short double, ema_long double, macd double, macd_signal double, wilder_strength double"
 
 
-def trend(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, period: int = 14) -> DataFrame:
+def _scan(values, decay: float):
+    """``y[t] = values[t] + decay * y[t - 1]``, by doubling."""
+    y, step = values.copy(), 1
+    while step < len(y):
+        y[step:] = y[step:] + decay * y[:-step]
+        step, decay = 2 * step, decay * decay
+    return y
+
+
+def trend(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, period: int = 14, size: int = 1 << 12) -> DataFrame:
     """Exponential means, their difference and its mean, and Wilder's strength index.
 
-    Each value goes on from the day before, which no window frame can say; a
-    ticker's days are one group, a row a day. The first close starts each mean.
+    Each value goes on from the day before, which no window frame can say. It
+    is linear in that value, so a block of days is an affine map: all blocks make
+    theirs from nothing, a small table composes the maps of a ticker in order,
+    and each block is made again from the state that reaches it. The first close
+    starts each mean; days without a close are left out.
     """
-
-    def run(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("date")
-        state, last, out = None, None, []
-        for x in rows["close"].tolist():
-            if state is None:
-                state = [x, x, 0.0, 0.0, 0.0]
-            else:
-                state[0] += 2 / (short + 1) * (x - state[0])
-                state[1] += 2 / (long + 1) * (x - state[1])
-                state[2] += 2 / (signal + 1) * (state[0] - state[1] - state[2])
-                state[3] += (max(x - last, 0.0) - state[3]) / period
-                state[4] += (max(last - x, 0.0) - state[4]) / period
-            last = x
-            moves = state[3] + state[4]
-            out.append((state[0], state[1], state[0] - state[1], state[2], 100 * state[3] / moves if moves > 0 else 50.0))
-        made = pd.DataFrame(out, columns=["ema_short", "ema_long", "macd", "macd_signal", "wilder_strength"])
-        return pd.concat([rows[["ticker", "date"]].reset_index(drop=True), made], axis=1)
-
-    return bars.where(F.col("close").isNotNull()).select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, TREND)
+    import numpy as np
+    import pandas as pd
+
+    fast, slow, smooth, wilder = 1 - 2 / (short + 1), 1 - 2 / (long + 1), 1 - 2 / (signal + 1), 1 - 1 / period
+
+    def series(rows, state):
+        """The five means of a block, from the state before it; and what that state's first two add to the third's last."""
+        rows = rows.sort_values("number")
+        x, before = rows["close"].to_numpy(), rows["before"].to_numpy()
+        t = np.arange(1, len(x) + 1)
+        a = _scan((1 - fast) * x, fast) + state[0] * fast**t
+        b = _scan((1 - slow) * x, slow) + state[1] * slow**t
+        g = _scan((1 - smooth) * (a - b), smooth) + state[2] * smooth**t
+        u = _scan((1 - wilder) * np.maximum(x - before, 0.0), wilder) + state[3] * wilder**t
+        d = _scan((1 - wilder) * np.maximum(before - x, 0.0), wilder) + state[4] * wilder**t
+        return rows, (a, b, g, u, d)
+
+    def summary(key, rows):
+        _, made = series(rows, (0.0,) * 5)
+        t = np.arange(1, len(rows) + 1)
+        more = [_scan((1 - smooth) * f**t, smooth)[-1] for f in (fast, slow)]
+        return pd.DataFrame([[*key, len(rows), rows.loc[rows["number"].idxmin(), "close"], *(m[-1] for m in made), *more]])
+
+    def compose(key, rows):
+        out, state = [], None
+        for r in rows.sort_values("block").itertuples(index=False):
+            state = (r.first, r.first, 0.0, 0.0, 0.0) if state is None else state
+            out.append((key[0], r.block, *state))
+            a, b, g, u, d = state
+            state = (
+                r.a + a * fast**r.n, r.b + b * slow**r.n, r.g + g * smooth**r.n + r.ka * a - r.kb * b, r.u + u * wilder**r.n, r.d + d * wilder**r.n,
+            )
+        return pd.DataFrame(out)
+
+    def values(key, rows):
+        rows, (a, b, g, u, d) = series(rows, rows[["a", "b", "g", "u", "d"]].iloc[0].to_numpy())
+        moves = u + d
+        strength = np.divide(100 * u, moves, out=np.full(len(u), 50.0), where=moves > 0)
+        return pd.DataFrame({"ticker": rows["ticker"].to_numpy(), "date": rows["date"].to_numpy(), "ema_short": a, "ema_long": b, "macd": a - b, "macd_signal": g, "wilder_strength": strength})
+
+    days = blocks.blocked(bars.where(F.col("close").isNotNull() & F.col("ticker").isNotNull()).select("ticker", "date", "close"), ["ticker"], ["date", "close"], 1, size)
+    days = days.withColumn("before", F.coalesce(F.lag("close").over(blocks.in_block("ticker")), "close")).where("own")
+    days = days.select("ticker", "block", "number", "date", "close", "before").checkpoint()
+    state = "a double, b double, g double, u double, d double"
+    maps = days.groupBy("ticker", "block").applyInPandas(summary, f"ticker string, block bigint, n bigint, first double, {state}, ka double, kb double")
+    states = maps.groupBy("ticker").applyInPandas(compose, f"ticker string, block bigint, {state}")
+    return days.join(states, ["ticker", "block"]).groupBy("ticker", "block").applyInPandas(values, TREND)

@@ -122,6 +122,18 @@ def register(spark) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gauge_band(gauge INT) RETURNS STRING RETURN CASE WHEN gauge >= 65 THEN 'green' WHEN gauge >= 40 THEN 'amber' ELSE 'red' END")
 
 
+def register_routes(spark) -> None:
+    """The read routes as SQL table functions over views ``scored_posts`` (scored valid posts) and ``snapshots``, which must be there, for lateral joins."""
+    # the wanted ticker is compared above the aggregates, which is what the optimizer turns into a plain join
+    means = "SELECT ticker, count(*) AS posts, CAST(avg(CAST(sentiment_score AS DECIMAL(18, 12))) AS DOUBLE) AS sentiment_score FROM scored_posts GROUP BY ticker"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION ticker_sentiment(wanted STRING) RETURNS TABLE (posts BIGINT, sentiment_score DOUBLE, label STRING)
+      RETURN SELECT posts, sentiment_score, CASE WHEN sentiment_score > 0.05 THEN 'positive' WHEN sentiment_score < -0.05 THEN 'negative' ELSE 'neutral' END FROM ({means}) WHERE ticker = upper(trim(wanted))""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION market_snapshot(wanted STRING) RETURNS TABLE (date STRING, price DOUBLE, volume BIGINT, volume_delta DOUBLE, status STRING)
+      RETURN SELECT date, price, volume, volume_delta, status FROM snapshots WHERE ticker = upper(trim(wanted))""")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION dashboard(wanted STRING) RETURNS TABLE (ticker STRING, posts BIGINT, sentiment_score DOUBLE, price DOUBLE, status STRING)
+      RETURN SELECT ticker, posts, sentiment_score, price, status FROM ({means}) LEFT JOIN (SELECT ticker, price, status FROM snapshots) USING (ticker) WHERE ticker = upper(trim(wanted))""")
+
+
 def _social() -> tuple[str, ...]:
     from ..functions.fixed import SOCIAL_SOURCES
 

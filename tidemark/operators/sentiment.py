@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import term_hits, word_count
+from ..functions.text import term_hits, word_count, word_hits
 
 SCORES = ("positive_prob", "negative_prob", "neutral_prob", "sentiment_score", "sentiment_confidence", "sentiment_label")
 
@@ -25,15 +25,22 @@ def prior(pos: int, neg: int) -> tuple[float, float, float]:
     return (win, 0.10, 1 - win - 0.10) if pos > neg else (0.10, win, 1 - win - 0.10)
 
 
+#: When a rule applies (to the probabilities as the rules before left them), and its factor and shift.
+_SHIFTS = (
+    (lambda p, n, u, hits, short: abs(p - n) < fixed.GAP, fixed.CLOSE),
+    (lambda p, n, u, hits, short: hits == 0 and max(p, n) > u, fixed.UNFOUNDED),
+    (lambda p, n, u, hits, short: short, fixed.BRIEF),
+)
+
+
 def calibrate(p: float, n: float, u: float, hits: int, words: int) -> tuple[float, float, float, float, float, str]:
     """The scores of :data:`SCORES` from any prior: the rules in their order."""
     p, n, u = normalize(p, n, u)
-    if abs(p - n) < fixed.GAP:
-        p, n, u = p * 0.95, n * 0.95, u + 0.10
-    if hits == 0 and max(p, n) > u:
-        p, n, u = p * 0.92, n * 0.92, u + 0.12
     short = words <= fixed.SHORT_WORDS and hits <= 1
-    p, n, u = normalize(p, n, u + 0.08 if short else u)
+    for applies, (factor, shift) in _SHIFTS:
+        if applies(p, n, u, hits, short):
+            p, n, u = p * factor, n * factor, u + shift
+    p, n, u = normalize(p, n, u)
     cap = fixed.SHORT_CAP if short else fixed.LONG_CAP
     # of equal probabilities positive wins, then negative; only a directional winner is capped
     if p >= n and p >= u and p > cap:
@@ -66,14 +73,16 @@ def outcome(pos: Column, neg: Column, words: Column) -> Column:
     return F.element_at(rows, at + 1)
 
 
-def with_hits(df: DataFrame, text_col: str = "text") -> DataFrame:
+def with_hits(df: DataFrame, text_col: str = "text", strict: bool = False) -> DataFrame:
+    """Hits of both term lists and words; ``strict`` counts terms as whole words, not inside others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumns({"pos_hits": term_hits(text, fixed.POSITIVE), "neg_hits": term_hits(text, fixed.NEGATIVE), "words": word_count(text)})
+    hits = word_hits if strict else term_hits
+    return df.withColumns({"pos_hits": hits(text, fixed.POSITIVE), "neg_hits": hits(text, fixed.NEGATIVE), "words": word_count(text)})
 
 
-def with_sentiment(df: DataFrame, text_col: str = "text", min_confidence: float = 0.0) -> DataFrame:
-    """The rows with six score columns; a positive ``min_confidence`` filters."""
-    hits = with_hits(df, text_col).withColumn("__s", outcome(F.col("pos_hits"), F.col("neg_hits"), F.col("words")))
+def with_sentiment(df: DataFrame, text_col: str = "text", min_confidence: float = 0.0, strict: bool = False) -> DataFrame:
+    """The rows with six score columns; a positive ``min_confidence`` filters, ``strict`` as in :func:`with_hits`."""
+    hits = with_hits(df, text_col, strict).withColumn("__s", outcome(F.col("pos_hits"), F.col("neg_hits"), F.col("words")))
     out = hits.select(*df.columns, *[F.col("__s")[k].alias(k) for k in SCORES])
     return out.where(F.col("sentiment_confidence") >= min_confidence) if min_confidence > 0 else out
 

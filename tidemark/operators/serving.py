@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 TTL_SECONDS = 900
 STALE_MINUTES = 60
 BATCH_LIMIT = 10
@@ -58,10 +60,11 @@ def freshness(runs: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> Dat
     return last.withColumn("stale", F.unix_timestamp("now") - F.unix_timestamp("last_success") > minutes * 60).drop("now")
 
 
-def run_gaps(runs: DataFrame, hours: float = 2.0) -> DataFrame:
-    w = Window.partitionBy("ticker").orderBy("started_at", "run_id")
-    gap = F.unix_timestamp("started_at") - F.unix_timestamp(F.lag("started_at").over(w))
-    return runs.withColumn("gap_s", gap).groupBy("ticker").agg(F.max("gap_s").alias("longest_gap_s"), F.count_if(F.col("gap_s") > hours * 3600).alias("long_gaps"))
+def run_gaps(runs: DataFrame, hours: float = 2.0, size: int = blocks.SIZE) -> DataFrame:
+    """Longest pause between two runs of a ticker, and how many are above ``hours``; a block of runs sees the last run before it."""
+    rows = blocks.blocked(runs.select("ticker", "started_at", "run_id"), ["ticker"], ["started_at", "run_id"], 1, size)
+    gap = F.unix_timestamp("started_at") - F.unix_timestamp(F.lag("started_at").over(blocks.in_block("ticker")))
+    return rows.withColumn("gap_s", gap).where("own").groupBy("ticker").agg(F.max("gap_s").alias("longest_gap_s"), F.count_if(F.col("gap_s") > hours * 3600).alias("long_gaps"))
 
 
 def dashboard(sentiment: DataFrame, market: DataFrame, history: DataFrame, headlines: DataFrame, social: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:
@@ -120,3 +123,66 @@ def score_gates(pairs: DataFrame, runs: DataFrame) -> DataFrame:
         F.struct(F.lit("degraded_rate").alias("gate"), F.col("degraded_rate").alias("value"), (F.col("degraded_rate") <= 0.15).alias("passed")),
     )
     return p.join(r).select(F.explode(rows).alias("g")).select("g.*")  # two single rows
+
+
+#: The dashboard's sections in order, with their titles.
+SECTIONS = (("market_data", "Market data"), ("sentiment", "Sentiment"), ("prediction", "Experimental signal"), ("headlines", "Headlines"), ("social_posts", "Social posts"), ("fundamentals", "Fundamentals"))
+_UNTRAINED = "Experimental signal unavailable until a model is trained and evaluated on real historical outcomes."
+
+
+def _section(available: Column, status: Column, source: Column, message: Column, count: Column | None = None) -> Column:
+    none = F.lit(None).cast("bigint")
+    return F.struct(available.alias("available"), status.alias("status"), source.alias("source"), message.alias("message"), (none if count is None else count.cast("bigint")).alias("count"))
+
+
+def availability(rows: DataFrame) -> DataFrame:
+    """``rows`` with a struct for each section, from what was found for a ticker.
+
+    Read are ``sentiment_label``; ``price, market_status, market_source,
+    volume_delta``; ``movement, real_training_data, reason``; ``headline_count,
+    headline_status, headline_source``; ``social, publisher``;
+    ``has_fundamentals, fundamentals_status, fundamentals_source``. A missing
+    side is null.
+    """
+    c = F.col
+    has = c("sentiment_label").isNotNull()
+    sentiment = _section(has, F.when(has, "ready").otherwise("unavailable"), F.lit("Sentiment model"), F.when(has, "Sentiment is available.").otherwise("Aggregate sentiment unavailable until enough validated text data is available."))
+    price = F.coalesce("price", F.lit(0.0))
+    status = F.coalesce(F.nullif("market_status", F.lit("")), F.when(price > 0, "ready").otherwise("unavailable"))
+    source = F.coalesce(F.nullif("market_source", F.lit("")), F.lit("source not reported"))
+    market = _section((price > 0) & (status != "unavailable"), status, source, market_message(price, status, source, c("volume_delta")))
+    real = c("movement").isNotNull() & F.coalesce("real_training_data", F.lit(False))
+    told = F.when(real, "Experimental signal is available from a real-outcome validated model.").otherwise(F.coalesce("reason", F.lit(_UNTRAINED)))
+    prediction = _section(real, F.when(real, "ready").otherwise("unavailable"), F.lit("Experimental signal"), told)
+    n = F.coalesce("headline_count", F.lit(0))
+    heads = F.when(n > 0, F.format_string("%d headline items are available.", n.cast("bigint"))).otherwise("Headline provider is unavailable or returned no articles.")
+    headlines = _section(n > 0, F.coalesce("headline_status", F.when(n > 0, "ready").otherwise("unavailable")), F.coalesce("headline_source", F.lit("Yahoo Finance via yfinance")), heads, n)
+    s, p = F.coalesce("social", F.lit(0)).cast("bigint"), F.coalesce("publisher", F.lit(0)).cast("bigint")
+    kind = F.when(s + p == 0, "unavailable").when(s == 0, "cached").when(p > 0, "partial").otherwise("ready")
+    words = (
+        F.when(kind == "unavailable", "No social posts are available for this ticker yet.")
+        .when(kind == "cached", F.format_string("%d publisher headline items are available. These are not social chatter.", p))
+        .when(kind == "partial", F.format_string("%d social posts and %d publisher headline items are available.", s, p))
+        .otherwise(F.format_string("%d social posts are available.", s))
+    )
+    whose = F.when(kind == "cached", "Publisher headlines").when(kind == "partial", "Social posts and publisher headlines").otherwise("Social posts")
+    social = _section(kind != "unavailable", kind, whose, words, s + p)
+    f = F.coalesce("has_fundamentals", F.lit(False))
+    company = F.when(f, "Company fundamentals are available.").otherwise("Fundamentals provider is unavailable or returned no usable fields.")
+    fundamentals = _section(f, F.coalesce("fundamentals_status", F.when(f, "ready").otherwise("unavailable")), F.coalesce("fundamentals_source", F.lit("Yahoo Finance via yfinance")), company)
+    return rows.withColumns({"market_data": market, "sentiment": sentiment, "prediction": prediction, "headlines": headlines, "social_posts": social, "fundamentals": fundamentals})
+
+
+def alerts(rows: DataFrame, key: str = "ticker") -> DataFrame:
+    """``section, place, type, title, status, count, source, message``: the six notices of each row of :func:`availability`; a null section was never asked for."""
+    notices = []
+    for place, (name, title) in enumerate(SECTIONS):
+        a = F.col(name)
+        kind = F.when(a.isNull(), "info").when(a["status"].isin("ready", "live", "cached"), "success").when(a["status"].isin("fallback", "partial", "unavailable"), "warning").otherwise(F.when(a["available"], "success").otherwise("warning"))
+        shown = F.when(F.contains(F.lower(a["source"]), F.lit("publisher")), "Publisher items").otherwise(title) if name == "social_posts" else F.lit(title)
+        notices.append(F.struct(
+            F.lit(name).alias("section"), F.lit(place).alias("place"), kind.alias("type"), shown.alias("title"),
+            F.when(a.isNull(), "Not queried").otherwise(F.coalesce(F.nullif(a["status"], F.lit("")), F.when(a["available"], "ready").otherwise("unavailable"))).alias("status"),
+            a["count"].alias("count"), a["source"].alias("source"), F.coalesce(F.nullif(a["message"], F.lit("")), F.lit("Backend availability has not been reported yet.")).alias("message"),
+        ))
+    return rows.select(key, F.explode(F.array(*notices)).alias("n")).select(key, "n.*")

@@ -10,10 +10,11 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import blocks
 
 FEATURES = ("sentiment_score", "sentiment_confidence", "price_delta_24h", "volume_delta")
 REQUIRED = ("avg_sentiment_score", "avg_positive_prob", "avg_negative_prob", "avg_neutral_prob", "price_delta_24h", "volume_delta")
@@ -45,11 +46,10 @@ def training_data(spark: SparkSession, size: int = 500, seed: int = 42) -> DataF
 
 
 def split(df: DataFrame, order: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of rows by ``order`` and the rest. The training table is small; its order is one window."""
-    n = df.count()
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(order)))
-    cut = int(n * share)
-    return ranked.where(F.col("__r") <= cut).drop("__r"), ranked.where(F.col("__r") > cut).drop("__r")
+    """The first ``share`` of rows by ``order`` and the rest, by places from one distributed sort."""
+    ranked = blocks.numbered(df, [], [order], "__r").checkpoint()
+    cut = int(ranked.count() * share)
+    return ranked.where(F.col("__r") < cut).drop("__r"), ranked.where(F.col("__r") >= cut).drop("__r")
 
 
 def train(spark: SparkSession, data: DataFrame, order: str = "row", trees: int = 100, seed: int = 42) -> tuple[dict[str, PipelineModel], dict[str, float]]:
@@ -111,12 +111,13 @@ def four(c: Column) -> Column:
 
 def calibrated_probability(p: Column, score: Column, delta: Column) -> Column:
     """Sixty parts model, forty parts a sigmoid of sentiment and price, clipped twice."""
-    prior = 1 / (1 + F.exp(-8 * (0.35 * score + 1.5 * delta)))
-    return four(clip(0.6 * clip(p, *fixed.PROBABILITY_RANGE) + 0.4 * prior, *fixed.PROBABILITY_RANGE))
+    prior = 1 / (1 + F.exp(-fixed.PRIOR_SLOPE * (fixed.PRIOR_SENTIMENT * score + fixed.PRIOR_PRICE * delta)))
+    return four(clip(fixed.MODEL_SHARE * clip(p, *fixed.PROBABILITY_RANGE) + fixed.PRIOR_SHARE * prior, *fixed.PROBABILITY_RANGE))
 
 
 def calibrated_confidence(p: Column, score: Column, delta: Column, volume: Column) -> Column:
-    extra = F.least(F.abs(delta) * 2, F.lit(0.04)) + F.least(0.06 * F.abs(score), F.lit(0.04)) + F.least(0.02 * F.abs(volume), F.lit(0.02))
+    sides = ((delta, fixed.CONFIDENCE_PRICE), (score, fixed.CONFIDENCE_SENTIMENT), (volume, fixed.CONFIDENCE_VOLUME))
+    extra = sum((F.least(F.abs(c) * weight, F.lit(most)) for c, (weight, most) in sides), F.lit(0.0))
     return four(clip(F.greatest(p, 1 - p) + extra, *fixed.CONFIDENCE_RANGE))
 
 
@@ -135,7 +136,7 @@ def request_row(df: DataFrame) -> DataFrame:
     """Model input from a request: clipped deltas and class means made from score and confidence."""
     s, c = F.col("sentiment_score"), F.col("sentiment_confidence")
     return df.withColumns({
-        "price_delta_24h": clip(F.col("price_delta_24h"), -0.08, 0.08), "volume_delta": clip(F.col("volume_delta"), -0.5, 0.5),
+        "price_delta_24h": clip(F.col("price_delta_24h"), -fixed.REQUEST_PRICE, fixed.REQUEST_PRICE), "volume_delta": clip(F.col("volume_delta"), -fixed.REQUEST_VOLUME, fixed.REQUEST_VOLUME),
         "avg_sentiment_score": s,
         "avg_positive_prob": four(c * F.greatest(F.lit(0.0), 0.5 + s / 2)),
         "avg_negative_prob": four(c * F.greatest(F.lit(0.0), 0.5 - s / 2)),

@@ -124,22 +124,95 @@ def shared_checkpoints(spark: SparkSession) -> None:
 
 
 def salience(themes: DataFrame) -> DataFrame:
-    """Rank of themes in a ticker: stories, then twice the outlets, less a tenth for each hour since the newest of the ticker."""
-    w = Window.partitionBy("ticker")
-    hours = (F.unix_timestamp(F.max("latest").over(w)) - F.unix_timestamp("latest")) / 3600
-    scored = themes.withColumn("salience", F.col("stories") + 2 * F.col("outlets") - hours / 10)
-    return scored.withColumn("salience_rank", F.row_number().over(w.orderBy(F.col("salience").desc(), "theme_id")))
+    """Rank of themes in a ticker: stories, then twice the outlets, less a tenth for each hour since the newest of the ticker. Ranks are places of a distributed sort, so a ticker may have any number of themes."""
+    from . import blocks
 
+    newest = themes.groupBy("ticker").agg(F.max("latest").alias("__newest"))
+    hours = (F.unix_timestamp("__newest") - F.unix_timestamp("latest")) / 3600
+    scored = themes.join(newest, "ticker").withColumn("salience", F.col("stories") + 2 * F.col("outlets") - hours / 10).drop("__newest")
+    ranked = blocks.numbered(scored, ["ticker"], [F.col("salience").desc(), "theme_id"], "__place")
+    return ranked.withColumn("salience_rank", (F.col("__place") + 1).cast("int")).drop("__place")
 
-def best_previous(themes: DataFrame, threshold: float) -> DataFrame:
-    """For each theme the most similar theme of its ticker in the run before (``run`` counts up), if similar enough. A ticker has few themes in a run."""
+
+def similar_previous(themes: DataFrame, threshold: float) -> DataFrame:
+    """``ticker, run, theme_id, previous_id, similarity``: themes of a ticker and those of its run before (``run`` counts up) that are similar enough."""
     before = themes.select("ticker", (F.col("run") + 1).alias("run"), F.col("theme_id").alias("previous_id"), F.col("centroid").alias("old"))
     scored = themes.join(before, ["ticker", "run"]).withColumn("similarity", cosine(F.col("centroid"), F.col("old")))
-    best = scored.groupBy("ticker", "run", "theme_id").agg(F.max(F.struct("similarity", (-F.col("previous_id")).alias("k"))).alias("m"))
-    best = best.where(F.col("m.similarity") >= threshold)
+    return scored.where(F.col("similarity") >= threshold).select("ticker", "run", "theme_id", "previous_id", "similarity")
+
+
+def best_previous(themes: DataFrame, threshold: float) -> DataFrame:
+    """For each theme the most similar theme of its ticker in the run before, if similar enough. A ticker has few themes in a run."""
+    best = similar_previous(themes, threshold).groupBy("ticker", "run", "theme_id").agg(F.max(F.struct("similarity", (-F.col("previous_id")).alias("k"))).alias("m"))
     return best.select("ticker", "theme_id", (-F.col("m.k")).alias("previous_id"), F.col("m.similarity").alias("similarity"))
 
 
+def _assigned(rows):
+    """The pairs of one connected group that have the largest total similarity, each end once: augmenting paths over whole numbers (10^-9)."""
+    import pandas as pd
+
+    rows = rows.sort_values(["theme_id", "previous_id"])
+    gain = {(t, p): round(s * 1e9) for t, p, s in zip(rows["theme_id"].tolist(), rows["previous_id"].tolist(), rows["similarity"].tolist())}
+    themes = sorted({t for t, _ in gain})
+    match: dict = {}
+    for _ in themes:
+        # the best alternating path from a free theme to a free predecessor, by relaxing until nothing improves
+        reach = {("t", t): (0, None) for t in themes if t not in match}
+        holder = {p: t for t, p in match.items()}
+        better = True
+        while better:
+            better = False
+            for (t, p), g in gain.items():
+                if ("t", t) in reach and match.get(t) != p:
+                    total = reach["t", t][0] + g
+                    if ("p", p) not in reach or reach["p", p][0] < total:
+                        reach["p", p] = total, t
+                        better = True
+                    if p in holder and (("t", holder[p]) not in reach or reach["t", holder[p]][0] < reach["p", p][0] - gain[holder[p], p]):
+                        reach["t", holder[p]] = reach["p", p][0] - gain[holder[p], p], p
+                        better = True
+        free = [(v[0], p) for (kind, p), v in reach.items() if kind == "p" and p not in holder]
+        if not free or max(free)[0] <= 0:
+            break
+        at = max(free, key=lambda f: f[0])[1]
+        while at is not None:
+            t = reach["p", at][1]
+            match[t], at = at, reach["t", t][1]
+    keep = [match.get(t) == p for t, p in zip(rows["theme_id"].tolist(), rows["previous_id"].tolist())]
+    return pd.DataFrame(rows[keep][["ticker", "run", "theme_id", "previous_id", "similarity"]])
+
+
+def one_to_one(similar: DataFrame) -> DataFrame:
+    """Of :func:`similar_previous`, the pairs with the largest total similarity in which no theme and no predecessor comes twice.
+
+    Pairs are grouped by what they connect, so a task gets the themes of one
+    ticker's two runs that have to do with each other, and no more.
+    """
+    shared_checkpoints(similar.sparkSession)
+    end = lambda side, c: F.struct("ticker", "run", F.lit(side).alias("side"), F.col(c).alias("id"))
+    rows = similar.withColumns({"a": end(0, "theme_id"), "b": end(1, "previous_id")})
+    rows = rows.checkpoint()
+    roots = components(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows)
+    grouped = rows.join(roots.select(F.col("id").alias("a"), "root"), "a").select("root", "ticker", "run", "theme_id", "previous_id", "similarity")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in similar.schema)
+    return grouped.groupBy("root").applyInPandas(_assigned, schema)
+
+
+def oldest(themes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``ticker, run, theme_id, first_run, first_id``: each theme's oldest predecessor by one-to-one ``pairs``, itself if it has none."""
+    node = lambda run, c: F.struct("ticker", run.alias("run"), F.col(c).alias("id"))
+    links = pairs.select(node(F.col("run"), "theme_id").alias("a"), node(F.col("run") - 1, "previous_id").alias("b"))
+    nodes = themes.select(node(F.col("run"), "theme_id").alias("id"))
+    roots = components(nodes, links)
+    return roots.select("id.ticker", "id.run", F.col("id.id").alias("theme_id"), F.col("root.run").alias("first_run"), F.col("root.id").alias("first_id"))
+
+
+def identities(themes: DataFrame, threshold: float) -> DataFrame:
+    """``ticker, run, theme_id, identity``: the id of the theme with which it began, through all runs."""
+    found = oldest(themes.select("ticker", "run", "theme_id"), one_to_one(similar_previous(themes, threshold)))
+    return found.select("ticker", "run", "theme_id", F.col("first_id").alias("identity"))
+
+
 def content_hash(ids: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(ids, lambda x: x.cast("string"))), ","), 256)
 
@@ -149,39 +222,77 @@ def changed_only(themes: DataFrame, done: DataFrame) -> DataFrame:
     return themes.join(done.select("theme_id", "content_hash"), ["theme_id", "content_hash"], "left_anti")
 
 
-def cluster_schema(id_type: str) -> str:
-    return f"ticker string, day string, story_id {id_type}, theme int"
+def near_in_group(df: DataFrame, floor: float, size: int = 512) -> DataFrame:
+    """``ticker, day, a, b, distance`` (a < b): pairs of one ticker's day at least ``floor`` alike. Stories of a day are dealt into blocks of about ``size``; two blocks meet in one task."""
+    sizes = df.groupBy("ticker", "day").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = df.join(sizes, ["ticker", "day"]).withColumn("block", F.pmod(F.xxhash64("story_id"), "blocks").cast("int"))
+    left = dealt.select("ticker", "day", F.col("story_id").alias("a"), F.col("embedding").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("ticker", "day", F.col("story_id").alias("b"), F.col("embedding").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    both = left.join(right, ["ticker", "day", "i", "j"]).where((F.col("a") < F.col("b")) & (cosine(F.col("x"), F.col("y")) >= floor))
+    return both.select("ticker", "day", "a", "b", F.round(1 - cosine(F.col("x"), F.col("y")), 12).alias("distance"))
 
 
-def clusterer(cut: float, least: int = 4, most: int = 6):
-    """A function for ``groupBy(ticker, day).applyInPandas``: average-link clustering of one ticker's day.
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The least forest of ``a, b, weight`` by Boruvka rounds: every component takes its least edge to another one, all at once, until none is left.
 
-    Fewer than ``least`` stories, and stories outside the ``most`` largest
-    clusters or alone, are theme -1 (other).
+    Edges are ordered by weight, then ends, so each round's choice has no
+    cycle. A round at least halves the components that can still grow.
     """
-    import numpy as np
-    import pandas as pd
+    shared_checkpoints(edges.sparkSession)
+    left = edges.select("a", "b", "weight", F.col("a").alias("p"), F.col("b").alias("q")).checkpoint()
+    found = []
+    while not left.isEmpty():
+        least = F.min(F.struct("weight", "a", "b")).alias("e")
+        ends = left.select(F.explode(F.array("p", "q")).alias("id"), "weight", "a", "b")
+        best = ends.groupBy("id").agg(least).select("e.*").distinct()
+        chosen = left.join(best, ["a", "b", "weight"]).select("a", "b", "weight", "p", "q").distinct().checkpoint()
+        found.append(chosen.select("a", "b", "weight"))
+        pairs = chosen.select(F.col("p").alias("a"), F.col("q").alias("b"))
+        roots = components(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs)
+        for c in ("p", "q"):
+            left = left.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}2")), c, "left").withColumn(c, F.coalesce(f"{c}2", c)).drop(f"{c}2")
+        left = left.where("p <> q").select("a", "b", "weight", "p", "q").checkpoint()
+    out = edges.select("a", "b", "weight").limit(0) if not found else found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def density_clusters(df: DataFrame, floor: float, core: int = 2, least: int = 4, most: int = 6, gap: float = 0.02) -> DataFrame:
+    """``ticker, day, story_id, theme``: density clusters of each ticker's day; theme -1 is other.
+
+    Distances below ``1 - floor`` count. A story's core distance is that to its
+    ``core``-th neighbour; stories with fewer neighbours are noise. Two stories
+    are apart by the mutual reachability, the most of their distance and both
+    core distances. The day's least spanning forest is cut behind the largest
+    gap in its sorted weights, if that is wider than ``gap``. What stays together
+    is a theme; the ``most`` largest (then least id) are kept. Days of fewer
+    than ``least`` stories have none. Null vectors are noise; repeated ids are
+    taken once. A day's stories and pairs may be spread over many tasks.
+    """
+    from . import blocks
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("story_id").reset_index(drop=True)
-        n = len(rows)
-        theme = np.full(n, -1)
-        if n >= least:
-            x = np.stack(rows["embedding"].to_numpy()).astype(float)
-            similarity = x @ x.T
-            groups = [[i] for i in range(n)]
-            while len(groups) > 1:
-                best = max(((similarity[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups))))
-                if best[0] < cut:
-                    break
-                a, b = -best[1], -best[2]
-                groups[a] += groups.pop(b)
-            kept = sorted((g for g in groups if len(g) > 1), key=lambda g: (-len(g), min(g)))[:most]
-            for k, g in enumerate(kept):
-                theme[g] = k
-        return pd.DataFrame({"ticker": rows["ticker"], "day": rows["day"], "story_id": rows["story_id"], "theme": theme.astype("int32")})
-
-    return run
+    shared_checkpoints(df.sparkSession)
+    rows = df.dropDuplicates(["ticker", "day", "story_id"]).select("ticker", "day", "story_id", "embedding").checkpoint()
+    day = ["ticker", "day"]
+    enough = rows.groupBy(*day).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*day)
+    near = near_in_group(rows.where(F.col("embedding").isNotNull()).join(enough, day, "left_semi"), floor).checkpoint()
+    both = near.select(*day, F.col("a").alias("id"), "distance").unionByName(near.select(*day, F.col("b").alias("id"), "distance"))
+    # a story's nearest are kept while they are counted: at most ``core`` of them stay in any buffer
+    rank = F.row_number().over(Window.partitionBy(*day, "id").orderBy("distance"))
+    cores = both.withColumn("__r", rank).where(F.col("__r") == core).select(*day, "id", F.col("distance").alias("core"))
+    edges = near.join(cores.select(*day, F.col("id").alias("a"), F.col("core").alias("ca")), [*day, "a"]).join(cores.select(*day, F.col("id").alias("b"), F.col("core").alias("cb")), [*day, "b"])
+    edges = edges.select(*day, F.struct(*day, F.col("a").alias("id")).alias("a"), F.struct(*day, F.col("b").alias("id")).alias("b"), F.greatest("distance", "ca", "cb").alias("weight"))
+    forest = spanning_forest(edges).select(F.col("a.ticker").alias("ticker"), F.col("a.day").alias("day"), "a", "b", "weight")
+    steps = blocks.own(blocks.blocked(forest, day, ["weight", "a", "b"], 1).withColumn("step", F.col("weight") - F.lag("weight").over(blocks.in_block(*day))))
+    cut = steps.where(F.col("step") > gap).groupBy(*day).agg(F.max_by("weight", F.struct("step", -F.col("weight"))).alias("cut"))
+    kept = forest.join(cut, day, "left").where(F.col("cut").isNull() | (F.col("weight") < F.col("cut"))).select("a", "b")
+    roots = components(kept.select(F.explode(F.array("a", "b")).alias("id")).distinct(), kept)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).select("root", F.col("root.ticker").alias("ticker"), F.col("root.day").alias("day"), "n")
+    place = F.row_number().over(Window.partitionBy(*day).orderBy(F.col("n").desc(), "root")) - 1
+    themes = sizes.withColumn("theme", place).where(F.col("theme") < most).select("root", "theme")
+    named = roots.join(themes, "root").select(F.col("id.ticker").alias("ticker"), F.col("id.day").alias("day"), F.col("id.id").alias("story_id"), "theme")
+    return rows.select(*day, "story_id").join(named, [*day, "story_id"], "left").withColumn("theme", F.coalesce("theme", F.lit(-1)))
 
 
 def raw_items(new: DataFrame, known: DataFrame | None = None) -> DataFrame:

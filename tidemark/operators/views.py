@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from . import matching
+
 #: The gates of the scorecard, whether their value must be at least or at most the bound.
 GATES = (
     ("G1_theme_agreement", "least", 0.75), ("G2_faithfulness", "least", 0.95), ("G3_banned_language", "most", 0.0), ("G4_dedup_precision", "least", 0.85), ("G4_dedup_recall", "least", 0.75),
@@ -48,6 +51,24 @@ def feed_problems(feeds: DataFrame) -> DataFrame:
     return repeated.union(feeds.select("id", F.explode(problems).alias("problem")).distinct())
 
 
+def alias_problems(aliases: tuple[fixed.Alias, ...], required: tuple[str, ...] = fixed.TICKERS) -> list[tuple[str | None, str]]:
+    """``(ticker, problem)`` of a table of aliases, which is code and small: other tickers than ``required``, repeats, empty names, a list that is missing, a contextual name without context."""
+    names = [a.ticker for a in aliases]
+    out = [(t, "missing") for t in required if t not in names] + [(t, "unknown") for t in dict.fromkeys(names) if t not in required]
+    out += [(t, "repeated") for t in dict.fromkeys(names) if names.count(t) > 1]
+    for a in aliases:
+        out += [(a.ticker, f"empty {name}") for name, value in (("cashtag", a.cashtag), ("company", a.company), ("strong", a.strong)) if not value]
+        out += [(a.ticker, "no exclusions")] if a.exclusions is None else []
+        out += [(a.ticker, "context")] if a.contextual and not a.context else []
+    return out
+
+
+def false_positives(cases: DataFrame, aliases: tuple[fixed.Alias, ...] = fixed.ALIASES) -> DataFrame:
+    """Cases ``text, expected`` (sorted tickers, comma between) that the aliases map otherwise, with what they give."""
+    found = matching.with_tickers(cases, aliases=aliases).withColumn("matched", F.array_join(F.array_sort("matched"), ","))
+    return found.where(F.col("matched") != F.coalesce("expected", F.lit(""))).select("text", "expected", "matched")
+
+
 def tickers_view(fresh: DataFrame, themes: DataFrame, day: Column) -> DataFrame:
     """Each ticker with its freshness and the themes of the day."""
     today = themes.where(F.col("day") == day).groupBy("ticker").agg(F.count("*").alias("themes"))

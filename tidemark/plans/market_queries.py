@@ -25,7 +25,7 @@ def market_snapshot(spark, sf_dir):
 
 @query(f"{_DELTAS} SELECT ticker, date, {_NUMBERS} FROM d")
 def market_delta_series(spark, sf_dir):
-    df = market.deltas(adapters.bars(spark, sf_dir))
+    df = market.delta_series(adapters.bars(spark, sf_dir))
     # as the SQL rounds: the product in floating point, ties away from zero
     return df.select("ticker", "date", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in _SERIES])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -17,8 +18,8 @@ _PICK = "['TSLA','NVDA','AMD','AAPL','META']"
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
-def _feeds(spark, sf_dir):
-    """Each ticker's pages as a feed of nested items; fields lie in the item or in its content, by page id."""
+def _feeds(spark, sf_dir, ticker=None):
+    """Each ticker's pages as a feed of nested items; fields lie in the item or in its content, by page id. Only items that any limit can reach are gathered."""
     p, k = adapters.table(spark, sf_dir, "pages"), F.col("page_id")
     title, date = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + k * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     url = lambda on: F.struct(F.when(k % 3 == on, F.col("url")).alias("url"))
@@ -31,7 +32,10 @@ def _feeds(spark, sf_dir):
         k.alias("order"), F.when((k % 4 != 0) & (k % 7 != 3), title).alias("title"), F.when(k % 2 == 0, text).alias("id"), F.when(k % 9 == 0, "House").alias("publisher"),
         F.when(k % 3 == 0, F.col("url")).alias("link"), F.when(k % 6 == 0, (F.lit(1_700_000_000) + k * 3600).cast("string")).alias("provider_publish_time"), F.lit("").alias("summary"), content.alias("content"),
     )
-    return p.select(adapters.pick(adapters.TICKERS, k % 5).alias("ticker"), item.alias("item")).groupBy("ticker").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    rows = p.select((adapters.pick(adapters.TICKERS, k % 5) if ticker is None else ticker).alias("ticker"), item.alias("item"))
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy("item.order"))
+    first = rows.withColumn("rank", rank).where(F.col("rank") <= providers.NEWS_LIMIT)
+    return first.groupBy("ticker").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 _NEWS = f"""feed AS (SELECT page_id, url, {_PICK}[CAST(page_id % 5 AS INTEGER) + 1] AS ticker, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS place, {_TITLE} AS t FROM pages),
@@ -58,28 +62,34 @@ def company_news(spark, sf_dir):
     return out.select("ticker", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), "source")
 
 
-@query(f"""WITH {POSTS_SQL}, {_NEWS}, own AS (SELECT ticker, text, source FROM posts WHERE ticker IN ('TSLA', 'AMD') AND {_VALID}),
+_KEYED_NEWS = _NEWS.replace(f"{_PICK}[CAST(page_id % 5 AS INTEGER) + 1] AS ticker", "'U' || page_id % 400 AS ticker").replace("PARTITION BY page_id % 5", "PARTITION BY page_id % 400")
+
+
+@query(f"""WITH {POSTS_SQL}, {_KEYED_NEWS}, own AS (SELECT 'U' || user_id AS ticker, text, source FROM posts JOIN (SELECT event_id, user_id FROM events) USING (event_id) WHERE {_VALID}),
   f AS (SELECT ticker, title AS text, source FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY place) AS k FROM news) WHERE k <= 8)
   SELECT ticker, text, source, count(*) AS posts FROM (SELECT * FROM own UNION ALL SELECT * FROM f WHERE ticker NOT IN (SELECT ticker FROM own) AND {_VALID}) GROUP BY 1, 2, 3""")
 def posts_or_headlines(spark, sf_dir):
-    posts = adapters.posts(spark, sf_dir).where(F.col("ticker").isin("TSLA", "AMD"))  # the other tickers have no posts here
-    out = providers.own_or_headlines(posts, providers.news(_feeds(spark, sf_dir)))
+    """Posts by user and pages dealt to more keys than there are users: keys without a valid post get headlines."""
+    posts = adapters.posts_of(adapters.table(spark, sf_dir, "events"), "user_id").withColumn("ticker", F.concat(F.lit("U"), "user_id"))
+    out = providers.own_or_headlines(posts, providers.news(_feeds(spark, sf_dir, F.concat(F.lit("U"), F.col("page_id") % 400))))
     return out.groupBy("ticker", "text", "source").agg(F.count("*").alias("posts"))
 
 
 _MOVES = _DELTAS.removeprefix("WITH ").replace("\nd AS (", "\nmoves AS (")
 
 
-@query(f"""WITH {_MOVES}, q AS (SELECT {_PICK}[CAST(s_suppkey % 5 AS INTEGER) + 1] AS ticker, max(s_acctbal) AS c, CAST(count(*) AS BIGINT) AS v FROM supplier WHERE s_suppkey % 5 IN (0, 1) GROUP BY 1),
-  t AS (SELECT unnest({_PICK}) AS ticker)
-  SELECT t.ticker, round(CASE WHEN q.c IS NOT NULL THEN q.c WHEN t.ticker <> 'META' THEN m.close ELSE 0 END, 4) AS price, CAST(CASE WHEN q.c IS NOT NULL THEN q.v WHEN t.ticker <> 'META' THEN m.volume ELSE 0 END AS BIGINT) AS volume,
-   CASE WHEN q.c IS NOT NULL THEN 'quote' WHEN t.ticker <> 'META' THEN 'bars' ELSE 'unavailable' END AS source FROM t LEFT JOIN q USING (ticker) LEFT JOIN (SELECT * FROM moves WHERE back = 1) m USING (ticker)""")
+@query(f"""WITH {_MOVES}, every AS (SELECT {_PICK}[CAST(s_suppkey % 5 AS INTEGER) + 1] AS ticker, max(s_acctbal) AS c, CAST(count(*) AS BIGINT) AS v FROM supplier GROUP BY 1),
+  q AS (SELECT * FROM every WHERE c >= (SELECT avg(c) FROM every)), t AS (SELECT unnest({_PICK}) AS ticker UNION ALL SELECT 'NONE')
+  SELECT t.ticker, round(coalesce(q.c, m.close, 0), 4) AS price, CAST(coalesce(q.v, m.volume, 0) AS BIGINT) AS volume,
+   CASE WHEN q.c IS NOT NULL THEN 'quote' WHEN m.close IS NOT NULL THEN 'bars' ELSE 'unavailable' END AS source FROM t LEFT JOIN q USING (ticker) LEFT JOIN (SELECT * FROM moves WHERE back = 1) m USING (ticker)""")
 def quote_fallback(spark, sf_dir):
-    s = adapters.table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 5 < 2)
-    quotes = s.groupBy(adapters.pick(adapters.TICKERS, F.col("s_suppkey") % 5).alias("ticker")).agg(F.max("s_acctbal").cast("string").alias("c"), F.lit("n/a").alias("d"), F.lit(None).cast("string").alias("dp"), F.count("*").cast("string").alias("v"))
-    tickers = spark.createDataFrame([(t,) for t in adapters.TICKERS], "ticker string")
-    bars = market.snapshot(adapters.bars(spark, sf_dir)).where("ticker <> 'META'")  # a ticker without bars
-    return providers.quotes_or_bars(tickers, quotes, bars).select("ticker", F.round("price", 4).alias("price"), "volume", "source")
+    """Quotes of the tickers whose largest balance is no less than their mean, bars for the others, nothing for a ticker without either."""
+    s = adapters.table(spark, sf_dir, "supplier")
+    every = s.groupBy(adapters.pick(adapters.TICKERS, F.col("s_suppkey") % 5).alias("ticker")).agg(F.max("s_acctbal").alias("c"), F.count("*").cast("string").alias("v"))
+    quotes = every.join(F.broadcast(every.agg(F.avg("c").alias("mean")))).where("c >= mean")  # one row
+    quotes = quotes.select("ticker", F.col("c").cast("string").alias("c"), F.lit("n/a").alias("d"), F.lit(None).cast("string").alias("dp"), "v")
+    tickers = spark.createDataFrame([(t,) for t in (*adapters.TICKERS, "NONE")], "ticker string")
+    return providers.quotes_or_bars(tickers, quotes, market.snapshot(adapters.bars(spark, sf_dir))).select("ticker", F.round("price", 4).alias("price"), "volume", "source")
 
 
 _PLACED = f"""{POSTS_SQL}, placed AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY date) - 1 AS record, row_number() OVER (PARTITION BY ticker, date ORDER BY event_id) - 1 AS place FROM posts)"""
@@ -192,7 +202,16 @@ def stream_sessions(spark, sf_dir):
     return streams.sessions(spark, sf_dir).groupBy("user_id", "events").agg(F.count("*").alias("sessions"))
 
 
-@query(f"WITH {_SCORED} SELECT date, ticker, {_six(_mean('sentiment_score'))} AS avg_sentiment_score, count(*) AS posts FROM scored GROUP BY date, ticker")
+_DAILY = f"WITH {_SCORED} SELECT date, ticker, {_six(_mean('sentiment_score'))} AS avg_sentiment_score, count(*) AS posts FROM scored GROUP BY date, ticker"
+
+
+@query(_DAILY)
 def stream_sentiment(spark, sf_dir):
     """Posts as a stream, scored and averaged by ticker and day."""
     return rounded(streams.daily_sentiment(spark, sf_dir), "avg_sentiment_score")
+
+
+@query(_DAILY)
+def stream_daily_sentiment(spark, sf_dir):
+    """The same under the name of its table."""
+    return stream_sentiment(spark, sf_dir)

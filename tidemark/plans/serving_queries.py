@@ -66,11 +66,24 @@ def model_train_metrics(spark, sf_dir):
 @query()
 def model_predict_batch(spark, sf_dir):
     models, _ = signal.train(spark, signal.training_data(spark), trees=20)
-    bars = market.deltas(adapters.bars(spark, sf_dir)).select("ticker", "date", (F.col("percent_change_24h") / 100).alias("price_delta_24h"), "volume_delta")
+    bars = market.delta_series(adapters.bars(spark, sf_dir)).select("ticker", "date", (F.col("percent_change_24h") / 100).alias("price_delta_24h"), "volume_delta")
     df = sentiment.by_ticker_date(scored(spark, sf_dir)).join(bars, ["ticker", "date"], "left").fillna(0.0, ["price_delta_24h", "volume_delta"])
     return signal.batch(df, models["rf"]).select("ticker", "date", "movement", "confidence")
 
 
+_JOINED = _DELTAS.removeprefix("WITH ").replace("\nd AS (", "\nmoves AS (")
+
+
+@query(f"WITH {_INPUT}, {_JOINED} SELECT g.date, g.ticker, {_six('g.s')} AS sentiment_score, round(coalesce(m.pct, 0) / 100, 6) AS price_delta_24h, round(coalesce(m.vd, 0), 6) AS volume_delta, m.close IS NOT NULL AS traded FROM g LEFT JOIN moves m ON m.ticker = g.ticker AND m.date = g.date")
+def feature_join(spark, sf_dir):
+    """Sentiment of each ticker and day with the moves of that day's bar, zero where there is none."""
+    bars = market.delta_series(adapters.bars(spark, sf_dir)).select("ticker", "date", F.col("percent_change_24h") / 100, "volume_delta", F.lit(True)).toDF("ticker", "date", "price_delta_24h", "volume_delta", "traded")
+    df = sentiment.by_ticker_date(scored(spark, sf_dir)).join(bars, ["ticker", "date"], "left")
+    out = rounded(signal.prepare(df.fillna(0.0, ["price_delta_24h", "volume_delta"])), "sentiment_score")
+    moves = [F.round(c, 6).alias(c) for c in ("price_delta_24h", "volume_delta")]
+    return out.select("date", "ticker", "sentiment_score", *moves, F.coalesce("traded", F.lit(False)).alias("traded"))
+
+
 _OBS = "o AS (SELECT event_id, event_id % 2 = 0 AS fresh, event_id % 3 <> 0 AS fetched, event_id % 4 AS n, event_id % 5 = 0 AS stale, event_id % 7 AS p FROM events)"
 
 
@@ -154,7 +167,7 @@ def scorecard_gates(spark, sf_dir):
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def stream_daily_sentiment(spark, sf_dir):
+def stream_daily_totals(spark, sf_dir):
     return streams.daily_totals(spark, sf_dir)
 
 
@@ -166,3 +179,9 @@ def stream_dedupe(spark, sf_dir):
 @query("SELECT event_id, event_type, value FROM events")
 def stream_replay(spark, sf_dir):
     return streams.replayed(spark, sf_dir)
+
+
+@query(f"WITH {POSTS_SQL} SELECT version, ticker, date, count(*) AS posts, CAST(sum(CAST(post_score AS DECIMAL(18, 4))) AS DOUBLE) AS total FROM posts, (VALUES (1), (2)) versions(version) GROUP BY 1, 2, 3")
+def stream_replay_days(spark, sf_dir):
+    """Partitions by version, ticker and day, each derived from the raw events as often as a batch touches it, under two versions."""
+    return streams.replayed_days(spark, sf_dir)

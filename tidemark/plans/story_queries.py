@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import TRACKING, canonical_url
 from ..operators import citations, stories
 from ..sources import adapters
+from ..streaming import stories as stream_stories
+from ..streaming import streams
 from .registry import query
 
 _URL = f"""u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS p FROM pages),
@@ -100,10 +102,45 @@ def dedup_semantic_pairs(spark, sf_dir):
     return stories.semantic_pairs(_vectors(spark, sf_dir), THRESHOLD).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_FLOOR, _GAP = 0.1, 0.02
+
+
+@query(f"""WITH RECURSIVE {_EMB}, v AS (SELECT vec_id AS id, embedding, ticker, CAST(CAST(make_timestamp(published * 1000000) AS DATE) AS VARCHAR) AS day FROM e),
+  big AS (SELECT ticker, day FROM v GROUP BY 1, 2 HAVING count(*) >= 4),
+  near AS (SELECT ticker, day, a, b, round(1 - s, 12) AS d FROM (SELECT x.ticker, x.day, x.id AS a, y.id AS b, {_DOT} AS s FROM v x JOIN v y ON x.ticker = y.ticker AND x.day = y.day AND x.id < y.id) JOIN big USING (ticker, day) WHERE s >= {_FLOOR}),
+  core AS (SELECT ticker, day, id, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY ticker, day, id ORDER BY d) AS k FROM (SELECT ticker, day, a AS id, d FROM near UNION ALL SELECT ticker, day, b, d FROM near)) WHERE k = 2),
+  edges AS (SELECT n.ticker, n.day, a, b, greatest(d, p.core, q.core) AS w FROM near n JOIN core p ON p.ticker = n.ticker AND p.day = n.day AND p.id = a JOIN core q ON q.ticker = n.ticker AND q.day = n.day AND q.id = b),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, day ORDER BY w, a, b) AS r FROM edges),
+  way AS (SELECT ticker, day, a AS x, b AS y, r FROM ranked UNION ALL SELECT ticker, day, b, a, r FROM ranked),
+  reach AS (SELECT ticker, day, r, a AS node FROM ranked UNION SELECT t.ticker, t.day, t.r, way.y FROM reach t JOIN way ON way.ticker = t.ticker AND way.day = t.day AND way.x = t.node AND way.r < t.r),
+  forest AS (SELECT k.* FROM ranked k LEFT JOIN reach t ON t.ticker = k.ticker AND t.day = k.day AND t.r = k.r AND t.node = k.b WHERE t.node IS NULL),
+  steps AS (SELECT *, w - lag(w) OVER (PARTITION BY ticker, day ORDER BY w, a, b) AS step FROM forest),
+  cuts AS (SELECT ticker, day, w AS cut FROM (SELECT *, row_number() OVER (PARTITION BY ticker, day ORDER BY step DESC, w) AS k FROM steps WHERE step > {_GAP}) WHERE k = 1),
+  kept AS (SELECT f.ticker, f.day, f.a, f.b FROM forest f LEFT JOIN cuts c USING (ticker, day) WHERE cut IS NULL OR w < cut),
+  links AS (SELECT ticker, day, a AS x, b AS y FROM kept UNION ALL SELECT ticker, day, b, a FROM kept),
+  comp AS (SELECT DISTINCT ticker, day, x AS id, x AS other FROM links UNION SELECT comp.ticker, comp.day, comp.id, links.y FROM comp JOIN links ON links.ticker = comp.ticker AND links.day = comp.day AND links.x = comp.other),
+  roots AS (SELECT ticker, day, id, min(other) AS root FROM comp GROUP BY 1, 2, 3),
+  sizes AS (SELECT ticker, day, root, row_number() OVER (PARTITION BY ticker, day ORDER BY count(*) DESC, root) - 1 AS theme FROM roots GROUP BY 1, 2, 3)
+  SELECT v.ticker, v.day, v.id AS story_id, CAST(coalesce(theme, -1) AS INTEGER) AS theme FROM v LEFT JOIN roots ON roots.ticker = v.ticker AND roots.day = v.day AND roots.id = v.id
+   LEFT JOIN sizes ON sizes.ticker = v.ticker AND sizes.day = v.day AND sizes.root = roots.root AND theme < 6""")
 def theme_clusters(spark, sf_dir):
+    """Density clusters of each ticker's day."""
     v = _vectors(spark, sf_dir).withColumn("day", F.to_date("published_at").cast("string"))
-    return v.select("ticker", "day", "story_id", "embedding").groupBy("ticker", "day").applyInPandas(stories.clusterer(0.1), stories.cluster_schema("bigint"))
+    return stories.density_clusters(v, _FLOOR, gap=_GAP)
+
+
+@query(f"""WITH RECURSIVE {_EMB}, links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.ticker = y.ticker AND x.vec_id <> y.vec_id AND abs(y.published - x.published) <= 36 * 3600 WHERE {_DOT} >= {THRESHOLD}),
+  reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)
+  SELECT id AS story_id, min(other) AS root FROM reach GROUP BY id""")
+def stream_story_roots(spark, sf_dir):
+    """Stories that come in several micro-batches in no order of time, and the components that they have grown to."""
+    landed, store = streams.folder(spark, "stories-in"), streams.folder(spark, "stories")
+    v = _vectors(spark, sf_dir)
+    v.repartition(5, "story_id").write.parquet(landed)
+    kept = stream_stories.StoryStore(spark, store, THRESHOLD)
+    source = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    streams.run(source.writeStream.foreachBatch(kept.add), spark, "stories")
+    return kept.roots()
 
 
 @query(f"""WITH {_STORIES}, t AS (SELECT ticker, story_id // 50 AS theme_id, count(*) AS stories, count(DISTINCT outlet) AS outlets, max(published) AS latest FROM s GROUP BY 1, 2),
@@ -124,6 +161,53 @@ def theme_stability(spark, sf_dir):
     return stories.best_previous(v, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
+_RUNS = f"""{_EMB}, d AS (SELECT ticker, vec_id, embedding, published // 86400 AS run FROM e),
+  p AS (SELECT x.ticker, x.run, x.vec_id AS theme_id, y.vec_id AS previous_id, {_DOT} AS similarity FROM d x JOIN d y ON x.ticker = y.ticker AND x.run = y.run + 1 WHERE {_DOT} >= 0.2),
+  t AS (SELECT ticker, run, theme_id, row_number() OVER (PARTITION BY ticker, run ORDER BY theme_id) AS k FROM (SELECT DISTINCT ticker, run, theme_id FROM p)),
+  n AS (SELECT ticker, run, max(k) AS k FROM t GROUP BY 1, 2),
+  o AS (SELECT ticker, run, theme_id, previous_id, CAST(round(similarity * 1e9) AS BIGINT) AS g FROM p UNION ALL SELECT DISTINCT ticker, run, theme_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM p),
+  s AS (SELECT ticker, run, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS picked, CAST(0 AS BIGINT) AS total FROM n
+    UNION ALL SELECT s.ticker, s.run, t.k, list_append(s.picked, o.previous_id), s.total + o.g FROM s JOIN t ON t.ticker = s.ticker AND t.run = s.run AND t.k = s.k + 1
+      JOIN o ON o.ticker = t.ticker AND o.run = t.run AND o.theme_id = t.theme_id AND (o.previous_id IS NULL OR NOT list_contains(s.picked, o.previous_id))),
+  best AS (SELECT ticker, run, arg_max(picked, total) AS picked FROM s JOIN n USING (ticker, run, k) GROUP BY 1, 2),
+  one AS (SELECT t.ticker, t.run, t.theme_id, best.picked[t.k] AS previous_id FROM best JOIN t USING (ticker, run) WHERE best.picked[t.k] IS NOT NULL)"""
+
+
+def _run_themes(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumnsRenamed({"story_id": "theme_id", "embedding": "centroid"})
+    return v.select("ticker", F.floor(F.unix_timestamp("published_at") / 86400).alias("run"), "theme_id", "centroid")
+
+
+@query(f"WITH RECURSIVE {_RUNS} SELECT one.ticker, one.theme_id, one.previous_id, round(similarity, 6) AS similarity FROM one JOIN p ON p.theme_id = one.theme_id AND p.previous_id = one.previous_id")
+def theme_assignment(spark, sf_dir):
+    """Each day's themes and those of the day before, one to one, with the largest total similarity."""
+    pairs = stories.one_to_one(stories.similar_previous(_run_themes(spark, sf_dir), 0.2))
+    return pairs.select("ticker", "theme_id", "previous_id", F.round("similarity", 6).alias("similarity"))
+
+
+_IDENTITY = f"""WITH RECURSIVE {_RUNS}, chain AS (SELECT ticker, run, vec_id AS theme_id, vec_id AS node FROM d UNION ALL SELECT chain.ticker, chain.run, chain.theme_id, one.previous_id FROM chain JOIN one ON one.theme_id = chain.node)
+  SELECT ticker, run, theme_id, arg_min(node, place) AS identity FROM (SELECT chain.*, d.run AS place FROM chain JOIN d ON d.vec_id = chain.node) GROUP BY 1, 2, 3"""
+
+
+@query(_IDENTITY)
+def theme_identities(spark, sf_dir):
+    return stories.identities(_run_themes(spark, sf_dir), 0.2)
+
+
+@query(_IDENTITY)
+def stream_theme_identities(spark, sf_dir):
+    """The same identities, kept over micro-batches of some days each."""
+    landed, store = streams.folder(spark, "themes-in"), streams.folder(spark, "themes")
+    t = _run_themes(spark, sf_dir)
+    # files in the order of their days, as runs come
+    t.repartitionByRange(4, "run").sortWithinPartitions("run").write.parquet(landed)
+    kept = stream_stories.ThemeStore(spark, store, 0.2)
+    files = sorted(row.file for row in spark.read.parquet(landed).select(F.input_file_name().alias("file")).distinct().collect())
+    for number, file in enumerate(files):
+        kept.add(spark.read.schema(t.schema).parquet(file), number)
+    return kept.identities()
+
+
 @query(f"""WITH {_STORIES}, t AS (SELECT story_id // 20 AS theme_id, sha256(string_agg(CAST(story_id AS VARCHAR), ',' ORDER BY CAST(story_id AS VARCHAR))) AS content_hash FROM s GROUP BY 1)
   SELECT theme_id, content_hash FROM t WHERE theme_id % 2 = 1""")
 def summary_cache_misses(spark, sf_dir):

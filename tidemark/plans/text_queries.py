@@ -182,6 +182,26 @@ def mapping_outcomes(spark, sf_dir):
     return matching.with_tickers(adapters.posts(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("items"))
 
 
+def _word_hits_sql(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST({_phrases_sql((t,))} AS INTEGER)" for t in terms)
+
+
+@query(f"WITH {POSTS_SQL} SELECT event_id, CAST({_word_hits_sql(fixed.POSITIVE)} AS INTEGER) AS pos_hits, CAST({_word_hits_sql(fixed.NEGATIVE)} AS INTEGER) AS neg_hits FROM posts")
+def strict_hits(spark, sf_dir):
+    """Lexicon terms as whole words."""
+    return sentiment.with_hits(adapters.posts(spark, sf_dir), strict=True).select("event_id", "pos_hits", "neg_hits")
+
+
+_STRICT = f"WITH {POSTS_SQL}, m AS (SELECT event_id, {', '.join(f'{_matched_sql(a)} AS m_{a.ticker}' for a in fixed.STRICT_ALIASES)} FROM posts)"
+
+
+@query(f"{_STRICT} SELECT event_id, concat_ws(',', {', '.join(f'CASE WHEN m_{t} THEN {t!r} END' for t in fixed.TICKERS)}) AS matched, {_OUTCOME} AS outcome FROM m")
+def strict_mapping(spark, sf_dir):
+    """Ticker mapping without the generic words among one company's names."""
+    found = matching.with_tickers(adapters.posts(spark, sf_dir), aliases=fixed.STRICT_ALIASES)
+    return found.select("event_id", F.array_join("matched", ",").alias("matched"), "outcome")
+
+
 def _rule_sql(kind: str, pattern: str) -> str:
     if kind == "literal":
         return _phrases_sql((pattern,))

@@ -133,3 +133,31 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for turn in range(2):
         run(events(spark, sf_dir).writeStream.foreachBatch(store), spark, f"replay{turn}")
     return spark.read.parquet(out).select("event_id", F.col("event_type").cast("string").alias("event_type"), "value")
+
+
+def replayed_days(spark: SparkSession, sf_dir: str, versions: tuple[int, ...] = (1, 2), again: int = 1) -> DataFrame:
+    """Posts by ticker and day under a pipeline version, which a batch re-derives from the raw table: ``version, ticker, date, posts, total``.
+
+    A batch says which tickers and days it touches. Those partitions of its
+    version are made anew from all raw events and replace the stored ones, so
+    files in any order, a batch that comes ``again`` and a whole replay give
+    the same table, and another version leaves the first one as it is.
+    """
+    from ..sources import adapters
+
+    out = folder(spark, "days")
+    raw = adapters.posts_of(spark.read.parquet(f"{sf_dir}/events.parquet*"))
+
+    def derive(version: int):
+        def store(batch: DataFrame, _: int) -> None:
+            touched = adapters.posts_of(batch).select("ticker", "date").distinct()
+            days = raw.join(touched, ["ticker", "date"], "left_semi").groupBy("ticker", "date").agg(F.count("*").alias("posts"), F.sum(F.col("post_score").cast("decimal(18,4)")).alias("total"))
+            for _ in range(1 + again):
+                days.select("posts", "total", F.lit(version).alias("version"), "ticker", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "ticker", "date").parquet(out)
+
+        return store
+
+    for version in versions:
+        run(events(spark, sf_dir).writeStream.foreachBatch(derive(version)), spark, f"days{version}")
+    schema = "posts bigint, total decimal(28,4), version int, ticker string, date string"
+    return spark.read.schema(schema).parquet(out).select("version", "ticker", "date", "posts", F.col("total").cast("double").alias("total"))
