@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,6 +234,13 @@ def near_in_group(df: DataFrame, floor: float, size: int = 512) -> DataFrame:
     return both.select("ticker", "day", "a", "b", F.round(1 - cosine(F.col("x"), F.col("y")), 12).alias("distance"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and read again: unlike a checkpoint, nothing of the old plan is handed on, which over rounds of joins grows."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The least forest of ``a, b, weight`` by Boruvka rounds: every component takes its least edge to another one, all at once, until none is left.
 
@@ -239,19 +248,19 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     cycle. A round at least halves the components that can still grow.
     """
     shared_checkpoints(edges.sparkSession)
-    left = edges.select("a", "b", "weight", F.col("a").alias("p"), F.col("b").alias("q")).checkpoint()
+    left = _stored(edges.select("a", "b", "weight", F.col("a").alias("p"), F.col("b").alias("q")))
     found = []
     while not left.isEmpty():
         least = F.min(F.struct("weight", "a", "b")).alias("e")
         ends = left.select(F.explode(F.array("p", "q")).alias("id"), "weight", "a", "b")
         best = ends.groupBy("id").agg(least).select("e.*").distinct()
-        chosen = left.join(best, ["a", "b", "weight"]).select("a", "b", "weight", "p", "q").distinct().checkpoint()
+        chosen = _stored(left.join(best, ["a", "b", "weight"]).select("a", "b", "weight", "p", "q").distinct())
         found.append(chosen.select("a", "b", "weight"))
         pairs = chosen.select(F.col("p").alias("a"), F.col("q").alias("b"))
-        roots = components(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs)
+        roots = _stored(components(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs))
         for c in ("p", "q"):
             left = left.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}2")), c, "left").withColumn(c, F.coalesce(f"{c}2", c)).drop(f"{c}2")
-        left = left.where("p <> q").select("a", "b", "weight", "p", "q").checkpoint()
+        left = _stored(left.where("p <> q").select("a", "b", "weight", "p", "q"))
     out = edges.select("a", "b", "weight").limit(0) if not found else found[0]
     for f in found[1:]:
         out = out.unionByName(f)
