@@ -65,8 +65,8 @@ def feed_items(spark: SparkSession, path: str, source: str) -> DataFrame:
 def feed_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """``source, file, text`` of landed feeds: one row a file, below ``source=...`` folders, as a table or a stream."""
     reader = (spark.readStream if stream else spark.read).format("text").schema("value string, source string").option("wholetext", True)
-    df = _or_empty(spark, lambda: reader.load(path), "value string, source string")
-    return df.select("source", F.regexp_extract(F.col("_metadata.file_path") if "value" in df.columns else F.lit(""), "([^/]*)$", 1).alias("file"), F.col("value").alias("text"))
+    named = lambda df: df.select("source", F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("file"), F.col("value").alias("text"))
+    return _or_empty(spark, lambda: named(reader.load(path)), "source string, file string, text string")
 
 
 def parsed_feeds(files: DataFrame) -> DataFrame:
