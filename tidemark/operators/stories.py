@@ -224,6 +224,41 @@ def changed_only(themes: DataFrame, done: DataFrame) -> DataFrame:
     return themes.join(done.select("theme_id", "content_hash"), ["theme_id", "content_hash"], "left_anti")
 
 
+def cluster_schema(id_type: str) -> str:
+    return f"ticker string, day string, story_id {id_type}, theme int"
+
+
+def clusterer(cut: float, least: int = 4, most: int = 6):
+    """A function for ``groupBy(ticker, day).applyInPandas``: average-link clustering of one ticker's day.
+
+    Fewer than ``least`` stories, and stories outside the ``most`` largest
+    clusters or alone, are theme -1 (other).
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("story_id").reset_index(drop=True)
+        n = len(rows)
+        theme = np.full(n, -1)
+        if n >= least:
+            x = np.stack(rows["embedding"].to_numpy()).astype(float)
+            similarity = x @ x.T
+            groups = [[i] for i in range(n)]
+            while len(groups) > 1:
+                best = max(((similarity[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups))))
+                if best[0] < cut:
+                    break
+                a, b = -best[1], -best[2]
+                groups[a] += groups.pop(b)
+            kept = sorted((g for g in groups if len(g) > 1), key=lambda g: (-len(g), min(g)))[:most]
+            for k, g in enumerate(kept):
+                theme[g] = k
+        return pd.DataFrame({"ticker": rows["ticker"], "day": rows["day"], "story_id": rows["story_id"], "theme": theme.astype("int32")})
+
+    return run
+
+
 def near_in_group(df: DataFrame, floor: float, size: int = 512) -> DataFrame:
     """``ticker, day, a, b, distance`` (a < b): pairs of one ticker's day at least ``floor`` alike. Stories of a day are dealt into blocks of about ``size``; two blocks meet in one task."""
     sizes = df.groupBy("ticker", "day").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
