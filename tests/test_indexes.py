@@ -63,6 +63,22 @@ def test_search_is_exact_and_probes_recall(spark, block):
     assert vector_index.search(df.where("false"), queries, 0.7).count() == 0 and vector_index.search(df, queries.where("false"), 0.7).count() == 0
 
 
+def test_blocks_of_queries_meet_as_matrices(spark, monkeypatch):
+    """Several blocks of queries; sums are those of the elements in their order, bit by bit; pairs meet in Arrow, not one by one in a join."""
+    from tidemark.operators.stories import cosine
+
+    monkeypatch.setattr(vector_index, "ASKED", 16)
+    _, df = embedded(spark, 600)
+    df = df.where("embedding is not null")
+    found = vector_index.search(df, df.where("id % 7 = 0"), 0.7, cells=5, block=50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+    x, y = df.select(F.col("id").alias("query"), F.col("embedding").alias("q")).where("query % 7 = 0"), df
+    want = x.crossJoin(y).where("query <> id").select("query", "id", cosine(F.col("q"), F.col("embedding")).alias("similarity")).where("similarity >= 0.7")
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(found.collect()) == key(want.collect()) and want.count() > 2000
+
+
 def test_cells_are_left_out_without_loss(spark):
     x, df = embedded(spark)
     c = vector_index.fit(df, 40)

@@ -6,8 +6,10 @@ By the triangle inequality of angles, a vector within the angle ``t`` of the
 query has an angle to its centroid that differs from the query's by ``t`` at
 most, and its cell's radius bounds it too. Without a limit on probes all cells
 that may hold one are visited, and the search is exact; with one, the nearest
-cells. Cells of many vectors are dealt into blocks, and a query goes to all
-blocks of a cell, so no task holds a cell.
+cells. Cells of many vectors are dealt into blocks, queries likewise, and each
+block of a cell meets each block of queries as two matrices, so no task holds a
+cell or all queries. A product of matrices decides with a slack; what it lets
+through is summed again in the order of the elements, as :func:`cosine` does.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stories import cosine, shared_checkpoints
+from .stories import shared_checkpoints
 
 SAMPLE, ROUNDS = 20_000, 8
-#: Vectors of one block of a cell, about.
-BLOCK = 4_096
+#: Vectors of one block of a cell, about, and queries of one block.
+BLOCK, ASKED = 4_096, 2_048
+#: Rows of a block that are multiplied at a time.
+STRIPE = 512
 #: Slack of angles for rounding.
 SLACK = 1e-6
 
@@ -53,8 +57,31 @@ def fit(df: DataFrame, cells: int, vector: str = "embedding", key: str = "id", s
     return Centroids(points)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), width)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), width)
+
+
+def products(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of rows of ``x`` and rows of ``y``, both transposed, summed from the first element to the last."""
+    total = np.zeros(len(row))
+    for a, b in zip(x, y):
+        total += a[row] * b[col]
+    return total
+
+
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``x`` and in ``y`` of all pairs whose product is not below ``threshold``, and the product, by stripes of ``x``."""
+    slack = 1e-9 * max(1.0, *(float(np.linalg.norm(m, axis=1).max(initial=0.0)) ** 2 for m in (x, y)))
+    tall, wide = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    for at in range(0, len(x), STRIPE):
+        with np.errstate(invalid="ignore", over="ignore"):
+            row, col = np.nonzero(~(x[at : at + STRIPE] @ wide < threshold - slack))
+            row += at
+            exact = products(tall, wide, row, col)
+            kept = ~(exact < threshold)
+        yield row[kept], col[kept], exact[kept]
 
 
 def assigned(df: DataFrame, centroids: Centroids, vector: str = "embedding") -> DataFrame:
@@ -110,10 +137,19 @@ def search(rows: DataFrame, queries: DataFrame, threshold: float, cells: int = 6
     about = index.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row a cell
     radii = {r.cell: r.radius for r in about}
     blocks = F.broadcast(spark.createDataFrame([(r.cell, -(-r.n // block)) for r in about], "cell int, blocks int"))
-    dealt = index.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
-    asked = visits(queries.select(F.col("id").alias("query"), "embedding"), centroids, radii, threshold, probes).withColumnRenamed("embedding", "q")
-    asked = asked.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
-    near = (F.abs(F.col("angle") - F.col("at")) <= limit) & (F.col("query") != F.col("id"))
-    alike = cosine(F.col("q"), F.col("embedding"))
-    return dealt.join(asked, ["cell", "block"]).where(near & (alike >= threshold)).select("query", "id", alike.alias("similarity"))
+    asked = queries.select(F.col("id").alias("query"), "embedding")
+    parts = max(1, -(-asked.count() // ASKED))
+    dealt = index.join(blocks, "cell").select("id", "embedding", "cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = visits(asked, centroids, radii, threshold, probes).join(blocks, "cell")
+    asked = asked.select("query", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query", F.lit(parts)), F.lit(parts)).cast("int").alias("part"))
+    key, width = ["cell", "block", "part"], centroids.points.shape[1]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = _matrix(left["embedding"], width), _matrix(right["embedding"], width)
+        query, number, names = right["query"].combine_chunks(), left["id"].combine_chunks(), ["query", "id", "similarity"]
+        found = [pa.Table.from_arrays([query.take(pa.array(col)), number.take(pa.array(row)), pa.array(similar)], names=names) for row, col, similar in alike(x, y, threshold)]
+        return pa.concat_tables([pa.Table.from_arrays([query[:0], number[:0], pa.array([], pa.float64())], names=names), *found])
+
+    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((dealt, "id"), (asked, "query"))}
+    both = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, f"query {kind['query']}, id {kind['id']}, similarity double")
+    return both.where(F.col("query") != F.col("id"))
