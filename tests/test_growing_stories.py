@@ -203,3 +203,15 @@ def test_identities_over_batches(spark, tmp_path, parts):
         store.add(batch.union(batch.limit(2)), number)
         store.add(batch, number)
     assert {r.theme_id: r.identity for r in store.identities().collect()} == want
+
+
+def test_files_do_not_grow_with_the_time_stored(spark, tmp_path):
+    """A batch that covers many time buckets writes no file for each of them, and one of a single time reads few of them."""
+    begin = datetime.datetime(2024, 1, 1)
+    rows = [(k, "T", begin + datetime.timedelta(hours=36 * k), [1.0, 0.0]) for k in range(200)]
+    store = StoryStore(spark, f"file://{tmp_path}/s", 0.9, hours=36)
+    store.add(spark.createDataFrame(rows, STORY).repartition(8), 0)
+    store.add(spark.createDataFrame([(500, "T", begin + datetime.timedelta(hours=1), [1.0, 0.0])], STORY), 1)
+    assert len(list(tmp_path.glob("s/items/batch=0/**/*.parquet"))) <= 16
+    roots = dict(map(tuple, store.roots().collect()))
+    assert len(roots) == 201 and set(roots.values()) == {0} and roots[500] == 0

@@ -4,8 +4,8 @@ The store is a folder of small tables, each written under its batch's number.
 A batch that comes again overwrites what it wrote and reads what was there
 before it, so a restart changes nothing.
 
-- ``items``: each story once, by time bucket, with the root that it had when
-  it came.
+- ``items``: each story once, in files that are ranges of time buckets, with
+  the root that it had when it came. A batch reads those of its own time.
 - ``forest``: what became of roots. A batch appends the roots that its links
   changed, and those that pointed to them; all others stay as they are.
 """
@@ -38,8 +38,9 @@ class Store:
         rows = self.spark.read.schema(whole).parquet(f"{self.root}/{name}")
         return rows if number is None else rows.where(F.col("batch") < number)
 
-    def put(self, df: DataFrame, name: str, number: int, *by: str) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/batch={number}")
+    def put(self, df: DataFrame, name: str, number: int) -> None:
+        """No folders by value: there would be as many files as values and tasks, which grow with the time that is stored."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={number}")
 
 
 class StoryStore(Store):
@@ -80,14 +81,16 @@ class StoryStore(Store):
         known = self.before("items", self.ITEMS, number)
         new = first.join(known.select("story_id"), "story_id", "left_anti").checkpoint()
         forest = self.forest(number)
-        # stored stories of the batch's time alone; their folders are named by bucket
+        # stored stories of the batch's time alone; files of other times are left out by their least and largest bucket
+        first_bucket, last_bucket = new.agg(F.min("bucket"), F.max("bucket")).first()
         touched = new.select(F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket")).distinct()
-        stored = known.join(touched, "bucket", "left_semi").join(forest, F.col("first_root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "first_root"))
+        about = F.lit(False) if first_bucket is None else F.col("bucket").between(first_bucket - 1, last_bucket + 1)
+        stored = known.where(about).join(touched, "bucket", "left_semi").join(forest, F.col("first_root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "first_root"))
         links = self._links(new, stored).checkpoint()
         nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         moved = components(nodes, links).where("id <> root").checkpoint()
         own = new.join(moved, F.col("story_id") == F.col("id"), "left").select("story_id", "ticker", "published_at", "embedding", F.coalesce("root", "story_id").alias("first_root"), "bucket")
-        self.put(own, "items", number, "bucket")
+        self.put(own.repartitionByRange("bucket").sortWithinPartitions("bucket"), "items", number)
         fresh = new.select("story_id")
         gone = moved.join(fresh, F.col("id") == F.col("story_id"), "left_anti").select(F.col("id").alias("old"), F.col("root").alias("new"))
         followed = forest.join(gone.select(F.col("old").alias("new"), F.col("new").alias("newer")), "new").select("old", F.col("newer").alias("new"))
@@ -122,4 +125,4 @@ class ThemeStore(Store):
         first = oldest(both.select(*key), pairs).join(new.select(*key), key, "left_semi")
         stored = last.select("ticker", F.col("run").alias("first_run"), F.col("theme_id").alias("first_id"), "identity")
         named = new.join(first, key).join(stored, ["ticker", "first_run", "first_id"], "left")
-        self.put(named.select("run", "theme_id", "centroid", F.coalesce("identity", "first_id").alias("identity"), "ticker"), "themes", number, "ticker")
+        self.put(named.select("run", "theme_id", "centroid", F.coalesce("identity", "first_id").alias("identity"), "ticker").sortWithinPartitions("run"), "themes", number)
