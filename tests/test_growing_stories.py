@@ -215,3 +215,16 @@ def test_files_do_not_grow_with_the_time_stored(spark, tmp_path):
     assert len(list(tmp_path.glob("s/items/batch=0/**/*.parquet"))) <= 16
     roots = dict(map(tuple, store.roots().collect()))
     assert len(roots) == 201 and set(roots.values()) == {0} and roots[500] == 0
+
+
+def test_groups_of_pairs_are_gone_through_in_batches(spark):
+    """Groups that go over from one Arrow batch to the next stay whole; there is no Python call for each group."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [("T", run, t, 100 + p, s) for run in range(5) for (t, p), s in {(0, 0): 0.9, (0, 1): 0.8, (1, 0): 0.8, (2, 1): 0.3, (5, 7): 0.5}.items()]
+        found = stories.one_to_one(spark.createDataFrame(rows, "ticker string, run int, theme_id int, previous_id int, similarity double"))
+        assert "GroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.run, r.theme_id, r.previous_id) for r in found.collect()) == [(run, *e) for run in range(5) for e in ((0, 101), (1, 100), (5, 107))]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

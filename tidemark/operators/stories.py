@@ -100,19 +100,20 @@ def semantic_pairs(df: DataFrame, threshold: float, hours: int = 36) -> DataFram
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(id, root)``: the least id that can be reached. Labels spread along links and jump to their own label's label, until nothing changes; each round is checkpointed."""
-    spark = nodes.sparkSession
-    shared_checkpoints(spark)
-    links = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
+    """``(id, root)``: the least id that can be reached. Labels spread along links and jump to their own label's label, until nothing changes; each round is a stored table, and takes the place of the one before."""
+    shared_checkpoints(nodes.sparkSession)
+    links = _stored(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
+    labels = _stored(nodes.select("id", F.col("id").alias("root")))
     while True:
         least = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         new = labels.join(least, "id", "left").select("id", "root", F.least("root", "near").alias("low"))
         jump = new.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        new = new.join(jump, "low", "left").select("id", F.least("low", "lower").alias("next"), "root").checkpoint()
-        changed = new.where("next <> root").limit(1).count()
+        new = _stored(new.join(jump, "low", "left").select("id", F.least("low", "lower").alias("next"), "root"))
+        _dropped(labels)
+        changed = not new.where("next <> root").isEmpty()
         labels = new.select("id", F.col("next").alias("root"))
         if not changed:
+            _dropped(links)
             return labels
 
 
@@ -149,12 +150,9 @@ def best_previous(themes: DataFrame, threshold: float) -> DataFrame:
     return best.select("ticker", "theme_id", (-F.col("m.k")).alias("previous_id"), F.col("m.similarity").alias("similarity"))
 
 
-def _assigned(rows):
-    """The pairs of one connected group that have the largest total similarity, each end once: augmenting paths over whole numbers (10^-9)."""
-    import pandas as pd
-
-    rows = rows.sort_values(["theme_id", "previous_id"])
-    gain = {(t, p): round(s * 1e9) for t, p, s in zip(rows["theme_id"].tolist(), rows["previous_id"].tolist(), rows["similarity"].tolist())}
+def _assigned(rows: list[tuple]) -> list[bool]:
+    """Which pairs ``(theme, previous, similarity)`` of one connected group have the largest total similarity, each end once: augmenting paths over whole numbers (10^-9)."""
+    gain = {(t, p): round(s * 1e9) for t, p, s in rows}
     themes = sorted({t for t, _ in gain})
     match: dict = {}
     for _ in themes:
@@ -180,24 +178,52 @@ def _assigned(rows):
         while at is not None:
             t = reach["p", at][1]
             match[t], at = at, reach["t", t][1]
-    keep = [match.get(t) == p for t, p in zip(rows["theme_id"].tolist(), rows["previous_id"].tolist())]
-    return pd.DataFrame(rows[keep][["ticker", "run", "theme_id", "previous_id", "similarity"]])
+    return [match.get(t) == p for t, p, _ in rows]
+
+
+def _assigned_groups(batches):
+    """Rows sorted by ``root`` in, the assigned ones of each group out; a group may go over from batch to batch, and only one is held."""
+    import pyarrow as pa
+
+    open_root, held = None, []
+
+    def settled(held):
+        table = pa.Table.from_batches(held)
+        rows = sorted(zip(table["theme_id"].to_pylist(), table["previous_id"].to_pylist(), table["similarity"].to_pylist(), range(len(table))), key=lambda r: r[:2])
+        keep = [r[3] for r, kept in zip(rows, _assigned([r[:3] for r in rows])) if kept]
+        return table.take(pa.array(keep, pa.int64())).drop_columns(["root"]).combine_chunks().to_batches()
+
+    for batch in batches:
+        roots = batch["root"].to_pylist()
+        starts = [k for k in range(len(roots)) if k == 0 or roots[k] != roots[k - 1]]
+        done = []
+        for at, end in zip(starts, [*starts[1:], len(roots)]):
+            if held and roots[at] != open_root:
+                done += settled(held)
+                held = []
+            open_root = roots[at]
+            held.append(batch.slice(at, end - at))
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+    if held:
+        yield from settled(held)
 
 
 def one_to_one(similar: DataFrame) -> DataFrame:
     """Of :func:`similar_previous`, the pairs with the largest total similarity in which no theme and no predecessor comes twice.
 
     Pairs are grouped by what they connect, so a task gets the themes of one
-    ticker's two runs that have to do with each other, and no more.
+    ticker's two runs that have to do with each other, and no more; a task goes
+    through its groups one after another in Arrow batches.
     """
     shared_checkpoints(similar.sparkSession)
     end = lambda side, c: F.struct("ticker", "run", F.lit(side).alias("side"), F.col(c).alias("id"))
     rows = similar.withColumns({"a": end(0, "theme_id"), "b": end(1, "previous_id")})
     rows = rows.checkpoint()
     roots = components(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows)
-    grouped = rows.join(roots.select(F.col("id").alias("a"), "root"), "a").select("root", "ticker", "run", "theme_id", "previous_id", "similarity")
+    grouped = rows.join(roots.select(F.col("id").alias("a"), F.to_json("root").alias("root")), "a").select("root", *similar.columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in similar.schema)
-    return grouped.groupBy("root").applyInPandas(_assigned, schema)
+    return grouped.repartition("root").sortWithinPartitions("root").mapInArrow(_assigned_groups, schema)
 
 
 def oldest(themes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -276,6 +302,14 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _dropped(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    hadoop, spark = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs, df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The least forest of ``a, b, weight`` by Boruvka rounds: every component takes its least edge to another one, all at once, until none is left.
 
