@@ -59,6 +59,27 @@ def test_stale_entries_are_forgotten(spark, tmp_path):
         assert got == {1: "live", 2: "fallback", 3: want}
 
 
+def test_many_keys_share_a_state(spark, tmp_path):
+    """State belongs to shards, not to keys, and is written packed; answers over several files are those of a plain loop."""
+    rows = [(f"k{i % 700}", (i * 7919) % 5000, i, i % 3 == 0, i % 4, i % 2) for i in range(3000)]
+    got = {r.id: (r.key, r.status, r.source, r["items"]) for r in cache.answers(spark, requests(spark, tmp_path, [rows[k::4] for k in range(4)]), "1 day", ttl=900).collect()}
+    want, entries, zero = {}, {}, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp() * T
+    for key, at, i, failed, items, own in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        status, source, count, entries[key] = answer("headlines", entries.get(key), int(zero) + at * T, failed, items, own, 900 * T)
+        want[i] = (key, status, source, count)
+    assert got == want
+
+    class Handle:
+        def getListState(self, name, schema):
+            return (name, schema)
+
+        getValueState = getListState
+
+    one = cache.ProviderCache(900)
+    one.init(Handle())
+    assert one.waiting == ("waiting", "rows binary") and one.entries == ("entries", "rows binary")
+
+
 def test_empty_input(spark, tmp_path):
     assert cache.answers(spark, requests(spark, tmp_path, [[]]), "1 day").count() == 0
 

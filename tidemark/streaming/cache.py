@@ -1,6 +1,11 @@
 """A provider cache as stateful streaming: fresh, stale and negative entries, answered in event time.
 
-Requests of a key wait in its state until the watermark has passed them, so
+Keys are dealt by hash into ``SHARDS`` shards, and a shard is what has state: a
+call to the state costs the same for one row as for many, and is made for a
+shard's rows of a batch together, packed as Arrow. A batch appends its rows and
+doesn't touch those that wait already.
+
+Requests of a key wait in its shard until the watermark has passed them, so
 files and batches may come in any order; then they are answered one after
 another, as a cache at that time would have. ``lateness`` says how far behind
 the newest request one may still come; what is later than that is dropped. A
@@ -28,6 +33,9 @@ ANSWER = "id bigint, key string, provider string, status string, source string,
 PROVIDER, DATASET = "Yahoo Finance via yfinance", "Committed demo dataset"
 STALE, CACHE = f"{PROVIDER} (stale cache)", f"{PROVIDER} (cache)"
 
+#: Shards of keys. A checkpoint belongs to one number of them.
+SHARDS = 1024
+
 
 class Entry(NamedTuple):
     stored: int  # microseconds
@@ -53,52 +61,96 @@ def answer(provider: str, entry: Entry | None, at: int, failed: bool, items: int
     return "live" if items else "unavailable", PROVIDER, items, Entry(at, items, PROVIDER)
 
 
+def packed(rows) -> bytes:
+    """An Arrow table as bytes."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 class ProviderCache(StatefulProcessor):
-    """Requests of one key in, answers out."""
+    """Requests of one shard's keys in, answers out."""
 
     def __init__(self, ttl: int, keep: int | None = None) -> None:
         self.ttl, self.keep = ttl * 1_000_000, None if keep is None else keep * 1_000_000
 
     def init(self, handle) -> None:
+        import pyarrow as pa
+
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint, provider string, failed boolean, items int, own int")
-        self.entry = handle.getValueState("entry", "stored bigint, items int, source string")
+        self.schema = pa.schema([("key", pa.string()), ("micros", pa.int64()), ("id", pa.int64()), ("provider", pa.string()), ("failed", pa.bool_()), ("items", pa.int32()), ("own", pa.int32())])
+        self.kept = pa.schema([("key", pa.string()), ("stored", pa.int64()), ("items", pa.int32()), ("source", pa.string())])
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.entries = handle.getValueState("entries", "rows binary")
+        self.due = handle.getValueState("due", "at bigint")  # the earliest request that waits
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        new = [row for frame in rows for row in zip(frame["micros"].tolist(), frame["id"].tolist(), frame["provider"].tolist(), frame["failed"].tolist(), frame["items"].tolist(), frame["own"].tolist())]
-        yield from self._settle(key[0], [*self.waiting.get(), *new], timerValues.getCurrentWatermarkInMs())
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        watermark = timerValues.getCurrentWatermarkInMs()
+        new = [pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False) for frame in rows]
+        self.waiting.appendList([(packed(table),) for table in new])
+        first = min((at for at in (pc.min(table["micros"]).as_py() for table in new) if at is not None), default=None)
+        before = self.due.get()
+        if first is not None and (before is None or first < before[0]):
+            self.due.update((first,))
+            self._wake(first, watermark)
+        if first is not None and first <= watermark * 1000:
+            yield from self._settle(watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        yield from self._settle(key[0], list(self.waiting.get()), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(timerValues.getCurrentWatermarkInMs())
 
-    def _settle(self, key: str, waiting: list[tuple], watermark: int) -> Iterator:
+    def _wake(self, micros: int, watermark: int) -> None:
+        self.handle.registerTimer(max(-(-micros // 1000), watermark + 1))
+
+    def _settle(self, watermark: int) -> Iterator:
         """Answer what the watermark has passed; the rest waits for its timer."""
         import pandas as pd
-
-        waiting = sorted(map(tuple, waiting))
-        due = [w for w in waiting if w[0] <= watermark * 1000]
-        entry = self.entry.get()
-        entry = Entry(*entry) if entry else None
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        waiting = pa.concat_tables([self.schema.empty_table(), *(pa.ipc.open_stream(row[0]).read_all() for row in self.waiting.get())])
+        passed = pc.fill_null(pc.less_equal(waiting["micros"], watermark * 1000), False)
+        keys: dict = {}
+        for name, *request in zip(*(c.to_pylist() for c in waiting.filter(passed).columns)):
+            keys.setdefault(name, []).append(tuple(request))
+        held = self.entries.get()
+        entries = {name: Entry(*entry) for name, *entry in zip(*(c.to_pylist() for c in pa.ipc.open_stream(held[0]).read_all().columns))} if held else {}
         out = []
-        for at, number, provider, failed, items, own in due:
-            if entry and self.keep is not None and at - entry.stored > self.keep:
-                entry = None
-            status, source, count, entry = answer(provider, entry, at, failed, items, own, self.ttl)
-            out.append((number, key, provider, status, source, count, count > 0))
-        if entry and self.keep is not None and entry.stored + self.keep < watermark * 1000:
-            entry = None
-        if entry:
-            self.entry.update(tuple(entry))
-        elif self.entry.exists():
-            self.entry.clear()
-        rest = waiting[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(max(-(-rest[0][0] // 1000), watermark + 1))
+        for name, requests in keys.items():
+            entry = entries.get(name)
+            for at, number, provider, failed, items, own in sorted(requests):
+                if entry and self.keep is not None and at - entry.stored > self.keep:
+                    entry = None
+                status, source, count, entry = answer(provider, entry, at, failed, items, own, self.ttl)
+                out.append((number, name, provider, status, source, count, count > 0))
+            entries[name] = entry
+        entries = {name: e for name, e in entries.items() if e and (self.keep is None or e.stored + self.keep >= watermark * 1000)}
+        if entries:
+            columns = [list(entries), *map(list, zip(*entries.values()))]
+            self.entries.update((packed(pa.table(columns, schema=self.kept)),))
+        elif held:
+            self.entries.clear()
+        rest = waiting.filter(pc.invert(passed))
+        if len(rest):
+            if keys:
+                self.waiting.put([(packed(rest.slice(at, 10_000)),) for at in range(0, len(rest), 10_000)])
+            first = pc.min(rest["micros"]).as_py()
         else:
             self.waiting.clear()
-            if entry and self.keep is not None:
-                self.handle.registerTimer(max((entry.stored + self.keep) // 1000 + 1, watermark + 1))
+            first = None
+        if first is not None:
+            self.due.update((first,))
+            self._wake(first, watermark)
+        elif self.due.exists():
+            self.due.clear()
+        if entries and self.keep is not None:
+            self._wake(min(e.stored for e in entries.values()) + self.keep + 1000, watermark)
         yield pd.DataFrame(out, columns=["id", "key", "provider", "status", "source", "items", "available"]).astype({"id": "int64", "items": "int32", "available": "bool"})
 
     def close(self) -> None:
@@ -129,7 +181,7 @@ def answers(spark: SparkSession, requests: DataFrame, lateness: str, ttl: int =
     own = spark.readStream.schema(none.schema).parquet(marks)
     both = requests.select(*none.columns).unionByName(own).withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
     with several_states(spark):
-        found = both.groupBy("key").transformWithStateInPandas(ProviderCache(ttl, keep), ANSWER, "append", "eventTime")
+        found = both.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).groupBy("shard").transformWithStateInPandas(ProviderCache(ttl, keep), ANSWER, "append", "eventTime")
         for mark in (False, True):
             if mark:
                 spark.sql("SELECT '' AS key, timestamp'2200-01-01' AS at, -1L AS id, '' AS provider, false AS failed, 0 AS items, 0 AS own").write.mode("append").parquet(marks)
