@@ -50,11 +50,45 @@ def shingle_sets(df: DataFrame, width: int = 5) -> DataFrame:
     return text.select("id", F.when(F.size("w") >= width, F.array_distinct(grams)).alias("grams"))
 
 
+def _band_keys(batches):
+    """``id, key`` for each band of each set: minima of ``BANDS * ROWS`` orders of the hashes, and a hash of each band's minima."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    shift, odd = (rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        grams = batch["grams"]
+        sizes = np.diff(grams.offsets.to_numpy())
+        g, ends = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes)
+        minima, at = np.empty((BANDS * ROWS, len(batch)), np.uint64), 0
+        while at < len(batch):
+            # as many sets as have some 100,000 hashes, which stay in the processor's cache
+            begin = ends[at] - sizes[at]
+            end = max(at + 1, int(np.searchsorted(ends, begin + 100_000)))
+            own, starts = g[begin : ends[end - 1]], ends[at:end] - sizes[at:end] - begin
+            for k in range(BANDS * ROWS):
+                h = (own ^ shift[k]) * odd[k]
+                h ^= h >> np.uint64(32)
+                h *= mix
+                minima[k, at:end] = np.minimum.reduceat(h, starts)
+            at = end
+        keys = np.empty((len(batch), BANDS), np.uint64)
+        for b in range(BANDS):
+            h = np.full(len(batch), b, np.uint64)
+            for r in range(ROWS):
+                h = (h ^ minima[b * ROWS + r]) * mix
+                h ^= h >> np.uint64(29)
+            keys[:, b] = h
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(np.repeat(np.arange(len(batch)), BANDS))), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "key"])
+
+
 def band_pairs(sets: DataFrame) -> DataFrame:
     """``(a, b)``, a < b: different texts that share a band of their MinHash signatures; large buckets meet as pairs of blocks."""
-    minima = sets.select("id", F.explode("grams").alias("g")).groupBy("id").agg(*[F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    keyed = minima.select("id", F.explode(F.array(*keys)).alias("key")).checkpoint()
+    kind = sets.schema["id"].dataType.simpleString()
+    keyed = sets.select("id", "grams").where(F.size("grams") > 0).mapInArrow(_band_keys, f"id {kind}, key bigint").checkpoint()
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     left = dealt.select("key", F.col("id").alias("a"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
