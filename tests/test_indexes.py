@@ -32,6 +32,18 @@ def test_phrases_of_a_large_table(spark):
     assert rule_index.phrase_hits(t.where("false"), p).count() == 0 and rule_index.phrase_hits(t, p.where("false")).count() == 0
 
 
+def test_frequent_words_meet_only_as_neighbours(spark, monkeypatch):
+    """Texts that hold the words of a phrase apart are not searched for it: with a pattern that all texts match, only neighbours are left."""
+    apart = [(k, f"At noon the cat sat at a mat {k}") for k in range(200)]
+    texts = spark.createDataFrame([*apart, (900, "Look: the--at"), (901, "THE"), (902, "the the at"), (903, ""), (904, None)], "id int, text string")
+    phrases = spark.createDataFrame([(k, p) for k, p in enumerate(("the at", "the the", "cat sat on", "noon The cat", "mat 7", "the-at", "THE"))], "rule int, phrase string")
+    hits = {tuple(r) for r in rule_index.phrase_hits(texts, phrases).collect()}
+    assert hits == {(902, 0), (902, 1), (7, 4), (901, 6), (902, 6), (900, 6), *((k, r) for k in range(200) for r in (3, 6))}
+    monkeypatch.setattr(rule_index, "phrase_pattern", lambda phrase: F.lit(""))
+    met = {tuple(r) for r in rule_index.phrase_hits(texts, phrases).collect()}
+    assert met == hits | {(900, 0), (900, 5), (902, 5)}
+
+
 def test_literal_rules_equal_their_columns(spark):
     rules = [(k, p) for k, (_, kind, p) in enumerate(fixed.RULES) if kind == "literal"]
     texts = [(k, t) for k, t in enumerate([f"Analysts say {p.upper()}, maybe" for _, p in rules] + ["will risen", "unexpected to rise", None])]

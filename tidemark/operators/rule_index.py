@@ -1,10 +1,12 @@
-"""Rule tables of any size: an inverted index by each phrase's rarest token.
+"""Rule tables of any size: an inverted index by each phrase's rarest pair of neighbouring tokens.
 
 A phrase that stands in a text with no ASCII letter or digit on either side
-has its tokens (runs of ASCII letters and digits) among the text's. So texts
-and phrases are joined by equality on the one token of a phrase that the
-fewest texts have, and only those pairs are verified by the phrase itself.
-Phrases with a token that no text has go at once. Rules that are regular
+has its tokens (runs of ASCII letters and digits) beside each other in the
+text. So texts and phrases are joined by equality on the one pair of
+neighbours of a phrase (or its only token) that the fewest texts have, and
+only what meets is verified by the phrase itself. A single token won't do: the
+rarest one of two frequent words is in most texts, and each would be searched.
+Phrases with a pair that no text has go at once. Rules that are regular
 expressions are code; a fixed number of them stays in literal columns
 (:func:`matching.categories`).
 """
@@ -14,13 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stories import _stored, shared_checkpoints
+
 #: Signs that equal an ASCII letter in any case (long s, Kelvin sign, dotted and dotless i).
 _FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZſKİı", "abcdefghijklmnopqrstuvwxyzskii"
 
 
 def tokens(c: Column) -> Column:
-    """The different tokens of a text."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), *_FOLDED), "[^a-z0-9]+"), ""))
+    """The tokens of a text in their order."""
+    return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), *_FOLDED), "[^a-z0-9]+"), "")
+
+
+def neighbours(t: Column, n: Column) -> Column:
+    """Hashes of the first ``n`` tokens, each with the next; of the token alone where none follows."""
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda x, y: F.xxhash64(x, y))
 
 
 def phrase_pattern(phrase: Column) -> Column:
@@ -35,13 +44,19 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     Null texts hold nothing; null phrases and those without a letter or digit
     are held by nothing. Repeated rows of either side give their pair once.
     """
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("token"))
-    asked = phrases.dropDuplicates(["rule", "phrase"]).select("rule", "phrase", F.explode(tokens(F.col("phrase"))).alias("token"))
-    counts = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = asked.join(counts, "token", "left").groupBy("rule", "phrase").agg(
-        F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.min(F.coalesce("n", F.lit(0))).alias("n")
+    shared_checkpoints(texts.sparkSession)
+    t, n = F.col("tokens"), F.size("tokens")
+    asked = phrases.select("rule", "phrase", tokens(F.col("phrase")).alias("tokens"))
+    # stored, as its size then is known: a small one is sent to the texts, whose keys stay where they are
+    asked = _stored(asked.select("rule", "phrase", F.explode(neighbours(t, F.when(n < 2, n).otherwise(n - 1))).alias("key")).distinct())
+    keys = F.array_distinct(F.concat(neighbours(t, n), F.transform(t, lambda x: F.xxhash64(x))))
+    words = texts.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.explode(keys).alias("key"))
+    found = _stored(words.join(asked.select("key").distinct(), "key", "left_semi"))
+    counts = found.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = asked.join(counts, "key", "left").groupBy("rule", "phrase").agg(
+        F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n")
     )
-    rarest = ranked.where("n > 0").select("rule", "phrase", "token")
-    pairs = words.join(rarest, "token").select("id", "rule", "phrase").distinct()
+    rarest = ranked.where("n > 0").select("rule", "phrase", "key")
+    pairs = found.join(rarest, "key").select("id", "rule", "phrase").distinct()
     met = pairs.join(texts.where(F.col("text").isNotNull()).select("id", "text"), "id")
     return met.where(F.call_function("regexp_like", F.col("text"), phrase_pattern(F.col("phrase")))).select("id", "rule").distinct()
