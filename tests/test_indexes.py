@@ -181,6 +181,34 @@ def test_life_of_a_model(spark, tmp_path, monkeypatch):
         artifacts.load(spark, other)
 
 
+def test_signs_are_counted_once_for_all_trainings(spark, monkeypatch):
+    """Both trainings read features that are stored; they equal those of a pattern for each set."""
+    real, seen = signal.train, []
+    monkeypatch.setattr(signal, "train", lambda spark, data, **more: seen.append(data) or real(spark, data, trees=1))
+    QUERIES["model_lifecycle"](spark, SF)
+    for data in seen:
+        plan = data._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(s in plan for s in ("regexp_replace", "MapInArrow", "Join"))
+    texts, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    patterns = ("[a-m]", "[n-z]", "[A-Z]", "[0-9]", "[ \\n]", "[.,!?]")
+    shares = [F.length(F.regexp_replace("text", p, "")) / F.greatest(F.length("text").cast("double"), F.lit(1.0)) for p in patterns]
+    want = labels.join(texts, "doc_id").where("quality is not null").select("doc_id", *shares, F.col("quality").cast("int"))
+    key = lambda rows: sorted(map(tuple, rows))
+    assert len(seen) == 2 and all(key(data.collect()) == key(want.collect()) for data in seen) and want.count() > 20
+
+
+def test_counts_of_signs(spark):
+    from tidemark.functions.text import sign_counts
+
+    rows = [(1, "Abz, 9\n!"), (2, None), (3, ""), (4, "é😀ſK İı a\u0000m~"), (5, "n" * 70_000 + "á"), (1, "zz")]
+    df = spark.createDataFrame(rows, "id int, body string")
+    sets = ("abcdefghijklm", "nopqrstuvwxyz", " \n")
+    got = sorted((r.id, r.signs, r["counts"]) for r in sign_counts(df, "id", "body", sets).collect() if r.signs is not None)
+    want = sorted((k, len(t), [sum(t.count(c) for c in s) for s in sets]) for k, t in rows if t is not None)
+    assert got == want and sign_counts(df, "id", "body", sets).where("signs is null and counts is null").count() == 1
+    assert sign_counts(df.where("false"), "id", "body", sets).count() == 0
+
+
 def test_routes_are_table_functions(spark):
     from tidemark.operators import providers
 

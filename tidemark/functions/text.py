@@ -1,10 +1,10 @@
-"""Text functions as columns: trimming, word counts, bounded phrases, URLs."""
+"""Text functions as columns: trimming, word counts, bounded phrases, URLs; counts of signs as a table."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,34 @@ def word_hits(c: Column, terms: tuple[str, ...]) -> Column:
     return total
 
 
+def sign_counts(df: DataFrame, key: str, text: str, sets: tuple[str, ...]) -> DataFrame:
+    """``key, signs, counts``: how many signs a text has, and how many of each set of ASCII signs (no sign in two of them); null for a null text.
+
+    One pass over the bytes serves all sets; a pattern for each stops at every sign.
+    """
+    import numpy as np
+
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x80:0xC0] = 255  # the bytes of a sign behind its first
+    for k, signs in enumerate(sets, 1):
+        kinds[list(signs.encode("ascii"))] = k
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for value in batch[text].cast(pa.large_binary()):
+                if not value.is_valid:
+                    rows.append((None, None))
+                    continue
+                own = kinds[np.frombuffer(value.as_buffer(), np.uint8)]
+                rows.append((np.count_nonzero(own != 255), [np.count_nonzero(own == k) for k in range(1, len(sets) + 1)]))
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=[key, "signs", "counts"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, signs bigint, counts array<bigint>")
+
+
 def bounded(phrase: str) -> str:
     """A pattern for a phrase that no ASCII letter or digit touches, in any case."""
     return rf"(?iU)(?<![A-Za-z0-9])\Q{phrase}\E(?![A-Za-z0-9])"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..functions import display, fixed
+from ..functions.text import sign_counts
 from ..operators import artifacts, market, matching, posts as post_ops, providers, rule_index, sentiment, serving, signal, vector_index
+from ..operators.stories import _stored, shared_checkpoints
 from ..sources import adapters, readers
 from ..sources.adapters import POSTS_SQL
 from ..streaming import streams
@@ -148,16 +152,20 @@ def ui_changes(spark, sf_dir):
     return c.select("c_custkey", display.price_change(delta, F.lit(None).cast("double")).alias("change"), display.volume_delta(F.col("c_nationkey") / 100).alias("volume"))
 
 
+#: Signs that the features of a document leave out, one set for each.
+_SIGNS = (string.ascii_lowercase[:13], string.ascii_lowercase[13:], string.ascii_uppercase, string.digits, " \n", ".,!?")
+
+
 @query()
 def model_lifecycle(spark, sf_dir):
     """Where a model comes from at a first start, in the same process, after a restart and after a forced training; trained on labelled documents in the order of their ids."""
+    shared_checkpoints(spark)
     root, trained = streams.folder(spark, "models"), []
-    labels = adapters.table(spark, sf_dir, "labels").join(adapters.table(spark, sf_dir, "documents"), "doc_id")
-    signs = F.length("text").cast("double")
-    data = labels.where(F.col("quality").isNotNull()).select(
-        F.col("doc_id").alias("row"), *[(F.length(F.regexp_replace("text", pattern, "")) / F.greatest(signs, F.lit(1.0))).alias(c) for c, pattern in zip(signal.REQUIRED, ("[a-m]", "[n-z]", "[A-Z]", "[0-9]", "[ \\n]", "[.,!?]"))],
-        F.col("quality").cast("int").alias("label"),
-    )
+    # counted before the join, so no text is shuffled, and stored: two trainings, each with a sort that samples its rows, would count four times
+    signs = sign_counts(adapters.table(spark, sf_dir, "documents"), "doc_id", "text", _SIGNS)
+    labels = adapters.table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    least = F.greatest(F.col("signs").cast("double"), F.lit(1.0))
+    data = _stored(labels.join(signs, "doc_id").select(F.col("doc_id").alias("row"), *[((F.col("signs") - F.get("counts", F.lit(k))) / least).alias(c) for k, c in enumerate(signal.REQUIRED)], "label"))
 
     def train():
         trained.append(1)
